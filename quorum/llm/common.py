@@ -39,3 +39,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() does the same, faster, where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def sized(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, a stored table of short rows, marked for broadcast if its count is within most_rows; else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import linededup, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_line_dedup": linededup.op3_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.op1_sql(),
+    "op3_line_dedup": linededup.OP3_SQL,
 }
