@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import linededup, quality
+from . import jaccard, linededup, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.op1_sql(),
     "op3_line_dedup": linededup.OP3_SQL,
+    "op9_ngram_jaccard_join": jaccard.OP9_SQL,
 }
