@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard, linededup, quality
+from . import embeddings, jaccard, linededup, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.op1_sql(),
     "op3_line_dedup": linededup.OP3_SQL,
     "op9_ngram_jaccard_join": jaccard.OP9_SQL,
+    "op10_embedding_near_dedup": embeddings.OP10_SQL,
 }
