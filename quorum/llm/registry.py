@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, linededup, mixing, packing, quality
+from . import embeddings, jaccard, linededup, mixing, packing, quality, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_token_counts": tokencount.op6_token_counts,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
 }
