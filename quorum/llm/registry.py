@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, linededup, mixing, packing, quality, tokencount
+from . import embeddings, jaccard, linededup, lm, mixing, packing, quality, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_token_counts": tokencount.op6_token_counts,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
 }
