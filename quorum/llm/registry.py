@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, linededup, lm, mixing, packing, quality, tokencount
+from . import embeddings, jaccard, linededup, lm, mixing, packing, quality, secrets, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_lm_scoring": lm.op7_lm_scoring,
+    "op8_secret_scans": secrets.op8_secret_scans,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
 }
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": quality.op1_sql(),
     "op3_line_dedup": linededup.OP3_SQL,
+    "op8_secret_scans": secrets.op8_sql(),
     "op9_ngram_jaccard_join": jaccard.OP9_SQL,
     "op10_embedding_near_dedup": embeddings.OP10_SQL,
 }
