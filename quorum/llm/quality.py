@@ -114,8 +114,13 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 
 def kept_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs whose text holds to the rules, with the columns of docs."""
-    return judged(docs, text, rules).filter(F.col("__q_kept")).select(*docs.columns)
+    """The rows of docs whose text holds to the rules, with the columns of docs.
+
+    The row's number keeps the filter above the projection that computes the verdict: pushed below, it would hold a copy
+    of each metric for each use.
+    """
+    df = judged(docs, text, rules).withColumn("__q_row", F.monotonically_increasing_id())
+    return df.filter(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
