@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, linededup, lm, mixing, packing, quality, secrets, tokencount
+from . import embeddings, jaccard, licenses, linededup, lm, mixing, packing, quality, secrets, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_license_scans": licenses.op5_license_scans,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_secret_scans": secrets.op8_secret_scans,
