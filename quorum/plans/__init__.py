@@ -1,4 +1,4 @@
 """The read side: queries over the event log and the dimension tables."""
 
-from . import activity, eventlog  # noqa: F401
+from . import activity, bills, eventlog, traffic  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
