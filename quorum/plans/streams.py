@@ -25,7 +25,7 @@ def _finished(df: DataFrame, mode: str) -> DataFrame:
 
 def _stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT user_id, ts::DATE AS day, sum(CASE event_type WHEN 'purchase' THEN 3.0 WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.25 WHEN 'signup' THEN 2.0 WHEN 'error' THEN -0.5 ELSE 0.0 END)::DOUBLE AS intensity, count(*) AS cnt FROM events GROUP BY ALL")

@@ -4,6 +4,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -38,9 +39,9 @@ def same_rows(spark_df, duck_rel):
 
     def rows(pdf):
         def text(v):
-            if v is None or v != v:
+            if v is None or v is pd.NA or v != v:
                 return "null"
-            return f"{v:.9g}" if isinstance(v, float) else str(v.tolist() if hasattr(v, "tolist") else v)
+            return f"{v:.9g}" if isinstance(v, float) else str(v.tolist() if hasattr(v, "tolist") else v).removesuffix(" 00:00:00")
 
         pdf = pdf[sorted(pdf.columns)]
         return list(pdf.columns), sorted(tuple(text(v) for v in r) for r in pdf.astype(object).itertuples(index=False))
