@@ -56,7 +56,7 @@ def winnowed(g: np.ndarray, window: int) -> np.ndarray:
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """Words, without case and without punctuation at their ends, and their places in code points."""
-    return [(m[0].strip("\"'(),.;:").lower(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    return [(m[0].strip("\"'(),.;:!?").lower(), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
 
 
 def aligned(a: list, b: list, diagonal: int, band: int) -> tuple[int, int, int]:
