@@ -15,12 +15,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quorum-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="quorum-")
+        base = _OWN[application]
     return base.rstrip("/")
 
 
@@ -44,3 +49,17 @@ def ascii_lower(text: Column) -> Column:
 def sized(df: DataFrame, most_rows: int) -> DataFrame:
     """df, a stored table of short rows, marked for broadcast if its count is within most_rows; else left to a shuffle join."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of df with the highest counts: as many as there are of whole grades of counts, most at the most.
+
+    Grades are sixteenths of powers of two. Their sizes, some hundred rows, decide; no task sorts or sends more than it keeps.
+    """
+    grade = F.floor(F.log2(F.col(count)) * 16)
+    left, cut = most, None
+    for g, n in sorted(df.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if n > left:
+            break
+        left, cut = left - n, g
+    return df.filter(F.lit(False) if cut is None else grade >= cut)
