@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, most_frequent, stored
 from .tokens import SPECIAL, file_tokenizer, vocabulary
 
 #: Pre-tokens that are broadcast, and characters of the longest of them: 300,000 * 24 characters bound the broadcast.
@@ -66,14 +66,14 @@ def pre_token_pieces(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: s
     return stored(met.mapInArrow(count, "pre string, n long, pieces long"), "pre-tokens")
 
 
-def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None = None, id_col: str = "doc_id", text: str = "text", most_frequent: int = MOST_FREQUENT) -> DataFrame:
+def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None = None, id_col: str = "doc_id", text: str = "text", most_kept: int = MOST_FREQUENT) -> DataFrame:
     """(doc, n_bytes, n_tokens): one row per row of docs, in bytes of UTF-8 and tokens of the tokenizer file.
 
     Special strings inside texts are one token, as the library takes them by default. Null and empty texts have neither bytes
     nor tokens; repeated rows and ids are rows of their own; extra columns aren't read.
     """
     known = pre_token_pieces(docs, name, folder, text)
-    top = known.filter(F.length("pre") <= MOST_CHARS).orderBy(F.desc("n"), "pre").limit(most_frequent).select("pre", "pieces").toPandas()
+    top = most_frequent(known.filter(F.length("pre") <= MOST_CHARS), "n", most_kept).select("pre", "pieces").toPandas()
     frequent = docs.sparkSession.sparkContext.broadcast(dict(zip(top["pre"], top["pieces"].tolist(), strict=True)))
 
     def sums(batches):
