@@ -12,6 +12,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: Edges whose least neighbours may be broadcast (two longs a row); edges of a partition that a round writes.
+MOST_BROADCAST, PER_PARTITION = 500_000, 250_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of edges (a, b), the smallest node that it reaches. A stored table.
 
@@ -22,12 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
     e, last = stored(e, "edges"), None
     while (mark := _mark(e)) != last and mark[0]:
         last = mark
+        parts = max(8, mark[0] // PER_PARTITION)
+        hint = F.broadcast if mark[0] <= MOST_BROADCAST else lambda df: df
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "edges")
-        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        least = hint(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.coalesce(parts), "edges")  # a row per edge at most
+        least = hint(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = stored(small.filter("u > v").distinct(), "edges")
+        e = stored(small.filter("u > v").distinct().coalesce(parts), "edges")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("node"), "component").distinct())

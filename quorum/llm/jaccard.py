@@ -14,34 +14,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sized, stored
+from .common import documents, most_frequent, sized, stored
 from .components import components
 from .words import mixed, set_fingerprint, shingle_sets
 
 #: Shingles with known frequency, at most; all others count as rare. The order of a prefix needn't be exact.
 MOST_FREQUENT = 100_000
 #: Shingles that a task counts at once, and how often one has to occur among them to be reported.
-COUNT_AT_ONCE, LEAST_COUNT = 3_000_000, 4
+COUNT_AT_ONCE, LEAST_COUNT = 2_000_000, 4
 #: Lists of up to so many sets are compared pair by pair, longer ones through a leader.
-SHORT_LIST = 8
+SHORT_LIST = 3
+#: Members of a list's largest component with which sets outside it are compared, before all are.
+LEADERS = 16
+#: Lists that a row names.
+FIRST_LISTS = 8
 
 
 def _rows(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of 2n to 4n classes of hashes by their low bits, n the set's size, that holds an element."""
+    bits = max(3, int(2 * len(s) - 1).bit_length())
+    out = np.zeros(1 << bits, np.uint8)
+    out[(s & np.uint64((1 << bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch, or some as rows, brought to fewer classes: one less bit of the hash lays its halves upon each other."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def most_overlap(x: np.ndarray, n, y: np.ndarray, m):
+    """At most so many elements are in both sets (rows of x, a set y): a class where only one has any holds one of its own."""
+    size = min(x.shape[-1], y.shape[-1])
+    x, y = folded(x, size), folded(y, size)
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
+
+
 def set_table(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
-    """(doc, n, fp): the size and fingerprint of each row's set. A stored table."""
+    """(doc, n, fp, bits): the size, fingerprint and sketch of each row's set. A stored table."""
 
     def sizes(batches):
         for b in batches:
-            n, fp = [], []
+            n, fp, bits = [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
                 fp.append(set_fingerprint(s) if len(s) else None)
-            yield _rows(["doc", "n", "fp"], b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()))
+                bits.append(sketch(s) if len(s) else None)
+            yield _rows(["doc", "n", "fp", "bits"], b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary()))
 
-    return stored(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(sizes, "doc long, n long, fp long"), "sets")
+    return stored(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(sizes, "doc long, n long, fp long, bits binary"), "sets")
 
 
 def frequent_shingles(docs: DataFrame, k: int, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +95,7 @@ def frequent_shingles(docs: DataFrame, k: int, text: str) -> tuple[np.ndarray, n
             yield flush()
 
     met = docs.select(F.col(text).alias("t")).mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    top = met.orderBy(F.desc("c"), "g").limit(MOST_FREQUENT).toPandas()
+    top = most_frequent(stored(met, "frequent"), "c", MOST_FREQUENT).toPandas()
     g, c = top["g"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(g)
     return g[order], c[order]
@@ -106,21 +134,36 @@ def prefixes(docs: DataFrame, frequent, k: int, percent: int, text: str) -> Data
     return docs.select(F.col(text).alias("t")).mapInArrow(emit, "g long, fp long, n int, at int")
 
 
-def _short(fp, n, at, percent):
-    """Pairs of one list, sorted by size, that may reach the threshold."""
-    i, j = np.triu_indices(len(fp), 1)
-    return _may(fp, n, at, i, j, percent)
+def _may(n, at, i, j, percent):
+    """Which of the pairs (i, j), n[i] <= n[j], their sizes and the places of a common element don't rule out."""
+    need = least_overlap(n[i], n[j], percent)
+    return (100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (at[i] <= n[i] - least_overlap(n[i], n[i], percent))
 
 
-def _may(fp, n, at, i, j, percent):
-    """Of the pairs (i, j), n[i] <= n[j], those that their sizes and positions don't rule out."""
-    need = least_overlap(n[i], n[j], percent)
-    ok = (100 * n[i] >= percent * n[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (at[i] <= n[i] - least_overlap(n[i], n[i], percent))
-    return fp[i[ok]], fp[j[ok]]
+def _lists(batches):
+    """Columns (g, fp, n, ...) of sorted batches in blocks that hold whole lists of equal g: without equal sets and lists of one; and their starts and ends."""
+    held = None
+    for b in _then_none(batches):
+        x = None if b is None else [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        x = held if b is None else x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
+        if x is None or not len(x[0]):
+            continue
+        cut = len(x[0]) if b is None else int(np.searchsorted(x[0], x[0][-1], "left"))
+        held, x = [c[cut:] for c in x], [c[:cut] for c in x]
+        for only in (lambda g, fp: np.r_[True, (g[1:] != g[:-1]) | (fp[1:] != fp[:-1])], lambda g, fp: np.r_[False, g[1:] == g[:-1]] | np.r_[g[1:] == g[:-1], False]):
+            x = [c[only(x[0], x[1])] for c in x] if len(x[0]) else x
+        if len(x[0]):
+            starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
+            yield x, starts, np.r_[starts[1:], len(x[0])]
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
 
 
 def _starred(fp, n, percent):
-    """Pairs of a long list, sorted by size: each set with the leader of its block of similar sizes and with that of the one before."""
+    """Pairs of a list, sorted by size: each set with the leader of its block of similar sizes and with that of the one before."""
     a, b, start, before = [], [], 0, None
     rank = mixed(fp.view(np.uint64))
     while start < len(n):
@@ -136,78 +179,113 @@ def _starred(fp, n, percent):
     return np.concatenate(a), np.concatenate(b)
 
 
-def _lists(batches):
-    """Runs of equal g of sorted batches, without runs of one row; the last run of a batch waits for the next."""
-    held = None
-    for b in batches:
-        x = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        x = x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
-        if not len(x[0]):
-            continue
-        cut = int(np.searchsorted(x[0], x[0][-1], "left"))
-        held = [c[cut:] for c in x]
-        yield from _runs([c[:cut] for c in x])
-    if held is not None:
-        yield from _runs(held)
-
-
-def _runs(x):
-    g = x[0]
-    if len(g) < 2:
-        return
-    same = g[1:] == g[:-1]
-    multi = np.zeros(len(g), bool)
-    multi[1:] |= same
-    multi[:-1] |= same
-    x = [c[multi] for c in x]
-    if len(x[0]):
-        starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
-        for s, e in zip(starts, np.r_[starts[1:], len(x[0])], strict=True):
-            yield [c[s:e] for c in x]
-
-
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(g, a, b, n, at): pairs to compare, with g null; and the rows of long lists, with b null. A stored table."""
-    names, kinds = ["g", "a", "b", "n", "at"], "g long, a long, b long, n int, at int"
+    """(g, a, b, n): pairs to compare, with g null; and, with b null, the sets of each different long list g. A stored table."""
+    names, kinds = ["g", "a", "b", "n"], "g long, a long, b long, n long"
 
     def pairs(batches):
-        for g, fp, n, at in _lists(batches):
-            first = np.r_[True, fp[1:] != fp[:-1]]  # equal sets, of several tasks, stand side by side
-            fp, n, at = fp[first], n[first].astype(np.int64), at[first].astype(np.int64)
-            if len(fp) < 2:
-                continue
-            a, b = _short(fp, n, at, percent) if len(fp) <= SHORT_LIST else _starred(fp, n, percent)
-            if len(a):
-                none = pa.nulls(len(a), pa.int32())
-                yield _rows(names, pa.nulls(len(a), pa.int64()), np.minimum(a, b), np.maximum(a, b), none, none)
-            if len(fp) > SHORT_LIST:
-                yield _rows(names, np.full(len(fp), g[0]), fp, pa.nulls(len(fp), pa.int64()), n.astype(np.int32), at.astype(np.int32))
+        told: set[int] = set()  # lists of the same sets are told once a task
+        for (g, fp, n, at), starts, ends in _lists(batches):
+            n, at, size = n.astype(np.int64), at.astype(np.int64), ends - starts
+            a, b = [], []
+            for i, j in ((0, 1), (0, 2), (1, 2)):
+                s = starts[(size > j) & (size <= SHORT_LIST)]
+                ok = _may(n, at, s + i, s + j, percent)
+                a.append(fp[s[ok] + i])
+                b.append(fp[s[ok] + j])
+            long = size > SHORT_LIST
+            even = long & (100 * n[starts] >= percent * n[ends - 1])
+            rank = mixed(fp.view(np.uint64))
+            if even.any():
+                lead = np.minimum.reduceat(rank, starts)
+                lists = np.repeat(np.arange(len(starts)), size)
+                leader = np.zeros(len(starts), np.int64)
+                leads = rank == lead[lists]
+                leader[lists[leads]] = fp[leads]
+                rest = even[lists] & ~leads
+                a.append(leader[lists[rest]])
+                b.append(fp[rest])
+            for k in np.flatnonzero(long & ~even):
+                p, q = _starred(fp[starts[k] : ends[k]], n[starts[k] : ends[k]], percent)
+                a.append(p)
+                b.append(q)
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            if len(both):
+                yield _rows(names, pa.nulls(len(both), pa.int64()), both[:, 0], both[:, 1], pa.nulls(len(both), pa.int64()))
+            mark = np.add.reduceat(rank, starts).view(np.int64)
+            for k in np.flatnonzero(long):
+                if (m := int(mark[k])) not in told:
+                    told.add(m)
+                    yield _rows(names, np.full(size[k], m), fp[starts[k] : ends[k]], pa.nulls(int(size[k]), pa.int64()), n[starts[k] : ends[k]])
 
     return stored(rows.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(pairs, kinds), "candidates")
 
 
-def residual(long: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets of long lists (g, fp, n, at) with different labels, that may reach the threshold."""
-    rows = long.join(labels, long["fp"] == labels["node"], "left").select("g", "fp", "n", "at", F.coalesce("component", "fp").alias("label"))
-    mixed_lists = rows.groupBy(F.col("g").alias("g2")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("g2")
-    rows = rows.join(mixed_lists, F.col("g") == F.col("g2"), "left_semi")
+def residual(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, leaders: int | None) -> DataFrame:
+    """(a, b): pairs of sets of long lists (g, fp, n) in different components that sizes and sketches don't rule out.
+
+    With leaders, of each set only those with so many members of its list's largest component, in lists where that has
+    twice as many; else all. Rows carry the first lists that their set is in: a pair is told by the first that both
+    have, or, if none of these is common, by each common list.
+    """
+    rows = long.join(labels, long["fp"] == labels["node"], "left").select("g", "fp", "n", F.coalesce("component", "fp").alias("label"))
+    rows = stored(rows, "labelled")
+    shares = rows.groupBy(F.col("g").alias("g2"), "label").agg(F.count("*").alias("c")).groupBy("g2").agg(F.count("*").alias("labels"), F.max("c").alias("most"))
+    split = shares.filter((F.col("labels") > 1) & (F.col("most") >= (0 if leaders is None else 2 * leaders))).select("g2")
+    rows = rows.join(split, F.col("g") == F.col("g2"), "left_semi")
+    lists = rows.groupBy(F.col("fp").alias("fp2")).agg(F.slice(F.array_sort(F.collect_set("g")), 1, FIRST_LISTS).alias("gs")).join(classes.select(F.col("fp").alias("fp3"), "bits"), F.col("fp2") == F.col("fp3"))
+    rows = rows.join(lists, F.col("fp") == F.col("fp2")).select("g", "fp", "n", "label", "bits", "gs")
 
     def pairs(batches):
-        for _, fp, n, at, label in _lists(batches):
-            n, at = n.astype(np.int64), at.astype(np.int64)
-            for j in range(1, len(fp)):  # against all smaller sets of another label whose size is near
-                i = np.arange(np.searchsorted(n, -(-percent * n[j] // 100)), j)
-                i = i[label[i] != label[j]]
-                a, b = _may(fp, n, at, i, np.full(len(i), j), percent)
-                if len(a):
-                    yield _rows(["a", "b"], np.minimum(a, b), np.maximum(a, b))
+        for (g, fp, n, label, bits, gs), starts, ends in _lists(batches):
+            a, b = [], []
+            lists_of = [frozenset(x.tolist()) for x in gs]
+            for s, e in zip(starts, ends, strict=True):
+                f, k, lab, sizes = fp[s:e], n[s:e].astype(np.int64), label[s:e], np.array([len(x) for x in bits[s:e]])
+                held = {z: (at := np.flatnonzero(sizes == z), np.frombuffer(b"".join(bits[s:e][at]), np.uint8).reshape(-1, z)) for z in np.unique(sizes)}
+                names, counts = np.unique(lab, return_counts=True)
+                largest = names[np.argmax(counts)]
+                chosen = np.ones(e - s, bool)
+                if leaders is not None:
+                    chosen[:] = False
+                    members = np.flatnonzero(lab == largest)
+                    chosen[members[np.argsort(mixed(f[members].view(np.uint64), 0x9E3779B97F4A7C15))[:leaders]]] = True
+                for j in np.flatnonzero(lab != largest) if leaders is not None else range(e - s):
+                    for z, (at, x) in held.items():
+                        ok = chosen[at] & (lab[at] != lab[j]) & (100 * np.minimum(k[at], k[j]) >= percent * np.maximum(k[at], k[j]))
+                        if leaders is None:  # each pair once: with the smaller components' sets, and among these
+                            ok &= (lab[at] == largest) | (at < j) if lab[j] != largest else False
+                        i = np.flatnonzero(ok)
+                        if len(i):
+                            i = i[most_overlap(x[i], k[at[i]], np.frombuffer(bits[s + j], np.uint8), k[j]) >= least_overlap(k[at[i]], k[j], percent)]
+                            i = i[[min(lists_of[s + q] & lists_of[s + j], default=g[s]) == g[s] for q in at[i].tolist()]] if len(i) else i
+                            a.append(np.minimum(f[at[i]], f[j]))
+                            b.append(np.maximum(f[at[i]], f[j]))
+            if a:
+                both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                yield _rows(["a", "b"], both[:, 0], both[:, 1])
 
     return rows.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(pairs, "a long, b long").distinct()
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): those of the pairs whose sketches don't rule them out. A stored table."""
+
+    def check(batches):
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in range(2, 6)]
+            keep = [bool(most_overlap(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m) >= least_overlap(n, m, percent)) for x, n, y, m in zip(*cols, strict=True)]
+            yield _rows(["a", "b"], *[b.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)])
+
+    side = lambda s: classes.select(F.col("fp").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("n").alias(f"n_{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "bits_a", "n_a", "bits_b", "n_b")
+    return stored(both.mapInArrow(check, "a long, b long"), "pairs")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """(a, b): those of the stored pairs whose sets reach the threshold. A stored table."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select(F.col("doc").alias("__doc")).distinct(), "wanted")
+    """(a, b): those of the stored pairs whose sets reach the threshold; b's set goes to a's. A stored table."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "doc"), "fp")
+    wanted = stored(wanted.select(F.col("doc").alias("__doc")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("t")).join(sized(wanted, 2_000_000), F.col("doc").eqNullSafe(F.col("__doc")), "left_semi")
 
     def sets(batches):
@@ -219,27 +297,35 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                     seen.add(fp)
                     fps.append(fp)
                     out.append(s.tobytes())
-                    if len(out) >= 2000:
-                        yield _rows(["fp", "s"], pa.array(fps, pa.int64()), pa.array(out, pa.binary()))
-                        fps, out = [], []
             yield _rows(["fp", "s"], pa.array(fps, pa.int64()), pa.array(out, pa.binary()))
 
     def similar(batches):
         for b in batches:
             keep = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            for s, t in zip(b.column(2), b.column(3), strict=True):
+                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
                 i = np.minimum(np.searchsorted(s, t), len(s) - 1)
                 both = int((s[i] == t).sum())
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield _rows(["a", "b"], *[b.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)])
 
     held = stored(texts.select("t").mapInArrow(sets, "fp long, s binary"), "shingles")
-    first = pairs.join(held.select(F.col("fp").alias("b"), F.col("s").alias("t")), "b")
-    both = first.join(held.select(F.col("fp").alias("a"), "s"), "a").select("a", "b", "s", "t")
+    members = held.join(sized(pairs, 500_000), held["fp"] == pairs["b"]).select("a", "b", F.col("s").alias("t"))
+    leaders = held.join(sized(stored(pairs.select("a").distinct(), "leaders"), 500_000).withColumnRenamed("a", "__a"), F.col("fp") == F.col("__a"), "left_semi").select(F.col("fp").alias("a"), "s")
+    both = members.join(leaders.hint("merge"), "a").select("a", "b", "s", "t")
     return stored(both.mapInArrow(similar, "a long, b long").distinct(), "links")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b): only the components that they join are gone through. A stored table."""
+    of = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"l{c}"))
+    between = links.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
+    between = stored(between.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "edges")
+    moved = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    every = labels.union(between.select(F.explode(F.array(F.struct("a", "la"), F.struct(F.col("b").alias("a"), F.col("lb").alias("la")))).alias("x")).select("x.a", "x.la")).distinct()
+    return stored(every.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+
+
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_shingles, component): one row per row of docs; component: the smallest id that links reach.
 
@@ -248,21 +334,24 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     of null ids alone is null. Extra columns of docs aren't read.
     """
     sets = set_table(docs, k, id_col, text)
-    classes = stored(sets.filter("n > 0").groupBy("fp").agg(F.min("doc").alias("doc")), "classes")
+    classes = stored(sets.filter("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     found = candidates(prefixes(docs, frequent_shingles(docs, k, text), k, percent, text), percent)
     pairs = stored(found.filter("g IS NULL").select("a", "b").distinct(), "pairs")
-    links = verified(pairs, classes, docs, k, percent, id_col, text)
+    links = verified(possible(pairs, classes, percent), classes, docs, k, percent, id_col, text)
     labels = components(links)
-    long = found.filter("g IS NOT NULL").select("g", F.col("a").alias("fp"), "n", "at")
-    more = stored(residual(long, labels, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        more = verified(more, classes, docs, k, percent, id_col, text)
+    long = found.filter("g IS NOT NULL").select("g", F.col("a").alias("fp"), "n")
+    told = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for leaders in (LEADERS, None):
+        more = stored(residual(long, labels, classes, percent, leaders).join(told, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            labels = components(links.union(more))
+            told = told.union(more)
+            more = verified(more, classes, docs, k, percent, id_col, text)
+            if not more.isEmpty():
+                labels = _joined(labels, more)
     labelled = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("component", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc").alias("component"))
     of_class = stored(labelled.join(least, "label").select(F.col("fp").alias("fp2"), "component"), "classes")
-    out = sets.join(of_class, F.col("fp") == F.col("fp2"), "left")
+    out = sets.select("doc", "n", "fp").join(of_class, F.col("fp") == F.col("fp2"), "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
 
 
