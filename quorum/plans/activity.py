@@ -163,3 +163,8 @@ def week_matrix(spark, sf_dir):
 @query("SELECT event_type, max(struct_pack(ts := ts, event_id := event_id)).ts AS ts, max(struct_pack(ts := ts, event_id := event_id)).event_id AS event_id FROM events GROUP BY 1")
 def high_watermarks(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event_type").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("event_type", "m.ts", "m.event_id")
+
+
+@query("SELECT event_id, event_type, (props->>'k')::INT AS k, event_type = 'purchase' AND (props->>'k')::INT >= 90 AS party_break FROM events")
+def json_shred(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", k().alias("k"), ((F.col("event_type") == "purchase") & broken()).alias("party_break"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.civic import any_of, match_band, match_score, pvi_label, tokens
+from ..functions.civic import any_of, congress_of_year, district_key, match_band, match_score, pvi_label, tokens
 from ..schemas import table
 from .registry import ORACLE_SQL, query
 
@@ -234,3 +234,30 @@ def match_bands(spark, sf_dir):
 
 
 query(f"SELECT band, n, round(100.0 * n / sum(n) OVER (), 6)::DOUBLE AS pct FROM (SELECT band, count(*) AS n FROM ({ORACLE_SQL['token_jaccard_score']}) GROUP BY band)")(match_bands)
+
+
+@query("SELECT (119 + floor((year(o_orderdate) - 2025) / 2.0))::INT AS congress, count(*) AS bills FROM orders GROUP BY 1")
+def congress_for_year(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(congress_of_year(F.year("o_orderdate")).alias("congress")).agg(F.count("*").alias("bills"))
+
+
+_RATED = "(SELECT n_nationkey, d::INT AS d, ((n_nationkey * 5 + (d + 1) * 3) % 21 - 10)::INT AS score FROM nation CROSS JOIN range(-1, 3) t(d) WHERE n_nationkey % 5 <> 0)"
+
+
+@query(f"SELECT c_custkey, m.d AS district, score FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN -1 ELSE coalesce(nullif(c_custkey % 4, 3), 0) END::INT AS d FROM customer) m JOIN {_RATED} r ON r.n_nationkey = m.c_nationkey AND r.d = m.d")
+def pvi_score_join(spark, sf_dir):
+    """Ratings by (state, district); members of states without a rating drop out."""
+    chamber = F.when(F.col("c_mktsegment") == "BUILDING", "senate").otherwise("house")
+    district = F.nullif(F.col("c_custkey") % 4, F.lit(3)).cast("int")
+    people = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), district_key(chamber, district).alias("district"))
+    rated = table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 0").select("n_nationkey", F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("district"))
+    rated = rated.withColumn("score", ((F.col("n_nationkey") * 5 + (F.col("district") + 1) * 3) % 21 - 10).cast("int"))
+    return people.join(F.broadcast(rated), ["n_nationkey", "district"]).select("c_custkey", "district", "score")
+
+
+@query("SELECT l_orderkey, string_agg(code, ',' ORDER BY l_linenumber, code) AS versions, first(code ORDER BY l_linenumber, code) AS first_version, last(code ORDER BY l_linenumber, code) AS last_version FROM (SELECT *, l_returnflag || l_linestatus AS code FROM lineitem) GROUP BY 1")
+def ordered_array_agg(spark, sf_dir):
+    """An order's versions by stage; the group is bounded by the number of versions of one bill."""
+    version = F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("code"))
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(version)).alias("v"))
+    return per.select("l_orderkey", F.array_join("v.code", ",").alias("versions"), F.element_at("v.code", 1).alias("first_version"), F.element_at("v.code", -1).alias("last_version"))
