@@ -1,10 +1,11 @@
 """Scoring texts with an n-gram model kept as an Elias-Fano trie, in shards.
 
-The model has two levels. Level one is the words: the most frequent ones each by itself, all others as one class that is
-split again by their own frequency. Level two holds the pairs of neighbours that occur twice or more. Pointers from level
-one into level two, and the followers of each word, are monotone sequences in Elias-Fano form; probabilities,
-interpolated with absolute discounting, are bytes that number the entries of a code book. Pairs are dealt over shards
-by hash; a shard's levels are bytes of a table, and what a shard is asked meets it there in sorted order.
+The model has two levels: all words, and all pairs of neighbours that occur. Words are 64-bit hashes; each shard numbers
+its own. Pointers from level one into level two, and the followers of each word, are monotone sequences in Elias-Fano
+form; what a pair's probability, interpolated with absolute discounting, is above the backed-off one is a byte that numbers
+the entries of a code book. Pairs are dealt over shards by their first word, those of very frequent first words by both; a
+shard's levels are bytes of a table, and what a shard is asked meets it there in sorted order. Counts of frequent words
+are held by tasks, all others join by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import documents, most_frequent, stored
 from .words import _STEP, chunks, mixed
 
 _U = np.uint64
-#: Words with an entry of their own; tokens that a task counts at once; tokens of the corpus to a shard; bounds of their number.
+#: Words whose counts tasks hold; tokens that a task counts at once; tokens of the corpus to a shard; bounds of their number.
 VOCABULARY, AT_ONCE, SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 1 << 18, 1_500_000, 2_000_000, 64, 2048
 #: The token that ends each text, and stands before it.
 END = int(mixed(np.array([0x5EED], np.uint64))[0])
@@ -126,62 +127,105 @@ def unigrams(train: DataFrame) -> DataFrame:
     return stored(train.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
 
 
+def _closed(model, words: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs of places in sorted words, themselves sorted, as bytes: the words that occur, and the pairs as their numbers."""
+    used = np.unique(np.concatenate([first, second]))
+    return model.listed(words[used]), _packed(np.searchsorted(used, first).astype(np.uint64) * _U(len(used)) + np.searchsorted(used, second).astype(np.uint64))
+
+
+def _opened(model, words, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """The first and second words of pairs, sorted."""
+    w, p = model.unlisted(words), _unpacked(pairs)
+    return w[(p // _U(len(w))).astype(np.int64)], w[(p % _U(len(w))).astype(np.int64)]
+
+
 class Model:
-    """What every task needs of the model, of bounded size: the frequent words and the totals. Numbers: 0 is the class of all other words."""
+    """What every task needs of the model, of bounded size: the totals, and the counts of the most frequent words. All others have theirs in a table."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, once: int, twice: int):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order].astype(np.float64)
         self.n, self.v = n, v
-        self.discount = once / (once + 2 * twice) if once else 0.5
-        self.other = max(n - self.counts.sum(), 0.0) + self.discount * len(words)  # of all N, what frequent words leave
-        p = np.r_[self.other, self.counts - self.discount] / n
-        self.log_p = np.log10(np.maximum(p, 1e-300))
-        self.base = np.log10((self.counts + 0.1) / (n + 0.1 * (v + 1)))
-        self.context = np.r_[max(n - self.counts.sum(), 1.0), self.counts]
-        self.back_off = np.zeros(len(words) + 1)
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.followers = np.zeros(len(words))  # how many different words follow each
         self.pair_discount = 0.5
-        self.end = int(np.searchsorted(self.words, _U(END))) + 1
 
-    def numbers(self, tokens: np.ndarray) -> np.ndarray:
+    def places(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are frequent words, and all tokens' places among these."""
         i = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[i] == tokens, i + 1, 0)
+        return self.words[i] == tokens, i
+
+    def word_p(self, counts):
+        return np.maximum(counts - self.discount, self.discount * 1e-9) / self.n
+
+    def listed(self, words: np.ndarray) -> bytes:
+        """Sorted words as bytes: the frequent ones by their places, all others whole."""
+        hot, places = self.places(words)
+        places = _packed(places[hot])
+        return np.array([len(words), len(places)], "<i8").tobytes() + np.packbits(hot).tobytes() + places + words[~hot].tobytes()
+
+    def unlisted(self, data: bytes) -> np.ndarray:
+        n, size = np.frombuffer(data, "<i8", 2).tolist()
+        cut = 16 + (n + 7) // 8
+        hot = np.unpackbits(np.frombuffer(data, np.uint8, cut - 16, 16), count=n).astype(bool)
+        words = np.empty(n, np.uint64)
+        words[hot] = self.words[_unpacked(data[cut : cut + size]).astype(np.int64)]
+        words[~hot] = np.frombuffer(data[cut + size :], np.uint64)
+        return words
 
-    def pairs(self, numbers: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Each token's pair with the one before it, as one number."""
-        before = np.r_[self.end, numbers[:-1]]
-        before[off[:-1]] = self.end
-        return before.astype(np.uint64) * _U(len(self.words) + 1) + numbers.astype(np.uint64)
+    def shard(self, first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+        """A pair's shard: by its first word, so that all that follows this is in one shard; by both where the first has more than an eighth of a shard."""
+        hot, i = self.places(first)
+        split = hot & (self.counts[i] * 8 * shards > self.n)
+        return (mixed(np.where(split, mixed(first * _STEP + second), first)) % _U(shards)).astype(np.int64)
 
-    def apart(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = _U(len(self.words) + 1)
-        return (pairs // size).astype(np.int64), (pairs % size).astype(np.int64)
 
+class Pairs:
+    """The pairs of neighbours of some texts, each token's with the one before it, as places in the texts' sorted words."""
 
-def _by_shard(pairs: np.ndarray, shards: int):
-    """(shard, places of its pairs) for sorted pairs, in order of shards."""
-    shard = (mixed(pairs) % _U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if cuts[s] < cuts[s + 1]:
-            yield s, order[cuts[s] : cuts[s + 1]]
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray]]):
+        """held: tokens and the tokens before them."""
+        tokens, before = (np.concatenate(x) for x in zip(*held, strict=True))
+        self.words = np.unique(np.r_[tokens, _U(END)])
+        self.size = _U(len(self.words))
+        self.numbers = np.searchsorted(self.words, before).astype(np.uint64) * self.size + np.searchsorted(self.words, tokens).astype(np.uint64)
 
+    def by_shard(self, numbers: np.ndarray, model: Model, shards: int):
+        """(shard, places of its pairs, their words and their pairs as bytes) for sorted numbers."""
+        first, second = (numbers // self.size).astype(np.int64), (numbers % self.size).astype(np.int64)
+        shard = model.shard(self.words[first], self.words[second], shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            at = order[cuts[s] : cuts[s + 1]]
+            yield s, at, *_closed(model, self.words, first[at], second[at])
 
-def pair_counts(train: DataFrame, model, shards: int, least: int) -> DataFrame:
-    """(shard, pairs, counts, once, twice): the pairs that occur least times or more, sorted, and how many occur once and twice. Stored."""
+
+def _before(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
+    before = np.r_[_U(END), tokens[:-1]]
+    before[off[:-1]] = END
+    return before
+
+
+def _binary(x: bytes) -> pa.Array:
+    return pa.array([x], pa.binary())
+
+
+def pair_counts(train: DataFrame, model, shards: int) -> DataFrame:
+    """(shard, words, pairs, counts, once, twice): all pairs that occur, sorted, and how many occur once and twice. Stored."""
 
     def count(batches):
         held, size = [], 0
 
         def told():
-            pairs, c = np.unique(np.concatenate(held), return_counts=True)
-            for s, at in _by_shard(pairs, shards):
-                yield _batch(["shard", "pairs", "counts"], [s], pa.array([_packed(pairs[at])], pa.binary()), pa.array([zlib.compress(c[at].astype("<u4").tobytes(), 1)], pa.binary()))
+            found = Pairs(held)
+            pairs, c = np.unique(found.numbers, return_counts=True)
+            for s, at, w, p in found.by_shard(pairs, model.value, shards):
+                yield _batch(["shard", "words", "pairs", "counts"], [s], _binary(w), _binary(p), _binary(zlib.compress(c[at].astype("<u4").tobytes(), 1)))
 
         for b in batches:
             for _, _, tokens, off in token_chunks(b.column(0)):
-                held.append(model.value.pairs(model.value.numbers(tokens), off))
+                held.append((tokens, _before(tokens, off)))
                 size += len(tokens)
                 if size >= AT_ONCE:
                     yield from told()
@@ -193,72 +237,125 @@ def pair_counts(train: DataFrame, model, shards: int, least: int) -> DataFrame:
         at, held = None, []
 
         def sums():
-            pairs, inverse = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            return pairs, np.bincount(inverse, np.concatenate([c for _, c in held]), len(pairs)).astype(np.int64)
+            first, second = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            words = np.unique(np.concatenate([first, second]))
+            size = _U(len(words))
+            numbers = np.searchsorted(words, first).astype(np.uint64) * size + np.searchsorted(words, second).astype(np.uint64)
+            pairs, inverse = np.unique(numbers, return_inverse=True)
+            c = np.bincount(inverse, np.concatenate([h[2] for h in held]), len(pairs)).astype(np.int64)
+            return words, (pairs // size).astype(np.int64), (pairs % size).astype(np.int64), c
 
         def told():
-            pairs, c = sums()
-            keep = c >= least
-            return _batch(["shard", "pairs", "counts", "once", "twice"], [at], pa.array([_packed(pairs[keep])], pa.binary()), pa.array([c[keep].astype("<i8").tobytes()], pa.binary()), [int((c == 1).sum())], [int((c == 2).sum())])
+            words, first, second, c = sums()
+            return _batch(["shard", "words", "pairs", "counts", "once", "twice"], [at], *map(_binary, _closed(model.value, words, first, second)), _binary(zlib.compress(c.astype("<i8").tobytes(), 1)), [int((c == 1).sum())], [int((c == 2).sum())])
 
         for b in batches:
-            for s, p, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for s, w, p, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if s != at and held:
                     yield told()
                     held = []
                 at = s
-                held.append((_unpacked(p), np.frombuffer(zlib.decompress(c), "<u4")))
+                held.append((*_opened(model.value, w, p), np.frombuffer(zlib.decompress(c), "<u4")))
                 if len(held) > 64:
-                    held = [sums()]
+                    words, first, second, c = sums()
+                    held = [(words[first], words[second], c)]
         if held:
             yield told()
 
-    parts = train.mapInArrow(count, "shard long, pairs binary, counts binary")
-    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, pairs binary, counts binary, once long, twice long")
+    parts = train.mapInArrow(count, "shard long, words binary, pairs binary, counts binary")
+    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, words binary, pairs binary, counts binary, once long, twice long")
     return stored(merged, "pairs")
 
 
-def train_model(train: DataFrame, vocabulary: int = VOCABULARY, least: int = 2):
-    """(model, unigrams, tries): tries has (shard, pointers, followers, codes, book), a stored table; None without a token."""
+def _number_of_shards(n: int) -> int:
+    return min(MOST_SHARDS, max(LEAST_SHARDS, -(-n // SHARD_TOKENS)))
+
+
+def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
+    """(model, words, tries): words has (w, c, followers), a row per word; tries has (shard, contexts, words, pointers, followers, codes, book). Stored tables; model and tries are None without a token.
+
+    vocabulary: how many words' counts tasks hold, at most; the results don't depend on it.
+    """
     spark = train.sparkSession
     known = unigrams(train)
     n, v, once, twice = known.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     if not n:
-        return None, known, None
+        return None, known.withColumn("followers", F.lit(0).cast("long")), None
     is_end = F.col("w") == int(np.array([END], np.uint64).view(np.int64)[0])
-    top = known.filter(is_end).union(most_frequent(known.filter(~is_end), "c", vocabulary)).toPandas()
-    model = Model(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(), n, v, once, twice)
-    shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-n // SHARD_TOKENS)))
-    counted = pair_counts(train, spark.sparkContext.broadcast(model), shards, least)
+    top = stored(known.filter(is_end).union(most_frequent(known.filter(~is_end), "c", vocabulary)), "frequent")
+    held = top.toPandas()
+    model = Model(held["w"].to_numpy(np.int64).view(np.uint64), held["c"].to_numpy(), n, v, once, twice)
+    words_of = spark.sparkContext.broadcast(model)
+    counted = pair_counts(train, words_of, _number_of_shards(n))
     once, twice = counted.agg(F.sum("once"), F.sum("twice")).first()
     model.pair_discount = once / (once + 2 * twice) if once and twice else 0.5
-    size, discount = len(model.words) + 1, model.pair_discount
 
-    def masses(batches):
-        total = np.zeros(size)
+    def kinds(batches):
         for b in batches:
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total += np.bincount((_unpacked(p) // _U(size)).astype(np.int64), np.frombuffer(c, "<i8") - discount, size)
-        has = np.flatnonzero(total)
-        yield _batch(["word", "mass"], has, total[has])
-
-    mass = counted.select("pairs", "counts").mapInArrow(masses, "word long, mass double").groupBy("word").agg(F.sum("mass").alias("mass")).toPandas()  # a row per frequent word
-    used = np.zeros(size)
-    used[mass["word"].to_numpy()] = mass["mass"].to_numpy()
-    model.back_off = np.log10(np.maximum(1 - used / np.maximum(model.context, used), 1e-9))
+            for w, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                first, c = np.unique(_opened(words_of.value, w, p)[0], return_counts=True)
+                yield _batch(["__w", "f"], first.view(np.int64), c)
+
+    followers = counted.select("words", "pairs").mapInArrow(kinds, "__w long, f long").groupBy("__w").agg(F.sum("f").alias("followers"))
+    words = stored(known.join(followers, F.col("w") == F.col("__w")).select("w", "c", "followers"), "words")  # each word is followed by one or an end
+    held = words.join(F.broadcast(top.select("w")), "w", "left_semi").toPandas()
+    model.followers = held.sort_values("w", key=lambda w: w.to_numpy(np.int64).view(np.uint64))["followers"].to_numpy(np.float64)
     shared = spark.sparkContext.broadcast(model)
 
+    def rare(batches):
+        for b in batches:
+            for shard, w, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                second = np.unique(_opened(shared.value, w, p)[1])
+                second = second[~shared.value.places(second)[0]]
+                yield _batch(["shard", "__w"], np.full(len(second), shard), second.view(np.int64))
+
     def tries(batches):
-        m = shared.value
+        m, at, held, pairs = shared.value, None, [], None
+
+        def told():
+            first, second, c = pairs
+            w, of = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0))
+            order = np.argsort(w)
+            w, of = w[order], of[order]
+
+            contexts, starts, f = np.unique(first, return_index=True, return_counts=True)
+            hot, i = m.places(contexts)
+            total = np.where(hot, m.counts[i], np.add.reduceat(c, starts))
+            back_off = m.pair_discount * np.where(hot, m.followers[i], f) / total
+            x = np.repeat(np.arange(len(contexts)), f)
+
+            words, y = np.unique(second, return_inverse=True)
+            hot, i = m.places(words)
+            count = m.counts[i]
+            if len(w):
+                count = np.where(hot, count, of[np.minimum(np.searchsorted(w, words), len(w) - 1)])
+            p = m.word_p(count)[y]
+            gain = np.log10((c - m.pair_discount) / total[x] + back_off[x] * p) - np.log10(back_off[x] * p)
+            t = Trie.encode(x, y, gain, len(contexts))
+            return _batch(["shard", "contexts", "words", *t], [at], _binary(m.listed(contexts)), _binary(m.listed(words)), *map(_binary, t.values()))
+
         for b in batches:
-            for shard, p, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                first, second = m.apart(_unpacked(p))
-                prob = (np.frombuffer(c, "<i8") - discount) / m.context[first] + 10.0 ** (m.back_off[first] + m.log_p[second])
-                t = Trie.encode(first, second, np.log10(np.minimum(prob, 1)), size)
-                yield _batch(["shard", *t], [shard], *[pa.array([x], pa.binary()) for x in t.values()])
+            shard, ws, cs = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if shard[i] != at:
+                    if pairs is not None:
+                        yield told()
+                    at, held, pairs = int(shard[i]), [], None
+                if b.column(3)[i].is_valid:
+                    pairs = (*_opened(m, b.column(3)[i].as_py(), b.column(4)[i].as_py()), np.frombuffer(zlib.decompress(b.column(5)[i].as_py()), "<i8"))
+                    i += 1
+                if i < j:
+                    held.append((ws[i:j].astype(np.int64).view(np.uint64), cs[i:j].astype(np.float64)))
+        if pairs is not None:
+            yield told()
 
-    encoded = counted.select("shard", "pairs", "counts").mapInArrow(tries, "shard long, pointers binary, followers binary, codes binary, book binary")
-    return model, known, stored(encoded, "tries")
+    asked = counted.select("shard", "words", "pairs").mapInArrow(rare, "shard long, __w long").join(words, F.col("w") == F.col("__w"))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
+    both = counted.select("shard", *[F.lit(0).cast("long").alias(x) for x in ("w", "c")], "words", "pairs", "counts").union(asked.select("shard", "w", "c", *none("binary", "words", "pairs", "counts")))
+    both = both.repartition("shard").sortWithinPartitions("shard", F.col("words").isNull())
+    encoded = both.mapInArrow(tries, "shard long, contexts binary, words binary, pointers binary, followers binary, codes binary, book binary")
+    return model, words, stored(encoded, "tries")
 
 
 def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFrame:
@@ -270,13 +367,13 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
 
         def told():
             nonlocal parts
-            pairs, rows = np.concatenate([p for p, _ in held]), np.concatenate([r for _, r in held])
-            order = np.argsort(pairs, kind="stable")
-            pairs, rows, part = pairs[order], rows[order], (TaskContext.get().partitionId() << 24) + parts
+            found, rows = Pairs([h[:2] for h in held]), np.concatenate([r for *_, r in held])
+            order = np.argsort(found.numbers, kind="stable")
+            rows, part = rows[order], (TaskContext.get().partitionId() << 24) + parts
             parts += 1
-            prints = pa.array([np.array(marks, "<i8").tobytes()], pa.binary())
-            for s, at in _by_shard(pairs, shards):
-                yield _batch(["shard", "part", "a", "b", "c", "d"], [s], [part], pa.array([_packed(pairs[at])], pa.binary()), pa.array([zlib.compress(rows[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)], pa.binary()), prints, pa.nulls(1, pa.binary()))
+            prints = _binary(np.array(marks, "<i8").tobytes())
+            for s, at, w, p in found.by_shard(found.numbers[order], model.value, shards):
+                yield _batch(["shard", "part", "a", "b", "c", "d", "e", "f"], [s], [part], _binary(w), _binary(p), _binary(zlib.compress(rows[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)), prints, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()))
 
         for b in batches:
             for _, _, tokens, off in token_chunks(b.column(0)):
@@ -285,8 +382,7 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
                 if fresh.any():
                     lengths = np.diff(off)
                     rows = np.repeat(np.where(fresh, np.cumsum(fresh) - 1 + len(marks), -1).astype(np.int32), lengths)
-                    pairs = model.value.pairs(model.value.numbers(tokens), off)
-                    held.append((pairs[rows >= 0], rows[rows >= 0]))
+                    held.append((tokens[rows >= 0], _before(tokens, off)[rows >= 0], rows[rows >= 0]))
                     marks.extend(prints[fresh].tolist())
                     size += int(lengths[fresh].sum())
                     if size >= AT_ONCE:
@@ -297,26 +393,27 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
 
     def answer(batches):
         trie, at = None, None
-        m = model.value
         for b in batches:
-            for s, part, x, y, z, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for s, part, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part is None:
-                    trie, at = Trie(x, y, z, w), s
+                    contexts, words, trie, at = model.value.unlisted(x[0]), model.value.unlisted(x[1]), Trie(*x[2:]), s
                     continue
-                prints = np.frombuffer(z, "<i8")
-                gain = np.zeros(len(prints))
-                if at == s and len(trie.codes):
-                    first, second = m.apart(_unpacked(x))
-                    rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(y), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                    found, logs = trie.find(first, second)
-                    gain += np.bincount(rows[found], logs - m.back_off[first[found]] - m.log_p[second[found]], len(prints))
+                if at != s:
+                    continue
+                prints = np.frombuffer(x[3], "<i8")
+                rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(x[2]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+                first, second = _opened(model.value, x[0], x[1])
+                i, j = np.minimum(np.searchsorted(contexts, first), len(contexts) - 1), np.minimum(np.searchsorted(words, second), len(words) - 1)
+                may = (contexts[i] == first) & (words[j] == second)
+                found, gains = trie.find(i[may], j[may])
+                gain = np.bincount(rows[may][found], gains, len(prints))
                 has = np.flatnonzero(gain)
                 if len(has):
                     yield _batch(["part", "print", "gain"], np.full(len(has), part), prints[has], gain[has])
 
-    names = "shard long, part long, a binary, b binary, c binary, d binary"
+    names = "shard long, part long, a binary, b binary, c binary, d binary, e binary, f binary"
     asked = texts.mapInArrow(ask, names)
-    levels = tries.select("shard", F.lit(None).cast("long").alias("part"), F.col("pointers").alias("a"), F.col("followers").alias("b"), F.col("codes").alias("c"), F.col("book").alias("d"))
+    levels = tries.select("shard", F.lit(None).cast("long").alias("part"), *[F.col(x).alias(y) for x, y in zip(("contexts", "words", "pointers", "followers", "codes", "book"), "abcdef", strict=True)])
     met = levels.union(asked).repartition("shard").sortWithinPartitions(F.col("shard"), F.asc_nulls_first("part"))
     gains = met.mapInArrow(answer, "part long, print long, gain double")
     return stored(gains.groupBy("print", "part").agg(F.sum("gain").alias("gain")).groupBy("print").agg(F.max("gain").alias("gain")), "gains")
@@ -338,38 +435,36 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), held_out.alias("held_out"), F.col(text).alias("t"))
     model, known, tries = train_model(rows.filter(~F.col("held_out")).select("t"), vocabulary)
     if model is None:
-        model = Model(np.array([END], np.uint64), np.array([0]), 1, 0, 0, 0)
-        model.n, model.base[:] = 0, np.log10(0.1 / 0.1)
-        model.back_off[:], model.log_p[:], model.other = 0, 0, 1
+        model = Model(np.array([END], np.uint64), np.array([0]), 0, 0, 0, 0)
     shared = spark.sparkContext.broadcast(model)
+    whole = model.n + 0.1 * (model.v + 1)
 
     def first(batches):
         m = shared.value
-        score, base, is_known = m.log_p, np.r_[0.0, m.base], np.r_[0, (m.counts > 0).astype(np.int64)]
+        base = np.log10((m.counts + 0.1) / whole) if m.n else np.zeros(1)
+        score = np.log10(m.word_p(m.counts)) + np.log10(m.pair_discount * m.followers / m.counts) if m.n else np.zeros(1)
         for b in batches:
             for i, j, tokens, off in token_chunks(b.column(2)):
-                numbers = m.numbers(tokens)
-                contexts, _ = m.apart(m.pairs(numbers, off))
+                hot, places = m.places(tokens)
                 at = off[:-1]
-                other = numbers == 0
-                tail = np.r_[0, np.cumsum(other)][off].astype(np.int32)
-                yield _batch(["doc", "held_out", "print", "n_tokens", "n_known", "base", "score", "others"], b.column(0)[i:j], b.column(1)[i:j], text_prints(tokens, off), np.diff(off), np.add.reduceat(is_known[numbers], at), np.add.reduceat(base[numbers], at), np.add.reduceat(m.back_off[contexts] + score[numbers], at), pa.ListArray.from_arrays(pa.array(tail), pa.array(tokens[other].view(np.int64))))
+                tail = np.r_[0, np.cumsum(~hot)][off].astype(np.int32)
+                sums = lambda x: np.add.reduceat(np.where(hot, x[places], 0), at)
+                yield _batch(["doc", "held_out", "print", "n_tokens", "n_known", "base", "score", "others"], b.column(0)[i:j], b.column(1)[i:j], text_prints(tokens, off), np.diff(off), sums((m.counts > 0).astype(np.int64)), sums(base), sums(score), pa.ListArray.from_arrays(pa.array(tail), pa.array(tokens[~hot].view(np.int64))))
 
     kinds = "doc long, held_out boolean, print long, n_tokens long, n_known long, base double, score double, others array<long>"
     each = stored(rows.mapInArrow(first, kinds).withColumn("row", F.monotonically_increasing_id()), "scores")
-    others = each.select("row", F.explode("others").alias("w")).join(known, "w", "left")
-    whole = model.n + 0.1 * (model.v + 1)
-    unseen = model.discount * model.v if model.n else 1.0
-    own = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise(F.col("c") - model.discount) / model.other
-    others = others.groupBy("row").agg(F.count("c").alias("more_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / whole)).alias("more_base"), F.sum(F.log10(own)).alias("more_score"))
+    # a text's words and its end are also what comes before its words and its end: each token gives its own logarithm and its back-off's
+    c, zero = F.col("c"), F.lit(0)
+    own = F.when(c.isNull(), F.log10(F.lit(model.discount * max(model.v, 1) / max(model.n, 1)))).otherwise(F.log10((c - model.discount) / max(model.n, 1)) + F.log10(model.pair_discount * F.col("followers") / c))
+    others = each.select("row", F.explode("others").alias("__w")).join(known, F.col("__w") == F.col("w"), "left")
+    more_base = F.log10((F.coalesce(c, zero) + 0.1) / whole)
+    others = others.groupBy("row").agg(F.count("c").alias("more_known"), F.sum(more_base).alias("more_base"), F.sum(own if model.n else more_base).alias("more_score"))
     out = each.drop("others").join(others, "row", "left")
     if tries is not None:
-        shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-model.n // SHARD_TOKENS)))
-        gains = pair_gains(rows.select("t"), shared, shards, tries)
+        gains = pair_gains(rows.select("t"), shared, _number_of_shards(model.n), tries)
         out = out.join(gains.withColumnRenamed("print", "__print"), F.col("print") == F.col("__print"), "left")
     else:
         out = out.withColumn("gain", F.lit(0.0))
-    zero = F.lit(0)
     return out.select("doc", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"), F.lit(int(model.n)).cast("long").alias("train_tokens"),
                       (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"))
 

@@ -269,6 +269,33 @@ def test_scores(docs, empty, spark, vocabulary):
     assert scores[4][1] > scores[4][0] + 50
 
 
+@pytest.mark.parametrize("vocabulary", [1 << 18, 20, 0])
+def test_scores_by_all_pairs(spark, vocabulary):
+    """Every word has its pairs, those that occur once too, however few words tasks hold."""
+    texts = [(i, prose(30 + 7 * i, 500 + i) + (" the of the of and" if i % 2 else "") + f" own{i} word{i}") for i in range(12)] + [(20, texts_end := "the of own1 word1 own3 word3 never seen"), (24, "own1 word1 own1"), (28, None), (29, texts_end)]
+    found = {r.doc: r.score for r in lm.scored(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), F.col("doc_id") % 4 == 0, vocabulary=vocabulary).collect()}
+    c, pair, follow = Counter(), Counter(), Counter()
+    for i, t in texts:
+        if i % 4:
+            w = [*words(t), None]
+            c.update(w)
+            pair.update(zip([None, *w], w, strict=False))
+    follow.update(a for a, _ in pair)
+    n, v = sum(c.values()), len(c)
+    grade = lambda x: sum(k == 1 for k in x.values()) / (sum(k == 1 for k in x.values()) + 2 * sum(k == 2 for k in x.values()))
+    d1, d2 = grade(c), grade(pair)
+
+    def score(t):
+        w, total = [*words(t), None], 0
+        for a, b in zip([None, *w], w, strict=False):
+            p = (c[b] - d1 if c[b] else d1 * v) / n
+            total += math.log10((max(pair[a, b] - d2, 0) / c[a] + d2 * follow[a] / c[a] * p) if c[a] else p)
+        return total
+
+    for i, t in texts:
+        assert abs(found[i] - score(t)) < 0.02 * (len(words(t)) + 1), i
+
+
 def test_secrets(docs, empty):
     kinds = [("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
     want = Counter()
