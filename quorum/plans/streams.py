@@ -16,11 +16,18 @@ from .registry import query
 
 
 def _finished(df: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream, run to the end of its input."""
-    name = "stream_" + uuid.uuid4().hex
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quorum-")
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """The result of a stream, run to the end of its input: a table in the shared folder, of which nothing goes through the driver."""
+    spark, name = df.sparkSession, "stream_" + uuid.uuid4().hex
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quorum-")
+    out = f"{base}/{name}-out"
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/none")  # a stream without a row is a table too
+
+    def write(batch: DataFrame, number: int) -> None:
+        """In complete mode each batch is the whole result; else a part, which a repeated batch writes over."""
+        batch.write.mode("overwrite").parquet(f"{out}/{'whole' if mode == 'complete' else number}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 def _stream(spark, sf_dir) -> DataFrame:
