@@ -8,7 +8,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
@@ -97,6 +97,8 @@ def packed_in_order(sizes: Column, budget: int) -> Column:
 
 def version_changes(docs: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """(key, from, to, html, added, removed, unchanged): each key's last version against the one before it; its only one against nothing."""
-    last = docs.groupBy(key).agg(F.slice(F.reverse(F.sort_array(F.collect_list(F.struct(order, text)))), 1, 2).alias("v"))
-    to, before = F.col("v")[0], F.try_element_at("v", F.lit(2))
-    return last.select(key, before[order].alias("from"), to[order].alias("to"), diff(before[text], to[text]).alias("d")).select(key, "from", "to", "d.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(text)))  # each task keeps two rows a key before any are dealt
+    last = docs.select(key, order, text, place.alias("__place")).filter("__place <= 2")
+    version = lambda k: F.max(F.when(F.col("__place") == k, F.struct(order, text)))
+    last = last.groupBy(key).agg(version(1).alias("to"), version(2).alias("before"))
+    return last.select(key, F.col("before")[order].alias("from"), F.col("to")[order].alias("to"), diff(F.col("before")[text], F.col("to")[text]).alias("d")).select(key, "from", "to", "d.*")
