@@ -143,20 +143,23 @@ def matches(ix: Index, words: list[str], spans, band: int, least_percent: int) -
     grams = _grams(h, ix.gram)
     i = np.minimum(np.searchsorted(ix.keys, grams), len(ix.keys) - 1)
     hits = np.flatnonzero(ix.keys[i] == grams)
-    tried: dict[int, set[int]] = defaultdict(set)
+    tried: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    covered: dict[int, int] = defaultdict(int)  # the words up to here are in matches of the template
     found = []
     for at in hits.tolist():
         for t, place in ix.places[int(grams[at])]:
             diagonal = at - place
-            if diagonal // band in tried[t]:
-                continue
-            tried[t].add(diagonal // band)
-            name, template = ix.templates[t]
-            lo = max(0, diagonal - band)
-            part = words[lo : diagonal + len(template) + band + 1]
-            n, first, end = aligned(template, part, diagonal - lo, band)
-            if 100 * n >= least_percent * len(template):
-                found.append((name, t, 100 * n // len(template), n, len(template), spans[lo + first][1], spans[lo + end - 1][2]))
+            for floor in sorted({0, covered[t] if at >= covered[t] else 0}):  # what goes before, and without what is matched already
+                if (diagonal // band, floor) in tried[t]:
+                    continue
+                tried[t].add((diagonal // band, floor))
+                name, template = ix.templates[t]
+                lo = max(0, diagonal - band, floor)
+                part = words[lo : diagonal + len(template) + band + 1]
+                n, first, end = aligned(template, part, diagonal - lo, band)
+                if 100 * n >= least_percent * len(template):
+                    covered[t] = max(covered[t], lo + end)
+                    found.append((name, t, 100 * n // len(template), n, len(template), spans[lo + first][1], spans[lo + end - 1][2]))
     kept = []
     for m in sorted(found, key=lambda m: (m[1], -m[3], m[5])):
         if all(m[1] != k[1] or m[6] <= k[5] or k[6] <= m[5] for k in kept):

@@ -327,6 +327,13 @@ def test_licenses(docs, empty, spark):
     assert licenses.scan(empty).count() == 0
 
 
+def test_adjacent_licenses(spark):
+    line = "Released under the MIT License."
+    for n in (2, 3, 7):
+        found = licenses.scan(spark.createDataFrame([(1, "so: " + " ".join([line] * n))], "doc_id long, text string")).collect()
+        assert sorted((r.start, r.end) for r in found if r.license == "MIT") == [(4 + k * (len(line) + 1), 4 + k * (len(line) + 1) + len(line)) for k in range(n)]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(40, 16))
