@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each source's documents are dealt by hash into blocks. A source takes part with whole passes over all its blocks and a last,
-partial pass over the first blocks of a random order. The blocks that a source has to give, counted pass by pass, are its
-quota. A splitting tree halves the range of output shards again and again and draws, at each node, how many blocks of each
+Each source's documents are dealt by hash into blocks, a power of two of them. A source takes part with whole passes over all
+its blocks, each in another order, and a last, partial pass over its first blocks: the hash has made their order a
+random one. The blocks that a source has to give, counted pass by pass, are its quota. A splitting tree halves the range of output shards again and again and draws, at each node, how many blocks of each
 source go left: a multivariate hypergeometric draw, so the shards are as if all blocks had been shuffled and dealt. A
 shard takes the next blocks of each source's order, disjoint from all others', and shuffles its documents by itself.
 """
@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, sized, stored
+from .common import WORD, documents, prefix, sized, stored
 
 #: Weights of the sources in order, repeating; what all take, in hundredths of all words; passes over a source at most.
 WEIGHTS, PERCENT, MOST_PASSES = (3, 1, 2), 150, 2
-BLOCK_WORDS, MOST_BLOCKS, SHARD_WORDS, SEED = 50_000, 4096, 4_000_000, 17
+BLOCK_WORDS, SHARD_WORDS, SEED = 50_000, 4_000_000, 17
+#: Neighbouring blocks, a power of two, whose words are summed before one order goes over all of a source.
+RUN_BITS = 12
 
 
 def _let(value: Column, f) -> Column:
@@ -101,66 +103,96 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return each.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
+def _permuted(block: Column, bits: Column, *keys: Column) -> Column:
+    """The place of a block, a number of so many bits, in an order that keys choose: one-to-one steps of shifts and odd factors."""
+    half = F.greatest(F.floor(bits / 2), F.lit(1)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    draw = lambda n, most: F.xxhash64(F.lit(n), *keys).bitwiseAND(most)
+    fold = lambda x: _let(x, lambda y: y.bitwiseXOR(F.call_function("shiftright", y, half)))
+    odd = lambda n: draw(n, F.lit((1 << 20) - 1)).bitwiseOR(F.lit(1))
+    x = fold((fold(block) * odd(1)).bitwiseAND(mask))
+    return (x * odd(2) + draw(3, mask)).bitwiseAND(mask)
+
+
+def last_pass(blocks: DataFrame, spec: DataFrame) -> DataFrame:
+    """(i, whole, room) of blocks (i, block, words): how many of its first blocks a source's last pass takes whole, and the words that it takes of the next; null if of none.
+
+    Runs of blocks are summed first, so an order over all of a source is one of runs, and then of the blocks of one run.
+    """
+    rest = sized(spec.select("i", "rest", "blocks"), 50_000)
+    upto = lambda order: F.sum("words").over(Window.partitionBy("i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    run = F.shiftright("block", RUN_BITS)
+    runs = blocks.groupBy("i", run.alias("run")).agg(F.sum("words").alias("words")).withColumn("upto", upto("run")).join(rest, "i")
+    cut = stored(runs.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest"))).select("i", "run", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("left")), "cut-runs")
+    inside = blocks.withColumn("run", run).join(sized(cut, 50_000), ["i", "run"]).withColumn("upto", upto("block"))
+    inside = inside.filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left"))).select("i", F.col("block").alias("whole"), (F.col("left") - (F.col("upto") - F.col("words"))).alias("room"))
+    out = spec.select("i", "rest", "blocks").join(F.broadcast(inside), "i", "left")  # a row per source
+    some = F.col("rest") > 0
+    return out.select("i", F.when(some, F.coalesce("whole", "blocks")).otherwise(0).cast("long").alias("whole"), F.when(some & (F.col("room") > 0), F.col("room")).alias("room"))
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, percent: int = PERCENT, most_passes: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """docs and __size, __source_size, __target, __copies: an array of (pass, shard), one for each time the mix takes the row.
+    """docs and size, source_size, target and copies, named with common.prefix(docs); copies: an array of (pass, shard), one for each time the mix takes the row.
 
     The size is the number of words. Null and empty texts have none and are taken with their block; a null source is one of
-    its own; rows with one id are taken alike; extra columns pass through. Only the last block of a partial pass is
-    taken in part: its documents in random order while they fit, and then the one that comes nearest to what is left.
-    All draws come from hashes of ids and the seed, so reruns agree.
+    its own; rows with one id and text are taken alike; extra columns pass through, whatever their names. Only the last
+    block of a partial pass is taken in part: its documents in random order while they fit, and then the one that comes
+    nearest to what is left. All draws come from hashes of ids, texts and the seed, so reruns agree. A source has as many
+    blocks as its words need, however many; there are as many shards.
     """
-    key, within = F.xxhash64(F.lit(seed), F.col("doc")), F.xxhash64(F.lit(seed + 1), F.col("doc"))
-    sizes = docs.select(F.col(id_col).alias("doc"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = stored(sizes, "sizes")
+    pre = prefix(docs)
+    c = lambda name: F.col(pre + name)
+    key, within = (F.xxhash64(F.lit(seed + k), docs[id_col], docs[text]) for k in (0, 1))
+    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = stored(docs.select(docs[source].alias("source"), key.alias("key"), within.alias("h"), size.alias("size")), "sizes")
     spec = sources_to_targets(sizes, weights, percent, most_passes)
-    spec = stored(spec.withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / block_words))).cast("long")), "sources")
-    spec_of = sized(spec.withColumnRenamed("source", "__source"), 50_000)
-    dealt = sizes.join(spec_of, F.col("source").eqNullSafe(F.col("__source"))).select("i", F.pmod(key, F.col("blocks")).alias("block"), within.alias("h"), "size")
+    bits = F.when(F.col("source_size") > block_words, F.ceil(F.log2(F.col("source_size") / block_words))).otherwise(0).cast("int")
+    spec = stored(spec.withColumn("bits", bits).withColumn("blocks", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))), "sources")
+    spec_of = sized(spec.withColumnRenamed("source", "source2"), 50_000)
+    dealt = sizes.join(spec_of, F.col("source").eqNullSafe(F.col("source2"))).select("i", F.pmod("key", "blocks").alias("block"), "h", "size")
     blocks = stored(dealt.groupBy("i", "block").agg(F.sum("size").alias("words")), "blocks")
 
-    # the order of blocks in the last pass, what it takes whole, and the block that it takes in part
-    order = Window.partitionBy("i").orderBy(F.xxhash64(F.lit(seed + 2), "i", "block"), "block")
-    ranked = blocks.join(sized(spec.select("i", "passes", "rest"), 50_000), "i").withColumns({"rank": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("i")), "upto": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    ranked = ranked.withColumn("draw", F.when(F.col("upto") <= F.col("rest"), "whole").when(F.col("upto") - F.col("words") < F.col("rest"), "part").otherwise("none"))
-    ranked = stored(ranked, "ranked")
-    part = ranked.filter("draw = 'part'").select("i", "block", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("room"))
-    inside = Window.partitionBy("i").orderBy("h", "size")
-    last = dealt.join(sized(part, 50_000), ["i", "block"]).withColumn("upto", F.sum("size").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
+    # what the last pass takes of the block that it takes in part
+    last = last_pass(blocks, spec)
+    last = stored(last, "last-passes")
+    part = last.filter("room IS NOT NULL").select("i", F.col("whole").alias("block"), "room")
+    inside = Window.partitionBy("i").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
+    within_part = dealt.join(sized(part, 50_000), ["i", "block"]).withColumn("upto", F.sum("size").over(inside))
     fits = F.col("upto") <= F.col("room")
-    cut = last.groupBy("i").agg(F.max(F.when(fits, F.struct("upto", "h"))).alias("cut"), F.first("room").alias("room"), F.first("block").alias("block"))
-    cut = cut.select("i", "block", F.col("cut.h").alias("until"), (F.col("room") - F.coalesce(F.col("cut.upto"), F.lit(0))).alias("gap"))
-    more = last.join(cut.select("i", "gap"), "i").filter(~fits & (F.col("size") < 2 * F.col("gap"))).groupBy("i").agg(F.min_by("h", F.struct(F.abs(F.col("size") - F.col("gap")), F.col("h"))).alias("also"))
-    cut = cut.join(more, "i", "left").select("i", "block", "until", "also")
+    cut = within_part.groupBy("i").agg(F.max(F.when(fits, F.struct("upto", "h"))).alias("cut"), F.first("room").alias("room"))
+    cut = cut.select("i", F.col("cut.h").alias("until"), (F.col("room") - F.coalesce(F.col("cut.upto"), F.lit(0))).alias("gap"))
+    more = within_part.join(cut.select("i", "gap"), "i").filter(~fits & (F.col("size") < 2 * F.col("gap"))).groupBy("i").agg(F.min_by("h", F.struct(F.abs(F.col("size") - F.col("gap")), F.col("h"))).alias("also"))
+    cut = cut.join(more, "i", "left").select("i", "until", "also")
 
     # blocks numbered pass by pass, and the shards that take them
-    passes = ranked.withColumn("times", F.col("passes") + F.when(F.col("draw") == "none", 0).otherwise(1))
-    quotas = stored(passes.groupBy("i").agg(F.sum("times").alias("q")), "quotas")
+    given = stored(spec.join(F.broadcast(last), "i").join(F.broadcast(cut), "i", "left"), "given")  # a row per source, as all of these
+    quotas = given.select("i", (F.col("passes") * F.col("blocks") + F.col("whole") + F.col("room").isNotNull().cast("long")).alias("q"))
     total = (spec.agg(F.sum("target")).first()[0] or 0.0) / shard_words
     taken = shard_quotas(quotas, max(1, round(total)), seed + 3).filter("n > 0").select("i", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("t"))
-    numbered = passes.filter("times > 0").select("i", "block", "draw", "rank", "n", "passes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("pass"))
-    place = Window.partitionBy("i").orderBy("pass", F.xxhash64(F.lit(seed + 4), "pass", "i", "block"), "block")
-    numbered = numbered.withColumn("t", (F.row_number().over(place) - 1).cast("long"))
-    copies = numbered.join(taken, ["i", "t"]).groupBy("i", "block").agg(
-        F.sort_array(F.collect_list(F.when((F.col("pass") < F.col("passes")) | (F.col("draw") == "whole"), F.struct("pass", "shard")))).alias("whole"),
-        F.sort_array(F.collect_list(F.when((F.col("pass") == F.col("passes")) & (F.col("draw") == "part"), F.struct("pass", "shard")))).alias("part"))
-    copies = stored(copies.join(cut, ["i", "block"], "left"), "copies")
-
-    ours = {"__doc_key": F.xxhash64(F.lit(seed), F.col(id_col)), "__h": F.xxhash64(F.lit(seed + 1), F.col(id_col)), "__size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")}
-    df = docs.withColumns(ours).join(spec_of.select("__source", F.col("i").alias("__i"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("blocks").alias("__blocks")), F.col(source).eqNullSafe(F.col("__source")))
-    df = df.withColumn("__block", F.pmod(F.col("__doc_key"), F.col("__blocks")))
-    renamed = copies.select(*[F.col(c).alias("__c_" + c) for c in copies.columns])
-    df = df.join(sized(renamed, 200_000), (F.col("__i") == F.col("__c_i")) & (F.col("__block") == F.col("__c_block")), "left")
-    in_part = F.coalesce(F.col("__h") <= F.col("__c_until"), F.lit(False)) | F.coalesce(F.col("__h") == F.col("__c_also"), F.lit(False))
+    numbered = blocks.select("i", "block").join(sized(given, 50_000), "i").select("i", "block", "bits", "blocks", "passes", "whole", F.explode(F.sequence(F.lit(0).cast("long"), "passes")).alias("pass"), (F.col("room").isNotNull() & (F.col("block") == F.col("whole"))).alias("cut"))
+    full = F.col("pass") < F.col("passes")
+    place = F.when(full, _permuted(F.col("block"), F.col("bits"), F.lit(seed + 4), F.col("i"), F.col("pass"))).otherwise(F.col("block"))
+    numbered = numbered.filter(full | (F.col("block") < F.col("whole")) | F.col("cut")).select("i", "block", "pass", (F.col("pass") * F.col("blocks") + place).alias("t"), (~full & F.col("cut")).alias("cut"))
+    each = lambda some: F.sort_array(F.collect_list(F.when(some, F.struct("pass", "shard"))))  # noqa: E731  as many as there are passes
+    copies = stored(numbered.join(taken, ["i", "t"]).groupBy("i", "block").agg(each(~F.col("cut")).alias("whole"), each(F.col("cut")).alias("part")), "copies")
+
+    spec_of = sized(given.select(F.col("source").alias(pre + "source"), *[F.col(x).alias(pre + x) for x in ("i", "source_size", "target", "blocks", "until", "also")]), 50_000)
+    df = docs.withColumns({pre + "key": key, pre + "h": within, pre + "size": size}).join(spec_of, docs[source].eqNullSafe(c("source")))
+    df = df.withColumn(pre + "block", F.pmod(c("key"), c("blocks")))
+    of_block = copies.select(*[F.col(x).alias(pre + "c_" + x) for x in copies.columns])
+    df = df.join(sized(of_block, 200_000), (c("i") == c("c_i")) & (c("block") == c("c_block")), "left")
+    in_part = F.coalesce(c("h") <= c("until"), F.lit(False)) | F.coalesce(c("h") == c("also"), F.lit(False))
     none = F.array().cast("array<struct<pass:bigint,shard:bigint>>")
-    all_copies = F.concat(F.coalesce("__c_whole", none), F.when(in_part, F.coalesce("__c_part", none)).otherwise(none))
-    return df.select(*docs.columns, "__size", "__source_size", "__target", all_copies.alias("__copies"))
+    all_copies = F.concat(F.coalesce(c("c_whole"), none), F.when(in_part, F.coalesce(c("c_part"), none)).otherwise(none))
+    return df.select(*docs.columns, c("size"), c("source_size"), c("target"), all_copies.alias(pre + "copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """The mix: docs' rows as often as they are taken, each shard in a partition, shuffled by itself."""
-    copies = mix_plan(docs, seed=seed, **options).select(*docs.columns, F.explode("__copies").alias("__copy"))
-    mix = copies.withColumn("__place", F.xxhash64(F.lit(seed + 5), "__copy.pass", F.col(options.get("id_col", "doc_id"))))
-    return mix.repartition(F.col("__copy.shard")).sortWithinPartitions("__copy.shard", "__place").select(*docs.columns)
+    """The mix: docs' rows as often as they are taken; a shard lies whole in one partition, shuffled by itself. Rows are as mix_plan says."""
+    pre = prefix(docs)
+    copies = mix_plan(docs, seed=seed, **options).select(*docs.columns, F.explode(pre + "copies").alias(pre + "copy"))
+    mix = copies.withColumn(pre + "place", F.xxhash64(F.lit(seed + 5), pre + "copy.pass", F.col(options.get("id_col", "doc_id")), F.col(options.get("text", "text"))))
+    return mix.repartition(F.col(pre + "copy.shard")).sortWithinPartitions(pre + "copy.shard", pre + "place").select(*docs.columns)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

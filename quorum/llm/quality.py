@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents
+from .common import WORD, documents, prefix
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -61,13 +61,14 @@ def _window_hashes(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - 8), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(8)]))
 
 
-def with_metrics(docs: DataFrame, text: str = "text", pre: str = "__q_") -> DataFrame:
-    """docs and the columns of METRICS, each named with the prefix pre. A null text counts as an empty one.
+def with_metrics(docs: DataFrame, text: str = "text", pre: str | None = None) -> DataFrame:
+    """docs and the columns of METRICS, each named with the prefix pre, or else common.prefix(docs) and q_. A null text counts as an empty one.
 
     Words in repeated windows: windows are sorted by hash and place, so equal ones are neighbours; each covers
     its eight words or as many as there are before the next such window. Two windows of one text count as equal when
     their 64-bit hashes are, which for a text of a million words goes wrong once in 10^7 texts.
     """
+    pre = pre or prefix(docs) + "q_"
     c = lambda name: F.col(pre + name)
     blank = F.col(pre + "lines")
     df = docs.withColumn(pre + "t", F.coalesce(F.col(text), F.lit("")))
@@ -100,12 +101,14 @@ def with_metrics(docs: DataFrame, text: str = "text", pre: str = "__q_") -> Data
     return df.select(*docs.columns, *[v.cast("long").alias(pre + k) for k, v in number.items()])
 
 
-def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, pre: str = "__q_") -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, pre: str | None = None) -> DataFrame:
     """docs, the metrics and the verdicts pre + base_failed, pre + kept, pre + failed (the rules that don't hold).
 
     Null and empty texts have no words and fail the base rule; ties and repeated rows are judged each by itself, no
-    row depends on another; further columns of docs pass through.
+    row depends on another; further columns of docs pass through, whatever their names: pre, if not given, is
+    common.prefix(docs) and q_.
     """
+    pre = pre or prefix(docs) + "q_"
     named = [Rule(r.name, pre + r.part, pre + r.whole, r.least, r.most) for r in rules]
     base = (F.col(pre + "n_words") < 20) | (F.col(pre + "n_repeat_words") * 100 > F.col(pre + "n_words") * 30)
     failed = F.filter(F.array(*[F.when(~r.holds(), r.name) for r in named]), lambda x: x.isNotNull())
@@ -119,8 +122,9 @@ def kept_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     The row's number keeps the filter above the projection that computes the verdict: pushed below, it would hold a copy
     of each metric for each use.
     """
-    df = judged(docs, text, rules).withColumn("__q_row", F.monotonically_increasing_id())
-    return df.filter(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*docs.columns)
+    pre = prefix(docs) + "q_"
+    df = judged(docs, text, rules, pre).withColumn(pre + "row", F.monotonically_increasing_id())
+    return df.filter(F.col(pre + "kept") & (F.col(pre + "row") >= 0)).select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,16 +36,22 @@ ROWS = [
     (15, "Released under the MIT License. And then licensed UNDER the Apache License, version 2.0!", "b"), (16, "w " * 40, "c"), (17, "\n".join(prose(12, s) for s in range(8)), "c"),
 ]
 TEXTS = [t or "" for _, t, _ in ROWS]
-EXTRA = "doc long, t string, h long, n long, row long, key string, fp long, __kept boolean"
+#: Names that operators use within, or add, in both cases; all in one table at once.
+EXTRA = """doc t h n row key fp g c lo hi kept size i block shard pass copies lines k words _u __kept __SIZE __source_size __Target __copies __copy __source __doc_key __h __key __block __place __i
+__lines __doc __lost __n_lines __n_dropped __q_row __q_n __q_t __Q_kept __row __group ___kept""".split()
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
-    for x in EXTRA.split(", "):
-        name, kind = x.split()
-        df = df.withColumn(name, F.lit(None).cast(kind)) if name != "__kept" else df
-    return df.repartition(3).cache()
+    return df.withColumns({x: F.concat(F.lit(x), F.col("doc_id").cast("string")) for x in EXTRA}).repartition(3).cache()
+
+
+def unchanged(found, docs):
+    """The rows have the columns of docs, and in the extra ones what docs has."""
+    assert found.columns[: len(docs.columns)] == docs.columns
+    for r in found.select("doc_id", F.struct(*EXTRA).alias("x")).collect():
+        assert all(v == (None if r.doc_id is None else f"{k}{r.doc_id}") for k, v in r.x.asDict().items())
 
 
 @pytest.fixture(scope="module")
@@ -72,14 +78,16 @@ def test_quality(docs, empty):
         return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), again, len(w) < 20 or 100 * again > 30 * len(w)
 
     found = quality.judged(docs)
-    names = [f"__q_{c}" for c in (*quality.METRICS[:5], "base_failed")]
+    names = [f"____q_{c}" for c in (*quality.METRICS[:5], "base_failed")]
+    unchanged(found, docs)
     assert rows(found, "doc_id", *names) == Counter((i, *judge(t)) for (i, _, _), t in zip(ROWS, TEXTS, strict=True))
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 13, 17}
+    unchanged(kept, docs)
     assert quality.kept_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("most_pairs, bits", [(500_000, 28), (0, 28), (500_000, 13)])
+@pytest.mark.parametrize("most_pairs, bits", [(500_000, 28), (0, 28), (500_000, 8), (0, 8)])
 def test_lines(docs, empty, most_pairs, bits):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     held = defaultdict(set)
@@ -92,7 +100,8 @@ def test_lines(docs, empty, most_pairs, bits):
         kept = [x for x in t.split("\n") if len(held.get(key(x), ())) < 3 or max(held[key(x)]) == (-1 if i is None else i)]
         want[i, len(t.split("\n")), len(t.split("\n")) - len(kept), "\n".join(kept)] += 1
     found = linededup.with_lines(docs, most_pairs=most_pairs, most_bits=bits).withColumn("text", F.coalesce("text", F.lit("")))
-    assert rows(found, "doc_id", "__n_lines", "__n_dropped", "text") == want
+    assert rows(found, "doc_id", "____n_lines", "____n_dropped", "text") == want
+    unchanged(found, docs)
     assert linededup.with_lines(empty).count() == 0
 
 
@@ -154,10 +163,12 @@ def test_mix(docs, empty, spark):
     plan = mixing.mix_plan(docs, **opts)
     found = plan.collect()
     assert len(found) == len(ROWS) and sorted(map(str, found)) == sorted(map(str, mixing.mix_plan(docs, **opts).collect()))
-    assert Counter((r.doc_id, r["__size"]) for r in found) == Counter((i, len(words(t))) for i, t, _ in ROWS)
-    assert all(len(r["__copies"]) <= 2 for r in found)
-    target = {r.source: r["__target"] for r in found}
-    size = {r.source: r["__source_size"] for r in found}
+    assert Counter((r.doc_id, r["____size"]) for r in found) == Counter((i, len(words(t))) for i, t, _ in ROWS)
+    assert all(len(r["____copies"]) <= 2 for r in found)
+    unchanged(mixing.mix_plan(docs, **opts), docs)
+    unchanged(mixing.mixed_documents(docs, **opts), docs)
+    target = {r.source: r["____target"] for r in found}
+    size = {r.source: r["____source_size"] for r in found}
     weight = dict(zip(["a", "b", "c", "é", None], [3, 1, 2, 3, 1], strict=True))
     left, shared, free = 1.5 * sum(size.values()), {}, dict(weight)
     while free:
@@ -180,6 +191,30 @@ def test_mix(docs, empty, spark):
     assert mixed.columns == many.columns and mixed.count() == plan.agg(F.sum(F.size("__copies"))).first()[0]
 
 
+def test_block_orders(spark):
+    for bits in (0, 1, 2, 5, 12):
+        for key in (1, 2):
+            df = spark.range(1 << bits).select(mixing._permuted(F.col("id"), F.lit(bits), F.lit(key)).alias("x"))
+            found = [r.x for r in df.collect()]
+            assert sorted(found) == list(range(1 << bits)) and (bits < 5 or found != sorted(found))
+
+
+@pytest.mark.parametrize("run", [1, 12])
+def test_last_pass(spark, monkeypatch, run):
+    """The first blocks while they fit, and room in the next, however blocks lie in runs."""
+    monkeypatch.setattr(mixing, "RUN_BITS", run)
+    r = random.Random(9)
+    words_ = {(i, b): r.randrange(5) for i in range(40) for b in range(16) if r.random() < 0.8}
+    rest = {i: r.choice([0.0, 0.5, 3.0, r.random() * 30, sum(w for (j, _), w in words_.items() if j == i) * 1.0]) for i in range(40)}
+    found = {x.i: (x.whole, x.room) for x in mixing.last_pass(spark.createDataFrame([(i, b, w) for (i, b), w in words_.items()], "i int, block long, words long"), spark.createDataFrame([(i, x, 16) for i, x in rest.items()], "i int, rest double, blocks long")).collect()}
+    for i, x in rest.items():
+        whole, room = found[i]
+        taken = sum(words_.get((i, b), 0) for b in range(whole))
+        assert (whole, room) == (0, None) if x <= 0 else taken <= x and (taken + (room or 0) == pytest.approx(x) or whole == 16), (i, x)
+        if x > 0 and whole < 16:
+            assert taken + words_.get((i, whole), 0) > x
+
+
 def test_hypergeometric(spark):
     draws = spark.range(20_000).select(mixing.hypergeometric(F.lit(30), F.lit(100), F.lit(40), mixing._uniform(F.lit(1), F.col("id"))).alias("x"))
     found = Counter(r.x for r in draws.collect())
