@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, most_frequent, sized, stored
+from .common import documents, most_frequent, prefix, sized, stored
 from .components import components
-from .words import mixed, set_fingerprint, shingle_sets
+from .words import _STEP, mixed, set_fingerprint, shingle_sets
 
 #: Shingles with known frequency, at most; all others count as rare. The order of a prefix needn't be exact.
 MOST_FREQUENT = 100_000
@@ -28,6 +28,12 @@ SHORT_LIST = 3
 LEADERS = 16
 #: Lists that a row names.
 FIRST_LISTS = 8
+#: Rows of a list that one task takes at once; a shingle that may be in more is dealt over several tasks.
+LIST_ROWS = 100_000
+#: Sets of a list that ask and sets that are asked, in one task: longer lists are cut into blocks, and pairs of blocks dealt.
+ASKING, ASKED = 512, 4096
+#: Fingerprints that a task remembers so as not to tell a set twice.
+REMEMBERED = 1_000_000
 
 
 def _rows(names: list[str], *columns) -> pa.RecordBatch:
@@ -57,8 +63,8 @@ def most_overlap(x: np.ndarray, n, y: np.ndarray, m):
     return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
 
 
-def set_table(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
-    """(doc, n, fp, bits): the size, fingerprint and sketch of each row's set. A stored table."""
+def set_table(docs: DataFrame, k: int, id_col: str, text: str, row: str | None = None) -> DataFrame:
+    """(doc, row, n, fp, bits): the size, fingerprint and sketch of each row's set, and the row's number if there is a column row of them. A stored table."""
 
     def sizes(batches):
         for b in batches:
@@ -67,9 +73,10 @@ def set_table(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
                 n.append(len(s))
                 fp.append(set_fingerprint(s) if len(s) else None)
                 bits.append(sketch(s) if len(s) else None)
-            yield _rows(["doc", "n", "fp", "bits"], b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary()))
+            yield _rows(["doc", "row", "n", "fp", "bits"], b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary()))
 
-    return stored(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(sizes, "doc long, n long, fp long, bits binary"), "sets")
+    number = F.col(row) if row else F.lit(None).cast("long")
+    return stored(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("t"), number.alias("row")).mapInArrow(sizes, "doc long, row long, n long, fp long, bits binary"), "sets")
 
 
 def frequent_shingles(docs: DataFrame, k: int, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -106,32 +113,42 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def prefixes(docs: DataFrame, frequent, k: int, percent: int, text: str) -> DataFrame:
-    """(g, fp, n, at): for each set the shingles of its probing prefix; at: the place of the shingle in it."""
+def prefixes(docs: DataFrame, frequent, k: int, percent: int, text: str, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(l, g, fp, n, at): for each set the shingles g of its probing prefix; at: the place of the shingle in it; l: the part of g's list that the set is in, g itself if that has but one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
         hot, count = shared.value
+        parts = -(-count // list_rows)
         seen: set[int] = set()  # equal sets of one task are told once
         for b in batches:
-            gs, fps, ns, ats = [], [], [], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            ls, gs, fps, ns, ats = [], [], [], [], []
             for s in shingle_sets(b.column(0), k):
                 if not len(s) or (fp := set_fingerprint(s)) in seen:
                     continue
                 seen.add(fp)
                 n = len(s)
+                p = n - -(-percent * n // 100) + 1
                 if len(hot):
                     i = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    s = s[np.lexsort((s, np.where(hot[i] == s, count[i], 0)))]
-                p = n - -(-percent * n // 100) + 1
-                gs.append(s[:p])
+                    known = hot[i] == s
+                    order = np.lexsort((s, np.where(known, count[i], 0)))[:p]
+                    s, split = s[order], np.where(known, parts[i], 1)[order].astype(np.uint64)
+                    part = mixed(np.array([fp], np.int64).view(np.uint64)) % split
+                    ls.append(np.where(split > 1, mixed(s + (part + np.uint64(1)) * _STEP), s))
+                else:
+                    s = s[:p]
+                    ls.append(s)
+                gs.append(s)
                 fps.append(np.full(p, fp, np.int64))
                 ns.append(np.full(p, n, np.int32))
                 ats.append(np.arange(p, dtype=np.int32))
             if gs:
-                yield _rows(["g", "fp", "n", "at"], np.concatenate(gs).view(np.int64), *map(np.concatenate, (fps, ns, ats)))
+                yield _rows(["l", "g", "fp", "n", "at"], *(np.concatenate(x).view(np.int64) for x in (ls, gs)), *map(np.concatenate, (fps, ns, ats)))
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(emit, "g long, fp long, n int, at int")
+    return docs.select(F.col(text).alias("t")).mapInArrow(emit, "l long, g long, fp long, n int, at int")
 
 
 def _may(n, at, i, j, percent):
@@ -141,7 +158,7 @@ def _may(n, at, i, j, percent):
 
 
 def _lists(batches):
-    """Columns (g, fp, n, ...) of sorted batches in blocks that hold whole lists of equal g: without equal sets and lists of one; and their starts and ends."""
+    """Columns (l, g, fp, n, ...) of batches sorted by l and fp in blocks that hold whole lists of equal l: without equal sets, and without lists of one that are all of g; and their starts and ends."""
     held = None
     for b in _then_none(batches):
         x = None if b is None else [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
@@ -150,8 +167,8 @@ def _lists(batches):
             continue
         cut = len(x[0]) if b is None else int(np.searchsorted(x[0], x[0][-1], "left"))
         held, x = [c[cut:] for c in x], [c[:cut] for c in x]
-        for only in (lambda g, fp: np.r_[True, (g[1:] != g[:-1]) | (fp[1:] != fp[:-1])], lambda g, fp: np.r_[False, g[1:] == g[:-1]] | np.r_[g[1:] == g[:-1], False]):
-            x = [c[only(x[0], x[1])] for c in x] if len(x[0]) else x
+        for only in (lambda l, g, fp: np.r_[True, (l[1:] != l[:-1]) | (fp[1:] != fp[:-1])], lambda l, g, fp: np.r_[False, l[1:] == l[:-1]] | np.r_[l[1:] == l[:-1], False] | (l != g)):  # noqa: E741
+            x = [c[only(*x[:3])] for c in x] if len(x[0]) else x
         if len(x[0]):
             starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
             yield x, starts, np.r_[starts[1:], len(x[0])]
@@ -185,8 +202,10 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
     def pairs(batches):
         told: set[int] = set()  # lists of the same sets are told once a task
-        for (g, fp, n, at), starts, ends in _lists(batches):
-            n, at, size = n.astype(np.int64), at.astype(np.int64), ends - starts
+        for (l, g, fp, n, at), starts, ends in _lists(batches):  # noqa: E741
+            if len(told) > REMEMBERED:
+                told.clear()
+            n, at, size, part = n.astype(np.int64), at.astype(np.int64), ends - starts, (l != g)[starts]
             a, b = [], []
             for i, j in ((0, 1), (0, 2), (1, 2)):
                 s = starts[(size > j) & (size <= SHORT_LIST)]
@@ -212,60 +231,95 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
             if len(both):
                 yield _rows(names, pa.nulls(len(both), pa.int64()), both[:, 0], both[:, 1], pa.nulls(len(both), pa.int64()))
-            mark = np.add.reduceat(rank, starts).view(np.int64)
-            for k in np.flatnonzero(long):
-                if (m := int(mark[k])) not in told:
-                    told.add(m)
-                    yield _rows(names, np.full(size[k], m), fp[starts[k] : ends[k]], pa.nulls(int(size[k]), pa.int64()), n[starts[k] : ends[k]])
+            mark = np.where(part, g[starts], np.add.reduceat(rank, starts).view(np.int64))
+            for k in np.flatnonzero(long | part):  # of a list in parts all sets are told, under its own name
+                if part[k] or (m := int(mark[k])) not in told:
+                    if not part[k]:
+                        told.add(m)
+                    yield _rows(names, np.full(size[k], mark[k]), fp[starts[k] : ends[k]], pa.nulls(int(size[k]), pa.int64()), n[starts[k] : ends[k]])
 
-    return stored(rows.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(pairs, kinds), "candidates")
+    return stored(rows.repartition("l").sortWithinPartitions("l", "n", "fp").mapInArrow(pairs, kinds), "candidates")
 
 
-def residual(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, leaders: int | None) -> DataFrame:
-    """(a, b): pairs of sets of long lists (g, fp, n) in different components that sizes and sketches don't rule out.
+def dealt_pairs(rows: DataFrame, percent: int, asking: int = ASKING, asked: int = ASKED) -> DataFrame:
+    """(a, b), a < b: pairs of sets in a list that sizes and sketches don't rule out: one that asks and one that is asked, with other labels.
 
-    With leaders, of each set only those with so many members of its list's largest component, in lists where that has
-    twice as many; else all. Rows carry the first lists that their set is in: a pair is told by the first that both
-    have, or, if none of these is common, by each common list.
+    rows: (g, fp, n, label, bits, gs, asks, is_asked, n_asks, n_asked); the last two are numbers of such rows in g. Lists are cut into blocks by hash, and pairs of blocks
+    are dealt, so a list of whatever length goes to as many tasks as it needs. gs: lists of a set; a pair is told by the
+    first that both have, or, if none of these is common, by each common list.
     """
-    rows = long.join(labels, long["fp"] == labels["node"], "left").select("g", "fp", "n", F.coalesce("component", "fp").alias("label"))
-    rows = stored(rows, "labelled")
-    shares = rows.groupBy(F.col("g").alias("g2"), "label").agg(F.count("*").alias("c")).groupBy("g2").agg(F.count("*").alias("labels"), F.max("c").alias("most"))
-    split = shares.filter((F.col("labels") > 1) & (F.col("most") >= (0 if leaders is None else 2 * leaders))).select("g2")
-    rows = rows.join(split, F.col("g") == F.col("g2"), "left_semi")
-    lists = rows.groupBy(F.col("fp").alias("fp2")).agg(F.slice(F.array_sort(F.collect_set("g")), 1, FIRST_LISTS).alias("gs")).join(classes.select(F.col("fp").alias("fp3"), "bits"), F.col("fp2") == F.col("fp3"))
-    rows = rows.join(lists, F.col("fp") == F.col("fp2")).select("g", "fp", "n", "label", "bits", "gs")
+    h = F.xxhash64(F.lit(7), F.col("fp"))
+    i_of, j_of = (F.greatest(F.ceil(F.col(n) / size), F.lit(1)).cast("long") for n, size in (("n_asks", asking), ("n_asked", asked)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = ["g", "fp", "n", "label", "bits", "gs"]
+    ask = rows.filter("asks").select(*columns, "asks", F.lit(True).alias("asking"), F.pmod(h, i_of).alias("i"), all_of(j_of).alias("j"))
+    give = rows.filter("is_asked").select(*columns, "asks", F.lit(False).alias("asking"), all_of(i_of).alias("i"), F.pmod(h, j_of).alias("j"))
+    both = ask.union(give).select(F.xxhash64("g", "i", "j").alias("l"), *columns, "asks", "asking")
 
     def pairs(batches):
-        for (g, fp, n, label, bits, gs), starts, ends in _lists(batches):
+        for (_, g, f, n, label, bits, gs, asks, asking_), starts, ends in _whole_lists(batches):
             a, b = [], []
-            lists_of = [frozenset(x.tolist()) for x in gs]
             for s, e in zip(starts, ends, strict=True):
-                f, k, lab, sizes = fp[s:e], n[s:e].astype(np.int64), label[s:e], np.array([len(x) for x in bits[s:e]])
-                held = {z: (at := np.flatnonzero(sizes == z), np.frombuffer(b"".join(bits[s:e][at]), np.uint8).reshape(-1, z)) for z in np.unique(sizes)}
-                names, counts = np.unique(lab, return_counts=True)
-                largest = names[np.argmax(counts)]
-                chosen = np.ones(e - s, bool)
-                if leaders is not None:
-                    chosen[:] = False
-                    members = np.flatnonzero(lab == largest)
-                    chosen[members[np.argsort(mixed(f[members].view(np.uint64), 0x9E3779B97F4A7C15))[:leaders]]] = True
-                for j in np.flatnonzero(lab != largest) if leaders is not None else range(e - s):
-                    for z, (at, x) in held.items():
-                        ok = chosen[at] & (lab[at] != lab[j]) & (100 * np.minimum(k[at], k[j]) >= percent * np.maximum(k[at], k[j]))
-                        if leaders is None:  # each pair once: with the smaller components' sets, and among these
-                            ok &= (lab[at] == largest) | (at < j) if lab[j] != largest else False
+                q, p = s + np.flatnonzero(asking_[s:e]), s + np.flatnonzero(~asking_[s:e].astype(bool))
+                if not len(q) or not len(p):
+                    continue
+                k, sizes = n[p].astype(np.int64), np.array([len(bits[x]) for x in p])
+                held = {z: (at := np.flatnonzero(sizes == z), np.frombuffer(b"".join(bits[p[at]]), np.uint8).reshape(-1, z)) for z in np.unique(sizes)}
+                lists_of = {x: frozenset(gs[x].tolist()) for x in (*q, *p)}
+                for j in q:
+                    m = int(n[j])
+                    for at, x in held.values():
+                        ok = (label[p[at]] != label[j]) & (100 * np.minimum(k[at], m) >= percent * np.maximum(k[at], m)) & (~asks[p[at]].astype(bool) | (f[p[at]] < f[j]))
                         i = np.flatnonzero(ok)
                         if len(i):
-                            i = i[most_overlap(x[i], k[at[i]], np.frombuffer(bits[s + j], np.uint8), k[j]) >= least_overlap(k[at[i]], k[j], percent)]
-                            i = i[[min(lists_of[s + q] & lists_of[s + j], default=g[s]) == g[s] for q in at[i].tolist()]] if len(i) else i
-                            a.append(np.minimum(f[at[i]], f[j]))
-                            b.append(np.maximum(f[at[i]], f[j]))
+                            i = i[most_overlap(x[i], k[at[i]], np.frombuffer(bits[j], np.uint8), m) >= least_overlap(k[at[i]], m, percent)]
+                            i = i[[min(lists_of[y] & lists_of[j], default=g[j]) == g[j] for y in p[at[i]]]] if len(i) else i
+                            a.append(np.minimum(f[p[at[i]]], f[j]))
+                            b.append(np.maximum(f[p[at[i]]], f[j]))
             if a:
-                both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                yield _rows(["a", "b"], both[:, 0], both[:, 1])
+                told = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                yield _rows(["a", "b"], told[:, 0], told[:, 1])
+
+    return both.repartition("l").sortWithinPartitions("l").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _whole_lists(batches):
+    """Columns of sorted batches in blocks that hold whole lists of an equal first column, and their starts and ends."""
+    held = None
+    for b in _then_none(batches):
+        x = None if b is None else [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        x = held if b is None else x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
+        if x is None or not len(x[0]):
+            continue
+        cut = len(x[0]) if b is None else int(np.searchsorted(x[0], x[0][-1], "left"))
+        held, x = [c[cut:] for c in x], [c[:cut] for c in x]
+        if len(x[0]):
+            starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
+            yield x, starts, np.r_[starts[1:], len(x[0])]
+
+
+def residual(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, leaders: int | None) -> DataFrame:
+    """(a, b): pairs of sets of long lists (g, fp, n) in different components that sizes and sketches don't rule out.
 
-    return rows.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(pairs, "a long, b long").distinct()
+    Sets outside a list's largest component ask: with leaders, so many members of that component, in lists where it has twice
+    as many; else all other sets.
+    """
+    rows = long.distinct().join(labels, long["fp"] == labels["node"], "left").select("g", "fp", "n", F.coalesce("component", "fp").alias("label"))
+    rows = stored(rows, "labelled")
+    shares = rows.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("labels"), F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("largest"))
+    split = shares.filter((F.col("labels") > 1) & (F.col("most") >= (0 if leaders is None else 2 * leaders))).select(F.col("g").alias("g2"), "largest", (F.col("size") - F.col("most")).alias("n_asks"), "size")
+    rows = rows.join(sized(stored(split, "split-lists"), 500_000), F.col("g") == F.col("g2")).drop("g2")
+    asks = F.col("label") != F.col("largest")
+    if leaders is None:
+        rows = rows.select("*", asks.alias("asks"), F.lit(True).alias("is_asked"), F.col("size").alias("n_asked"))
+    else:
+        place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64(F.lit(9), "fp"), "fp"))  # each task keeps so many a list before any are dealt
+        chosen = rows.filter(~asks).withColumn("place", place).filter(F.col("place") <= leaders).drop("place")
+        rows = rows.filter(asks).select("*", F.lit(True).alias("asks"), F.lit(False).alias("is_asked"), F.lit(leaders).alias("n_asked")).union(chosen.select("*", F.lit(False), F.lit(True), F.lit(leaders)))
+    rows = stored(rows, "asking")
+    lists = rows.groupBy(F.col("fp").alias("fp2")).agg(F.slice(F.array_sort(F.collect_set("g")), 1, FIRST_LISTS).alias("gs"))
+    lists = lists.join(classes.select(F.col("fp").alias("fp3"), "bits"), F.col("fp2") == F.col("fp3"))
+    return dealt_pairs(rows.join(lists, F.col("fp") == F.col("fp2")), percent)
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -326,16 +380,11 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(every.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_shingles, component): one row per row of docs; component: the smallest id that links reach.
-
-    Sets link when 100 * shared >= percent * union. Null and empty texts have no set and link with nothing; equal sets always
-    link; rows with one id and other texts are told apart by their sets; a null id is the smallest of none: a component
-    of null ids alone is null. Extra columns of docs aren't read.
-    """
-    sets = set_table(docs, k, id_col, text)
+def linked_sets(docs: DataFrame, k: int, percent: int, id_col: str, text: str, row: str | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(doc, row, n, fp, label): each row's set and the least fingerprint that links reach from it; both null without a set."""
+    sets = set_table(docs, k, id_col, text, row)
     classes = stored(sets.filter("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
-    found = candidates(prefixes(docs, frequent_shingles(docs, k, text), k, percent, text), percent)
+    found = candidates(prefixes(docs, frequent_shingles(docs, k, text), k, percent, text, list_rows), percent)
     pairs = stored(found.filter("g IS NULL").select("a", "b").distinct(), "pairs")
     links = verified(possible(pairs, classes, percent), classes, docs, k, percent, id_col, text)
     labels = components(links)
@@ -348,11 +397,53 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             more = verified(more, classes, docs, k, percent, id_col, text)
             if not more.isEmpty():
                 labels = _joined(labels, more)
-    labelled = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("component", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc").alias("component"))
-    of_class = stored(labelled.join(least, "label").select(F.col("fp").alias("fp2"), "component"), "classes")
-    out = sets.select("doc", "n", "fp").join(of_class, F.col("fp") == F.col("fp2"), "left")
-    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+    return sets.join(labels, F.col("fp") == F.col("node"), "left").select("doc", "row", "n", "fp", F.coalesce("component", "fp").alias("label"))
+
+
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
+    """(doc, n_shingles, component): one row per row of docs; component: the smallest id that links reach.
+
+    Sets link when 100 * shared >= percent * union. Null and empty texts have no set and link with nothing; equal sets always
+    link; rows with one id and other texts are told apart by their sets; a null id is the smallest of none: a component
+    of null ids alone is null. Extra columns of docs aren't read. Components need no pair within one that is known already;
+    similar_pairs has all pairs.
+    """
+    found = stored(linked_sets(docs, k, percent, id_col, text, list_rows=list_rows), "linked")
+    least = found.filter("n > 0").groupBy(F.col("label").alias("label2")).agg(F.min("doc").alias("component"), F.count("*").alias("c")).filter("c > 1")
+    out = found.join(sized(stored(least, "components"), 2_000_000), F.col("label") == F.col("label2"), "left")
+    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("c") > 1, F.col("component")).otherwise(F.col("doc")).alias("component"))
+
+
+def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of linked rows of docs one: that with the least id, a null one last, and of equal ids the first read.
+
+    Rows are told apart by their place, not by their id: repeated rows are one group, rows with one id and other texts
+    aren't. Rows without words are groups of their own. The columns are those of docs, whatever their names.
+    """
+    number = prefix(docs) + "row"
+    docs_ = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = stored(linked_sets(docs_, k, percent, id_col, text, number).filter("n > 0").select("doc", "row", "label"), "linked")
+    first = found.groupBy(F.col("label").alias("label2")).agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    first = sized(stored(first.select("label2", F.col("first.row").alias("keep")), "first-rows"), 2_000_000)
+    gone = found.join(first, F.col("label") == F.col("label2")).filter("row <> keep").select(F.col("row").alias(number + "2"))
+    return docs_.join(sized(stored(gone, "near-duplicates"), 2_000_000), F.col(number) == F.col(number + "2"), "left_anti").select(*docs.columns)
+
+
+def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", asking: int = ASKING, asked: int = ASKED) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b), a < b, of fingerprints of different sets that link, all of them; members (doc, n, fp): each row's set. Stored tables.
+
+    Equal sets are one, so copies aren't expanded into pairs. Null and empty texts have the fingerprint null and are in no
+    pair. Near copies are: a group of n different ones may have n * n / 2 links, which is what is asked for here.
+    """
+    members = set_table(docs, k, id_col, text)
+    classes = stored(members.filter("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    rows = stored(prefixes(docs, frequent_shingles(docs, k, text), k, percent, text).select("g", "fp").distinct(), "prefixes")
+    size = rows.groupBy(F.col("g").alias("g2")).agg(F.count("*").cast("int").alias("size")).filter("size > 1")
+    none = F.array().cast("array<bigint>")
+    rows = rows.join(size, F.col("g") == F.col("g2")).join(classes.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"))
+    rows = rows.select("g", "fp", "n", F.col("fp").alias("label"), "bits", none.alias("gs"), F.lit(True).alias("asks"), F.lit(True).alias("is_asked"), F.col("size").alias("n_asks"), F.col("size").alias("n_asked"))
+    pairs = stored(dealt_pairs(rows, percent, asking, asked), "pairs")
+    return verified(pairs, classes, docs, k, percent, id_col, text), members.select("doc", "n", "fp")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

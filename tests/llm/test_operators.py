@@ -154,8 +154,34 @@ def test_jaccard(spark, docs, empty):
     sets = [sets_of(t) for _, t in many]
     links = [(i, j) for i in range(len(many)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     label = reach(range(len(many)), links)
-    found = jaccard.similar_components(spark.createDataFrame(many, "doc_id long, text string").repartition(7))
-    assert {(r.doc, r.n_shingles, r.component) for r in found.collect()} == {(i, len(sets[i]), label[i]) for i in range(len(many))}
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(7)
+    for list_rows in (jaccard.LIST_ROWS, 5):  # all lists whole, and most in parts
+        found = jaccard.similar_components(df, list_rows=list_rows)
+        assert {(r.doc, r.n_shingles, r.component) for r in found.collect()} == {(i, len(sets[i]), label[i]) for i in range(len(many))}
+    pairs, members = jaccard.similar_pairs(df, asking=3, asked=7)
+    of = defaultdict(set)
+    for r in members.collect():
+        of[r.fp].add(r.doc)
+    got = {(max(i, j), min(i, j)) for p in pairs.collect() for i in of[p.a] for j in of[p.b]}
+    assert got == {(i, j) for i, j in links if sets[i] != sets[j]}
+
+
+def test_one_of_each_group(spark, docs, empty):
+    """Rows, not ids, are what is kept."""
+    kept = jaccard.kept_documents(docs)
+    unchanged(kept, docs)
+    assert kept.columns == docs.columns
+    sets, texts = [sets_of(t) for t in TEXTS], [t for _, t, _ in ROWS]
+    links = [(i, j) for i in range(len(ROWS)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    label = reach(range(len(ROWS)), links)
+    first = {}
+    for k, (i, _, _) in enumerate(ROWS):
+        first.setdefault(label[k], []).append((i is None, i or 0, k))
+    want = Counter((ROWS[min(v)[2]][0], texts[min(v)[2]]) for v in first.values())
+    assert rows(kept, "doc_id", "text") == want
+    assert jaccard.kept_documents(empty).count() == 0
+    odd = spark.createDataFrame([(3, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l"), (None, "a b c d e f"), (None, "g h i j k l"), (None, "m n"), (None, "m n"), (None, None), (8, "")], "doc_id long, text string")
+    assert rows(jaccard.kept_documents(odd), "doc_id", "text") == Counter([(3, "a b c d e f"), (7, "g h i j k l"), (None, "m n"), (None, None), (8, "")])
 
 
 def test_mix(docs, empty, spark):
