@@ -3,13 +3,15 @@
 The model has two levels: all words, and all pairs of neighbours that occur. Words are 64-bit hashes; each shard numbers
 its own. Pointers from level one into level two, and the followers of each word, are monotone sequences in Elias-Fano
 form; what a pair's probability, interpolated with absolute discounting, is above the backed-off one is a byte that numbers
-the entries of a code book. Pairs are dealt over shards by their first word, those of very frequent first words by both; a
+the entries of a code book. A shard's levels are mapped and searched in that form. Pairs are dealt over shards by their first word, those of very frequent first words by both; a
 shard's levels are bytes of a table, and what a shard is asked meets it there in sorted order. Counts of frequent words
 are held by tasks, all others join by a shuffle.
 """
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 import zlib
 
 import numpy as np
@@ -22,8 +24,11 @@ from .common import documents, most_frequent, stored
 from .words import _STEP, chunks, mixed
 
 _U = np.uint64
-#: Words whose counts tasks hold; tokens that a task counts at once; tokens of the corpus to a shard; bounds of their number.
-VOCABULARY, AT_ONCE, SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 1 << 18, 1_500_000, 2_000_000, 64, 2048
+#: Words whose counts tasks hold; tokens that a task counts at once; tokens of the corpus to a shard, while there are few and
+#: at most; the number of shards up to which they are few, and the least.
+VOCABULARY, AT_ONCE, SHARD_TOKENS, MOST_TOKENS, FEW_SHARDS, LEAST_SHARDS = 1 << 18, 1_500_000, 2_000_000, 8_000_000, 4096, 64
+#: Texts that a task remembers so as not to ask for one twice.
+REMEMBERED = 1_000_000
 #: The token that ends each text, and stands before it.
 END = int(mixed(np.array([0x5EED], np.uint64))[0])
 
@@ -33,7 +38,11 @@ def _batch(names, *columns):
 
 
 class EliasFano:
-    """A sequence of whole numbers that never falls: low bits packed, high bits as a unary bit vector."""
+    """A sequence of whole numbers that never falls: low bits packed, high bits as a unary bit vector.
+
+    It is read where its bytes lie: an element is a select of the high bits and a few bytes of the low ones. What is held
+    besides is the number of ones before each word of 64 high bits.
+    """
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -41,17 +50,56 @@ class EliasFano:
         n, most = len(v), int(v[-1]) if len(v) else 0
         low = max(0, ((most + 1) // max(n, 1)).bit_length() - 1)
         bits = ((v[:, None] >> np.arange(low, dtype=np.uint64)) & _U(1)).astype(np.uint8)
-        high = np.zeros((most >> low) + n + 1, np.uint8)
+        high = np.zeros(((most >> low) + n + 64) // 64 * 64, np.uint8)
         high[(v >> _U(low)).astype(np.int64) + np.arange(n)] = 1
-        return np.array([n, low, len(high)], "<i8").tobytes() + np.packbits(bits.ravel(), bitorder="little").tobytes() + np.packbits(high, bitorder="little").tobytes()
-
-    @staticmethod
-    def decode(data) -> np.ndarray:
-        n, low, size = np.frombuffer(data, "<i8", 3).tolist()
-        cut = 24 + (n * low + 7) // 8
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, cut - 24, 24), count=n * low, bitorder="little").reshape(n, low)
-        high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=cut), count=size, bitorder="little")) - np.arange(n)
-        return (high.astype(np.int64) << low) | (bits.astype(np.int64) << np.arange(low, dtype=np.int64)).sum(axis=1)
+        lows = np.packbits(bits.ravel(), bitorder="little").tobytes()
+        return np.array([n, low, len(lows)], "<i8").tobytes() + lows + bytes(-len(lows) % 8 + 8) + np.packbits(high, bitorder="little").tobytes()
+
+    def __init__(self, data):
+        self.n, self.low, size = np.frombuffer(data, "<i8", 3).tolist()
+        cut = 24 + size + -size % 8 + 8
+        self.lows = np.ndarray((cut - 31,), "<u8", data, 24, (1,))  # at each byte the eight from there on
+        self.words = np.frombuffer(data, "<u8", offset=cut)
+        self.ones = np.r_[0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]
+        self.zeros = 64 * np.arange(len(self.ones)) - self.ones
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i * self.low
+        return ((self.lows[at >> 3] >> (at & 7).astype(np.uint64)) & _U((1 << self.low) - 1)).astype(np.int64)
+
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+        """Places of the k-th ones, or zeros if the words are flipped, counted from 0: the word by what is before it, then by halves."""
+        at = np.searchsorted(before, k, "right") - 1
+        word, left, place = self.words[at] ^ _U(flip), k - before[at], at * 64
+        for half in (32, 16, 8, 4, 2, 1):
+            n = np.bitwise_count(word & _U((1 << half) - 1)).astype(np.int64)
+            over = left >= n
+            left, place, word = left - n * over, place + half * over, np.where(over, word >> _U(half), word)
+        return place
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        i = np.asarray(i, np.int64)
+        return ((self._select(i, self.ones, 0) - i) << self.low) | self._low(i)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The places of the values x in a sequence that rises throughout, or -1: their successors, by halves, among those with the same high bits, which lie between two zeros."""
+        out = np.full(len(x), -1, np.int64)
+        high = x >> self.low
+        some = np.flatnonzero((x >= 0) & (high < self.zeros[-1]))
+        high, want = high[some], x[some] & ((1 << self.low) - 1)
+        flip = (1 << 64) - 1
+        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, flip) + 1 - high, 0)
+        end = self._select(high, self.zeros, flip) - high
+        hi = end.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(mid) < want[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+        there = np.flatnonzero(lo < end)
+        there = there[self._low(lo[there]) == want[there]]
+        out[some[there]] = lo[there]
+        return out
 
 
 class Trie:
@@ -62,23 +110,40 @@ class Trie:
         """first, second: sorted pairs of word numbers; logs: their probabilities' logarithms."""
         pointers = np.searchsorted(first, np.arange(words + 1))
         last = np.r_[first[1:] != first[:-1], True]
-        tops = np.cumsum(np.where(last, second, 0))  # a context's followers start where the one before has ended
-        values = second + np.r_[0, tops[:-1]]
+        tops = np.cumsum(np.where(last, second + 1, 0))  # a context's followers, counted from 1, go on from where the one before has ended
+        values = second + 1 + np.r_[0, tops[:-1]]
         book = np.unique(np.quantile(logs, np.linspace(0, 1, 256))) if len(logs) else np.zeros(1)
         codes = np.clip(np.searchsorted((book[1:] + book[:-1]) / 2, logs), 0, len(book) - 1).astype(np.uint8)
         return {"pointers": EliasFano.encode(pointers), "followers": EliasFano.encode(values), "codes": codes.tobytes(), "book": book.tobytes()}
 
     def __init__(self, pointers, followers, codes, book):
-        self.pointers, self.values = EliasFano.decode(pointers), EliasFano.decode(followers)
-        self.codes, self.book = np.frombuffer(codes, np.uint8), np.frombuffer(book, np.float64)
+        """The levels' bytes go to a file without a name, from which they are mapped: pages that no question touches need no memory."""
+        levels = (pointers, followers, codes, book)
+        ends = np.cumsum([len(x) + -len(x) % 8 for x in levels]).tolist()
+        with tempfile.TemporaryFile() as f:
+            for x in levels:
+                f.write(x)
+                f.write(bytes(-len(x) % 8))
+            f.flush()
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        at = memoryview(self.map)
+        self.pointers, self.followers = EliasFano(at[: ends[0]]), EliasFano(at[ends[0] : ends[1]])
+        self.codes, self.book = np.frombuffer(at, np.uint8, len(codes), ends[1]), np.frombuffer(at, np.float64, offset=ends[2])
 
     def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which sorted pairs there are, and their logarithms: the successor of a follower, raised to its context's base, in the context's range."""
-        lo, hi = self.pointers[first], self.pointers[first + 1]
-        base = np.where(lo > 0, self.values[np.maximum(lo, 1) - 1] if len(self.values) else 0, 0)
-        at = np.minimum(np.maximum(np.searchsorted(self.values, base + second, "left"), lo), np.maximum(hi - 1, 0))
-        found = hi > lo
-        found[found] = self.values[at[found]] == (base + second)[found]
+        """Which sorted pairs there are, and their logarithms: the follower, raised to its context's base, is looked for in the context's range."""
+        if not len(first):
+            return np.zeros(0, bool), np.zeros(0)
+        fresh = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+        f, s = first[fresh], second[fresh]
+        new = np.r_[True, f[1:] != f[:-1]]
+        lo, hi = self.pointers.get(f[new]), self.pointers.get(f[new] + 1)
+        base = np.where(lo > 0, self.followers.get(np.maximum(lo, 1) - 1), 0)
+        context = np.cumsum(new) - 1
+        at = self.followers.find(base[context] + s + 1)
+        at[at >= hi[context]] = -1
+        at = at[np.cumsum(fresh) - 1]
+        found = at >= 0
         return found, self.book[self.codes[at[found]]]
 
 
@@ -263,12 +328,13 @@ def pair_counts(train: DataFrame, model, shards: int) -> DataFrame:
             yield told()
 
     parts = train.mapInArrow(count, "shard long, words binary, pairs binary, counts binary")
-    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, words binary, pairs binary, counts binary, once long, twice long")
+    merged = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, words binary, pairs binary, counts binary, once long, twice long")
     return stored(merged, "pairs")
 
 
 def _number_of_shards(n: int) -> int:
-    return min(MOST_SHARDS, max(LEAST_SHARDS, -(-n // SHARD_TOKENS)))
+    """As many as the corpus needs: a shard has a bounded number of tokens whatever the corpus."""
+    return max(LEAST_SHARDS, min(FEW_SHARDS, -(-n // SHARD_TOKENS)), -(-n // MOST_TOKENS))
 
 
 def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
@@ -286,7 +352,8 @@ def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
     held = top.toPandas()
     model = Model(held["w"].to_numpy(np.int64).view(np.uint64), held["c"].to_numpy(), n, v, once, twice)
     words_of = spark.sparkContext.broadcast(model)
-    counted = pair_counts(train, words_of, _number_of_shards(n))
+    shards = _number_of_shards(n)
+    counted = pair_counts(train, words_of, shards)
     once, twice = counted.agg(F.sum("once"), F.sum("twice")).first()
     model.pair_discount = once / (once + 2 * twice) if once and twice else 0.5
 
@@ -353,7 +420,7 @@ def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
     asked = counted.select("shard", "words", "pairs").mapInArrow(rare, "shard long, __w long").join(words, F.col("w") == F.col("__w"))
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
     both = counted.select("shard", *[F.lit(0).cast("long").alias(x) for x in ("w", "c")], "words", "pairs", "counts").union(asked.select("shard", "w", "c", *none("binary", "words", "pairs", "counts")))
-    both = both.repartition("shard").sortWithinPartitions("shard", F.col("words").isNull())
+    both = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("words").isNull())
     encoded = both.mapInArrow(tries, "shard long, contexts binary, words binary, pointers binary, followers binary, codes binary, book binary")
     return model, words, stored(encoded, "tries")
 
@@ -363,7 +430,7 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
 
     def ask(batches):
         seen: set[int] = set()
-        held, marks, size, parts = [], [], 0, 0
+        held, marks, size, parts = [], [], 0, 0  # a text told twice counts once, as equal texts gain the same
 
         def told():
             nonlocal parts
@@ -371,12 +438,15 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
             order = np.argsort(found.numbers, kind="stable")
             rows, part = rows[order], (TaskContext.get().partitionId() << 24) + parts
             parts += 1
-            prints = _binary(np.array(marks, "<i8").tobytes())
+            prints = _binary(np.array(marks, "<i8").tobytes())  # with the part's first shard, and no other
             for s, at, w, p in found.by_shard(found.numbers[order], model.value, shards):
                 yield _batch(["shard", "part", "a", "b", "c", "d", "e", "f"], [s], [part], _binary(w), _binary(p), _binary(zlib.compress(rows[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)), prints, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()))
+                prints = pa.nulls(1, pa.binary())
 
         for b in batches:
             for _, _, tokens, off in token_chunks(b.column(0)):
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 prints = text_prints(tokens, off)
                 fresh = np.array([p not in seen and not seen.add(p) for p in prints.tolist()], bool)
                 if fresh.any():
@@ -391,6 +461,8 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
         if held:
             yield from told()
 
+    names_out = ["part", "row", "print", "gain"]
+
     def answer(batches):
         trie, at = None, None
         for b in batches:
@@ -398,25 +470,27 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
                 if part is None:
                     contexts, words, trie, at = model.value.unlisted(x[0]), model.value.unlisted(x[1]), Trie(*x[2:]), s
                     continue
+                if x[3] is not None:
+                    prints = np.frombuffer(x[3], "<i8")
+                    yield _batch(names_out, np.full(len(prints), part), np.arange(len(prints)), prints, np.zeros(len(prints)))
                 if at != s:
                     continue
-                prints = np.frombuffer(x[3], "<i8")
                 rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(x[2]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
                 first, second = _opened(model.value, x[0], x[1])
                 i, j = np.minimum(np.searchsorted(contexts, first), len(contexts) - 1), np.minimum(np.searchsorted(words, second), len(words) - 1)
                 may = (contexts[i] == first) & (words[j] == second)
                 found, gains = trie.find(i[may], j[may])
-                gain = np.bincount(rows[may][found], gains, len(prints))
-                has = np.flatnonzero(gain)
+                has, row = np.unique(rows[may][found], return_inverse=True)
                 if len(has):
-                    yield _batch(["part", "print", "gain"], np.full(len(has), part), prints[has], gain[has])
+                    yield _batch(names_out, np.full(len(has), part), has.astype(np.int64), pa.nulls(len(has), pa.int64()), np.bincount(row, gains, len(has)))
 
     names = "shard long, part long, a binary, b binary, c binary, d binary, e binary, f binary"
     asked = texts.mapInArrow(ask, names)
     levels = tries.select("shard", F.lit(None).cast("long").alias("part"), *[F.col(x).alias(y) for x, y in zip(("contexts", "words", "pointers", "followers", "codes", "book"), "abcdef", strict=True)])
-    met = levels.union(asked).repartition("shard").sortWithinPartitions(F.col("shard"), F.asc_nulls_first("part"))
-    gains = met.mapInArrow(answer, "part long, print long, gain double")
-    return stored(gains.groupBy("print", "part").agg(F.sum("gain").alias("gain")).groupBy("print").agg(F.max("gain").alias("gain")), "gains")
+    met = levels.union(asked).repartition(shards, "shard").sortWithinPartitions(F.col("shard"), F.asc_nulls_first("part"))
+    gains = met.mapInArrow(answer, "part long, row long, print long, gain double")
+    of_rows = gains.groupBy("part", "row").agg(F.sum("gain").alias("gain"), F.max("print").alias("print"))
+    return stored(of_rows.groupBy("print").agg(F.max("gain").alias("gain")), "gains")
 
 
 def text_prints(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:

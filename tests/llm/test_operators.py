@@ -300,8 +300,15 @@ def test_tokens(docs, empty):
 
 def test_elias_fano():
     r = np.random.default_rng(0)
-    for values in ([], [0], [0, 0, 5, 5, 1000], np.sort(r.integers(0, 10**9, 5000)), np.arange(300)):
-        assert lm.EliasFano.decode(lm.EliasFano.encode(np.asarray(values, np.int64))).tolist() == list(values)
+    for values in ([], [0], [0, 0, 5, 5, 1000], np.sort(r.integers(0, 10**9, 5000)), np.arange(300), np.arange(3) << 50, np.cumsum(r.integers(0, 3, 5000) ** 20)):
+        ef = lm.EliasFano(lm.EliasFano.encode(np.asarray(values, np.int64)))
+        assert ef.n == len(values) and ef.get(np.arange(len(values))).tolist() == list(values)
+    for values in ([], [7], np.unique(r.integers(0, 10**6, 3000)), np.unique(r.integers(0, 3100, 3000)), np.r_[1, 5, 6, np.arange(10**12, 10**12 + 70)]):
+        values = np.asarray(values, np.int64)
+        ef = lm.EliasFano(lm.EliasFano.encode(values))
+        asked = np.unique(np.r_[values, values + 1, values - 1, 0, 10**7, 2 * 10**12])
+        place = {int(v): i for i, v in enumerate(values)}
+        assert ef.find(asked).tolist() == [place.get(int(x), -1) for x in asked]
     pairs = np.unique(r.integers(0, 200, (3000, 2)), axis=0)
     logs = -r.random(len(pairs)) * 5
     trie = lm.Trie(**lm.Trie.encode(pairs[:, 0], pairs[:, 1], logs, 200))
