@@ -17,8 +17,6 @@ _BYTE[[9, 10, 11, 12, 13, 32]] = 0
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _STEP = _U(0x9E3779B97F4A7C15)
 _SHINGLE = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * _U(2) + _U(1)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(h: np.ndarray, c: int = 0xFF51AFD7ED558CCD) -> np.ndarray:
@@ -40,9 +38,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without ASCII white space, A-Z lower-cased) of rows of text, and the words before each row."""
-    blank = _BLANK[data]
+def words_at(data: np.ndarray, off: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of rows of text (runs of bytes that table doesn't make 0), and the words before each row."""
+    blank = table[data] == 0
     first = np.ones(len(data), bool)
     first[1:] = blank[:-1]
     at = off[:-1]
@@ -50,14 +48,19 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first &= ~blank
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return starts, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     word = np.cumsum(first, dtype=np.int32)
     word -= 1
     place = np.arange(len(data), dtype=np.int64) - starts[np.maximum(word, 0)]
     place[: starts[0]] = 0
     power = np.cumprod(np.full(int(place.max()) + 1, _STEP))
-    h = np.add.reduceat(_BYTE[data] * power[place], starts)
-    return mixed(h), np.searchsorted(starts, off)
+    h = np.add.reduceat(table[data] * power[place], starts)
+    return starts, mixed(h), np.searchsorted(starts, off)
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs without ASCII white space, A-Z lower-cased) of rows of text, and the words before each row."""
+    return words_at(data, off)[1:]
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

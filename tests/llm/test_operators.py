@@ -383,23 +383,92 @@ def test_weak_secrets_need_company(spark):
     assert found[6] == []  # the first token takes up the second, whose value is then too short
 
 
+def license_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+
+
+def most_in_order(a, b):
+    """The length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def licenses_of(spark, *texts):
+    found = defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found[r.doc].append(r)
+    return [sorted(found[i], key=lambda r: r.start) for i in range(len(texts))]
+
+
 def test_licenses(docs, empty, spark):
     found = licenses.scan(docs).collect()
     assert sorted((r.doc, r.license, r.coverage) for r in found) == [(15, "Apache-2.0", 100), (15, "MIT", 100)]
     text = dict((i, t) for i, t, _ in ROWS)[15]
-    assert {text[r.start : r.end] for r in found} == {"Released under the MIT License.", "licensed UNDER the Apache License, version 2.0!"}
-    gpl = licenses.TEMPLATES[1][1].split()
-    worn = " ".join(w for k, w in enumerate(gpl) if k not in (9, 20)).replace("either", "either at all")
-    near = licenses.scan(spark.createDataFrame([(1, f"intro {worn} outro")], "doc_id long, text string")).collect()
-    assert any(r.license == "GPL-3.0" and 80 <= r.coverage < 100 for r in near)
+    assert {text[r.start : r.end] for r in found} == {"Released under the MIT License", "licensed UNDER the Apache License, version 2.0"}
     assert licenses.scan(empty).count() == 0
+    odd = "é ü " * 9 + "RELEASED\nunder «the» MIT-License"
+    asked = ["It has an MIT License", "SPDX-License-Identifier: Apache-2.0", "// SPDX-License-Identifier: GPL-3.0-or-later", odd, "SPDX-License-Identifier: Nothing-1.0", "mit licence; license mit", "", *[t for _, t in licenses.NOTICES]]
+    found = licenses_of(spark, *asked)
+    assert [[(r.license, r.kind) for r in f] for f in found[:7]] == [[("MIT", "name")], [("Apache-2.0", "identifier")], [("GPL-3.0", "identifier")], [("MIT", "notice")], [], [], []]
+    assert odd[found[3][0].start : found[3][0].end] == "RELEASED\nunder «the» MIT-License"
+    assert [[(r.license, r.coverage) for r in f] for f in found[7:]] == [[(n, 100)] for n, _ in licenses.NOTICES]  # each once, as itself and not as its like
 
 
 def test_adjacent_licenses(spark):
     line = "Released under the MIT License."
-    for n in (2, 3, 7):
-        found = licenses.scan(spark.createDataFrame([(1, "so: " + " ".join([line] * n))], "doc_id long, text string")).collect()
-        assert sorted((r.start, r.end) for r in found if r.license == "MIT") == [(4 + k * (len(line) + 1), 4 + k * (len(line) + 1) + len(line)) for k in range(n)]
+    for n, f in zip((2, 3, 7), licenses_of(spark, *["so: " + " ".join([line] * n) for n in (2, 3, 7)]), strict=True):
+        assert [(r.start, r.end) for r in f] == [(4 + k * (len(line) + 1), 3 + k * (len(line) + 1) + len(line)) for k in range(n)]
+
+
+def test_whole_licenses(spark):
+    """All whole texts are reported once and as themselves, at their place, worn ones too; what is matched agrees with an alignment without band or segments."""
+    r = random.Random(4)
+    known = [t for t in licenses.templates() if t.kind == "text"]
+    assert len(known) >= 12
+    worn = []
+    for t in known:
+        w = t.text.split(" ")
+        for _ in range(len(w) // 25):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([[], ["altered"], [w[k], "added"]])
+        w[len(w) // 2 : len(w) // 2] = ["some", "further", "words"] * 5
+        worn.append(f"{prose(40, 3)}\n{' '.join(w)}\n{prose(300, 4)}")
+    both = f"{known[0].text} {prose(30, 1)} {known[-1].text} {known[0].text}"
+    found = licenses_of(spark, *[f"Copyright. {t.text} {prose(20, 8)}" for t in known], *worn, both, prose(30_000, 9))
+    of = lambda f: [(x.license, x.kind) for x in f if x.kind == "text"]
+    for f, t in zip(found, known, strict=False):
+        assert of(f) == [(t.license, "text")] and f[0].coverage == 100 and len(f) == 1
+    for f, t, text in zip(found[len(known) :], known, worn, strict=False):
+        assert of(f) == [(t.license, "text")] and 80 <= f[0].coverage < 100
+        if f[0].words < 1700:
+            most = most_in_order(license_words(t.text), license_words(text[f[0].start : f[0].end]))
+            assert f[0].matched == most
+    assert of(found[-2]) == [(x.license, "text") for x in (known[0], known[-1], known[0])] and found[-1] == []
+
+
+def test_worn_notices(spark):
+    """Notices with words changed, left out or put in, against every template's best alignment over the whole text."""
+    r = random.Random(8)
+    texts, want = [], []
+    for k in range(60):
+        name, notice = licenses.NOTICES[k % len(licenses.NOTICES)]
+        w = notice.split(" ")
+        for _ in range(r.randrange(1 + len(w) // 8)):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], ["altered"], [w[at], "added"]])
+        texts.append(f"{prose(15, 200 + k)} {' '.join(w)} {prose(15, 300 + k)}")
+        words_, full = license_words(texts[-1]), license_words(notice)
+        want.append((name, most_in_order(full, words_), len(full)))
+    for f, (name, most, size) in zip(licenses_of(spark, *texts), want, strict=True):
+        best = [x for x in f if x.license == name]
+        assert len(f) <= 1 and (best or 100 * most < 80 * size or f), (name, most, size)
+        for x in best:
+            if x.kind == "notice" and x.words == size:
+                assert most - 1 <= x.matched <= most
 
 
 def test_vectors(spark):
