@@ -2,8 +2,8 @@
 
 A cosine of c or more is a distance of at most sqrt(2 - 2c) between unit vectors, and no less on any principal
 dimensions. Vectors, sorted by their grid cells on the leading ones, are cut into blocks; pairs of intervals of this
-sequence are halved again and again, leaving out those whose bounding boxes are too far apart; the blocks of the pairs
-that remain meet in one task each.
+sequence are halved again and again, leaving out those whose bounding boxes are too far apart. The blocks of the pairs that
+remain meet in tiles, some neighbouring blocks with some others, so that a block travels once for several of its pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 from .common import sized, stored
 from .components import components
 
-#: Vectors of a block; rows of a block that are compared at once.
-BLOCK, STRIP = 2048, 256
-#: Principal dimensions of the grid order and of the bounding boxes.
-GRID_DIMS, BOX_DIMS = 8, 16
+#: Vectors of a block; rows of a block that are compared at once; blocks of a tile, at most, and bytes of it.
+BLOCK, STRIP, TILE, TILE_BYTES = 2048, 256, 4, 32 << 20
+#: Principal dimensions of the grid order and of the bounding boxes; further ones by which these are found.
+GRID_DIMS, BOX_DIMS, MORE_DIMS = 8, 24, 8
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def _matrix(column, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -35,53 +36,64 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def vectors(rows: DataFrame, dim: int, id_col: str, column: str) -> DataFrame:
-    """(vec, key, x): x: the vector's doubles, filled up with zeros to dim; key: its digest; both null where it can't link. Stored."""
+def vectors(rows: DataFrame, dim: int, id_col: str, column: str, kind: str) -> DataFrame:
+    """(vec, key, x): x: the vector's numbers, filled up with zeros to dim; key: its digest; both null where it can't link. Stored."""
 
     def read(batches):
         for b in batches:
-            xs, keys = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = None
-                if i is not None and v and None not in v:
-                    x = np.zeros(dim)
-                    x[: len(v)] = v
-                    x = x + 0.0 if np.isfinite(x).all() and x.any() else None  # -0.0 becomes 0.0
-                xs.append(None if x is None else x.tobytes())
-                keys.append(None if x is None else hashlib.blake2b(xs[-1], digest_size=16).digest())
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), 0).astype(np.int64)
+            values = lists.flatten()  # of lists that aren't null
+            values = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False).astype(kind)
+            row = np.repeat(np.arange(len(size)), size)
+            x = np.zeros((len(size), dim), kind)
+            x[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = values + 0.0  # -0.0 becomes 0.0
+            ok = b.column(0).is_valid().to_numpy(zero_copy_only=False) & (size > 0) & np.isfinite(x).all(axis=1) & x.any(axis=1)
+            xs = [v.tobytes() if good else None for v, good in zip(x, ok.tolist(), strict=True)]
+            keys = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in xs]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(xs, pa.binary())], ["vec", "key", "x"])
 
-    return stored(rows.select(F.col(id_col).cast("long").alias("vec"), F.col(column).cast("array<double>").alias("v")).mapInArrow(read, "vec long, key binary, x binary"), "vectors")
+    return stored(rows.select(F.col(id_col).cast("long").alias("vec"), F.col(column).alias("v")).mapInArrow(read, "vec long, key binary, x binary"), "vectors")
 
 
-def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """The principal directions of all unit vectors, as columns, the leading first."""
+def principal_axes(classes: DataFrame, dim: int, kind: str, rounds: int = 2) -> np.ndarray:
+    """The leading principal directions of all unit vectors, as columns: by rounds of products with the covariance, each a pass over the vectors.
 
-    def sums(batches):
-        n, s, ss = 0, np.zeros(dim), np.zeros((dim, dim))
-        for b in batches:
-            if b.num_rows:
-                u = _unit(_matrix(b.column(0), dim))
-                n, s, ss = n + len(u), s + u.sum(axis=0), ss + u.T @ u
-        if n:
-            out = np.concatenate([[n], s, ss.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "v"])
-
-    parts = classes.select("x").mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # 1 + dim + dim^2 rows
-    v = parts.sort_values("i")["v"].to_numpy()
-    mean = v[1 : dim + 1] / v[0]
-    _, axes = np.linalg.eigh(v[dim + 1 :].reshape(dim, dim) / v[0] - np.outer(mean, mean))
-    return axes[:, ::-1].copy()
-
-
-def blocks(classes: DataFrame, axes: np.ndarray, eps: float, dim: int, size: int) -> DataFrame:
+    The driver gets dim rows for each direction asked for. Whatever the directions are, distances along them are none too
+    large, so results don't depend on how good they are.
+    """
+    some = min(dim, BOX_DIMS + MORE_DIMS)
+    q = np.linalg.qr(np.random.default_rng(3).normal(size=(dim, some)))[0]
+    for _ in range(rounds):
+
+        def sums(batches, q=q):
+            n, s, sq = 0, np.zeros(dim), np.zeros((dim, some))
+            for b in batches:
+                if b.num_rows:
+                    u = _unit(_matrix(b.column(0), dim, kind))
+                    n, s, sq = n + len(u), s + u.sum(axis=0), sq + u.T @ (u @ q)
+            if n:
+                out = np.concatenate([[n], s, sq.ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "v"])
+
+        parts = classes.select("x").mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        v = parts.sort_values("i")["v"].to_numpy()
+        mean = v[1 : dim + 1] / v[0]
+        found = v[dim + 1 :].reshape(dim, some) / v[0] - np.outer(mean, mean @ q)
+        q = np.linalg.svd(found, full_matrices=False)[0]
+    return q.copy()
+
+
+def blocks(classes: DataFrame, axes: np.ndarray, eps: float, dim: int, size: int, kind: str) -> DataFrame:
     """(block, ids, counts, x, lo, hi): the classes in epsilon grid order, size to a block, with its bounding box. Stored."""
     shared = classes.sparkSession.sparkContext.broadcast(axes)
 
     def cells(batches):
         for b in batches:
             if b.num_rows:
-                p = _unit(_matrix(b.column(2), dim)) @ shared.value[:, :GRID_DIMS]
+                p = _unit(_matrix(b.column(2), dim, kind)) @ shared.value[:, :GRID_DIMS]
                 cell = np.clip(np.floor(p / eps) + 128, 0, 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in cell], pa.binary()), pa.array(p[:, 0])], [*b.schema.names, "cell", "first"])
 
@@ -103,9 +115,9 @@ def blocks(classes: DataFrame, axes: np.ndarray, eps: float, dim: int, size: int
 
     def pack(table: pa.Table) -> pa.Table:
         rep, n = (table.column(c).to_numpy() for c in ("rep", "n"))
-        x = _matrix(table.column("x"), dim)
+        x = _matrix(table.column("x"), dim, kind)
         p = _unit(x) @ shared.value[:, :BOX_DIMS]
-        return pa.table({"block": table.column("block")[:1], "ids": pa.array([rep.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "lo": [p.min(axis=0)], "hi": [p.max(axis=0)]})
+        return pa.table({"block": table.column("block")[:1], "ids": pa.array([rep.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "x": pa.array([x.astype(kind).tobytes()], pa.binary()), "lo": [p.min(axis=0)], "hi": [p.max(axis=0)]})
 
     return stored(placed.groupBy("block").applyInArrow(pack, "block long, ids binary, counts binary, x binary, lo array<double>, hi array<double>"), "blocks")
 
@@ -139,44 +151,71 @@ def _labels(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple
     return la, lb
 
 
-def block_links(pairs: DataFrame, held: DataFrame, cosine: float, eps: float, axes: np.ndarray, dim: int) -> DataFrame:
-    """(rep, links, least): for each pair of blocks and vector that has links in it their number, copies counted, and the least id reached. Stored."""
+def _compared(a, b, cosine: float, eps: float):
+    """(ids, links, least) of the rows of two blocks (or of one with itself) that have links there: their number, copies counted, and the least id reached. A block: (number, ids, counts, unit vectors, places on the axes, box)."""
+    x, y, p, q = a[3], b[3], a[4], b[4]
+    left, right = [], []
+    for s in range(0, len(x), STRIP):
+        for t in range(s if a is b else 0, len(y), STRIP):
+            ps, qs = p[s : s + STRIP], q[t : t + STRIP]
+            if _gap(ps.min(axis=0), ps.max(axis=0), qs.min(axis=0), qs.max(axis=0)) <= eps * eps:
+                i, j = np.nonzero(x[s : s + STRIP] @ y[t : t + STRIP].T >= cosine)
+                if a is b and s == t:
+                    i, j = i[i < j], j[i < j]
+                left.append(i + s)
+                right.append(j + t)
+    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    if not len(i):
+        return
+    ca, cb = np.bincount(i, b[2][j], len(x)), np.bincount(j, a[2][i], len(y))
+    if a is b:
+        out = [(a[1], ca + cb, _labels(np.r_[i, j], np.r_[j, i], a[1], a[1])[0])]
+    else:
+        la, lb = _labels(i, j, a[1], b[1])
+        out = [(a[1], ca, la), (b[1], cb, lb)]
+    for ids, c, least in out:
+        has = c > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(c[has].astype(np.int64)), pa.array(least[has])], ["rep", "links", "least"])
+
+
+def _gap(lo, hi, lo2, hi2) -> float:
+    gap = np.maximum(0, np.maximum(lo - hi2, lo2 - hi))
+    return float((gap * gap).sum())
+
+
+def block_links(pairs: DataFrame, held: DataFrame, cosine: float, eps: float, axes: np.ndarray, dim: int, size: int, kind: str) -> DataFrame:
+    """(rep, links, least): for each pair of near blocks (a, b) and vector that has links in it their number, copies counted, and the least id reached. Stored.
+
+    Pairs are put together to tiles; a task gets the blocks of both sides of a tile once and compares those whose boxes are near.
+    """
     shared = pairs.sparkSession.sparkContext.broadcast(axes)
+    side = max(1, min(TILE, TILE_BYTES // (size * dim * 8)))
 
     def compare(batches):
+        at, tile = None, []
+
+        def told():
+            for k, a in enumerate(tile):
+                for b in tile[k:]:
+                    if (a[0] // side, b[0] // side) == at and _gap(*a[5], *b[5]) <= eps * eps:
+                        yield from _compared(a, b, cosine, eps)
+
         for batch in batches:
             for r in range(batch.num_rows):
-                a, b, ids_a, n_a, x_a, ids_b, n_b, x_b = (c[r].as_py() for c in batch.columns)
-                ids_a, n_a, ids_b, n_b = (np.frombuffer(v, np.int64) for v in (ids_a, n_a, ids_b, n_b))
-                x, y = (_unit(np.frombuffer(v, np.float64).reshape(-1, dim)) for v in (x_a, x_b))
-                p, q = x @ shared.value[:, :BOX_DIMS], y @ shared.value[:, :BOX_DIMS]
-                left, right = [], []
-                for s in range(0, len(x), STRIP):
-                    for t in range(s if a == b else 0, len(y), STRIP):
-                        ps, qs = p[s : s + STRIP], q[t : t + STRIP]
-                        gap = np.maximum(0, np.maximum(ps.min(axis=0) - qs.max(axis=0), qs.min(axis=0) - ps.max(axis=0)))
-                        if (gap * gap).sum() <= eps * eps:
-                            i, j = np.nonzero(x[s : s + STRIP] @ y[t : t + STRIP].T >= cosine)
-                            if a == b and s == t:
-                                i, j = i[i < j], j[i < j]
-                            left.append(i + s)
-                            right.append(j + t)
-                i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-                if not len(i):
-                    continue
-                la, lb = _labels(i, j, ids_a, ids_b) if a != b else (None, None)
-                ca, cb = np.bincount(i, n_b[j], len(x)), np.bincount(j, n_a[i], len(y))
-                if a == b:
-                    la, _ = _labels(np.r_[i, j], np.r_[j, i], ids_a, ids_a)
-                    out = [(ids_a, ca + cb, la)]
-                else:
-                    out = [(ids_a, ca, la), (ids_b, cb, lb)]
-                for ids, c, least in out:
-                    has = c > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(c[has].astype(np.int64)), pa.array(least[has])], ["rep", "links", "least"])
-
-    side = lambda s: held.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "x")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "counts_a", "x_a", "ids_b", "counts_b", "x_b")
+                u, v, block, ids, n, x = (c[r].as_py() for c in batch.columns)
+                if (u, v) != at:
+                    yield from told()
+                    at, tile = (u, v), []
+                x = _unit(np.frombuffer(x, kind).reshape(-1, dim).astype(np.float64))
+                p = x @ shared.value[:, :BOX_DIMS]
+                tile.append((block, np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64), x, p, (p.min(axis=0), p.max(axis=0))))
+        yield from told()
+
+    tiles = stored(pairs.select(F.floor(F.col("a") / side).alias("u"), F.floor(F.col("b") / side).alias("v")).distinct(), "tiles")
+    wanted = tiles.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("t"))
+    blocks_of = held.select(F.floor(F.col("block") / side).alias("t2"), "block", "ids", "counts", "x")
+    both = wanted.join(blocks_of, F.col("t") == F.col("t2")).select("u", "v", "block", "ids", "counts", "x")
+    both = both.repartition(max(1, tiles.count()), "u", "v").sortWithinPartitions("u", "v", "block")
     return stored(both.mapInArrow(compare, "rep long, links long, least long"), "vector-links")
 
 
@@ -185,18 +224,20 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
     Rows link when their cosine, in doubles, is at least the given one. Null or zero vectors, those with null or non-finite
     elements, and rows without an id link with nothing. Equal vectors are compared once and counted as often as they
-    occur; shorter vectors are filled up with zeros. Rows that share an id are one node of a component.
+    occur; shorter vectors are filled up with zeros. Rows that share an id are one node of a component. Extra columns
+    aren't read.
     """
+    kind = "<f4" if rows.schema[column].dataType.simpleString() == "array<float>" else "<f8"  # what the vectors have been read as is what travels
     eps = math.sqrt(2 - 2 * cosine) + 1e-6
     dim = rows.agg(F.max(F.size(column))).first()[0]
     dim = max(1, dim or 0)
-    held = vectors(rows, dim, id_col, column)
+    held = vectors(rows, dim, id_col, column, kind)
     classes = stored(held.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec").alias("rep"), F.count("*").alias("n"), F.first("x").alias("x")), "vector-classes")
     count = classes.count()
     if count:
-        axes = principal_axes(classes, dim)
-        packed = blocks(classes, axes, eps, dim, block)
-        found = block_links(near_blocks(packed.select("block", "lo", "hi"), -(-count // block), eps), packed, cosine, eps, axes, dim)
+        axes = principal_axes(classes, dim, kind)
+        packed = blocks(classes, axes, eps, dim, block, kind)
+        found = block_links(near_blocks(packed.select("block", "lo", "hi"), -(-count // block), eps), packed, cosine, eps, axes, dim, block, kind)
     else:
         found = rows.sparkSession.createDataFrame([], "rep long, links long, least long")
     labels = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))

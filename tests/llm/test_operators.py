@@ -486,8 +486,8 @@ def test_vectors(spark):
     degree = Counter(a for a, _ in links)
     label = reach([i for i, _ in rows_ if i is not None], links)
     df = spark.createDataFrame(rows_, "vec_id long, embedding array<float>").repartition(5)
-    for size in (64, 2048):
-        found = embeddings.near_duplicates(df, block=size).collect()
+    for size, frame in ((64, df), (16, df.withColumn("embedding", F.col("embedding").cast("array<double>"))), (2048, df.withColumns({"x": F.lit(1), "Rep": F.lit(2), "block": F.lit(3)}))):
+        found = embeddings.near_duplicates(frame, block=size).collect()
         assert {(f.vec, f.n_links, f.component) for f in found} == {(i, degree[i], label.get(i)) for i, _ in rows_}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
