@@ -22,9 +22,9 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 def new_rows(batch: DataFrame, log: DataFrame | None, keys: list[str] = LOG_KEY, order: list[Column] | None = None) -> DataFrame:
-    """What an append of batch adds to log: the first row of each key that the log doesn't have. Applied twice it adds nothing."""
-    once = first_per_key(batch, keys, order) if order else batch.dropDuplicates(keys)
-    return once if log is None else once.join(log.select(*keys).distinct(), keys, "left_anti")
+    """What an append of batch adds to log: the first row of each key, in the order given or as read, that the log doesn't have. Applied twice it adds nothing."""
+    once = first_per_key(batch, keys, order) if order else first_per_key(batch.withColumn("__at", F.monotonically_increasing_id()), keys, [F.col("__at")]).drop("__at")
+    return once if log is None else once.join(log.select(*keys), keys, "left_anti")
 
 
 def upserted(table: DataFrame, changes: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -36,7 +36,7 @@ def upserted(table: DataFrame, changes: DataFrame, keys: list[str], order: list[
 def merged(log: DataFrame, side: DataFrame, keys: list[str] = LOG_KEY, where: Column | None = None) -> DataFrame:
     """log and the rows of side, where asked for, whose key it doesn't have."""
     side = side if where is None else side.filter(where)
-    return log.unionByName(side.join(log.select(*keys).distinct(), keys, "left_anti"))
+    return log.unionByName(side.join(log.select(*keys), keys, "left_anti"))
 
 
 def with_running(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -52,10 +52,15 @@ def _files(spark: SparkSession, path: str):
 
 
 def append_events(batch: DataFrame, path: str) -> int:
-    """Append to the log at path what it doesn't have, partitioned by day and source; how many rows that were."""
+    """Append to the log at path what it doesn't have, partitioned by day and source; how many rows that were.
+
+    Of the log only the partitions of the batch's sources are read: the source is part of the key.
+    """
     spark = batch.sparkSession
     fs, at = _files(spark, path)
     log = spark.read.parquet(path) if fs.exists(at(path)) else None
+    if log is not None:  # a source's name per kind of landed files, so few
+        log = log.filter(F.col("source").isin([r.source for r in batch.select("source").distinct().collect()]))
     added = new_rows(batch, log).withColumn("event_date", F.to_date("occurred_at")).persist()
     n = added.count()
     if n:
@@ -70,17 +75,25 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """Write df as the next version under root and then point CURRENT to it; readers of the version before aren't disturbed."""
+    """Write df as the next version under root and then point CURRENT to it, in one step; readers of the version before aren't disturbed.
+
+    A version's number is claimed by a file that only one writer can create.
+    """
     spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs, at = _files(spark, root)
     fs.mkdirs(at(root))
-    version = 1 + max([0, *(int(s.getPath().getName()[2:]) for s in fs.listStatus(at(root)) if s.getPath().getName().startswith("v="))])
+    version = 1 + max([0, *(int(n[2:]) for n in (s.getPath().getName() for s in fs.listStatus(at(root))) if n.startswith("v="))])
+    while not fs.createNewFile(at(f"{root}/.claim-{version}")):
+        version += 1
     df.write.parquet(f"{root}/v={version}")
     out = fs.create(at(f"{root}/.CURRENT.{version}"), True)
     out.write(bytearray(str(version), "ascii"))
     out.close()
-    fs.delete(at(f"{root}/CURRENT"), False)
-    fs.rename(at(f"{root}/.CURRENT.{version}"), at(f"{root}/CURRENT"))
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(root).toUri(), conf).rename(at(f"{root}/.CURRENT.{version}"), at(f"{root}/CURRENT"), over)
     return f"{root}/v={version}"
 
 

@@ -93,11 +93,16 @@ def client_registrants(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").filter("l_suppkey = 7").groupBy("l_partkey").agg(F.count("*").alias("filings"), F.year(F.max("l_shipdate")).alias("last_year"))
 
 
-@query("SELECT l_suppkey, count(*) AS filings, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount, max(struct_pack(y := year(l_shipdate)::INT, q := quarter(l_shipdate)::INT)).y AS y, max(struct_pack(y := year(l_shipdate)::INT, q := quarter(l_shipdate)::INT)).q AS q, max(l_discount) AS best FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1 HAVING max(l_discount) >= 0.05 ORDER BY filings DESC, amount DESC NULLS LAST, l_suppkey LIMIT 50")
+_WHEN = "max(struct_pack(y := year(l_shipdate)::INT, q := quarter(l_shipdate)::INT))"
+
+
+@query(f"SELECT l_orderkey, l_suppkey, filings, amount, w.y AS y, w.q AS q, best FROM (SELECT l_orderkey, l_suppkey, count(*) AS filings, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount, {_WHEN} AS w, max(l_discount) AS best FROM lineitem GROUP BY 1, 2 HAVING max(l_discount) >= 0.05) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY filings DESC, amount DESC NULLS LAST, l_suppkey) <= 3")
 def top_clients_for_bill(spark, sf_dir):
+    """Each bill's three clients with the most filings."""
     when = F.struct(F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"))
-    per = table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0").groupBy("l_suppkey").agg(F.count("*").alias("filings"), F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double").alias("amount"), F.max(when).alias("w"), F.max("l_discount").alias("best"))
-    return per.filter("best >= 0.05").orderBy(F.desc("filings"), F.desc_nulls_last("amount"), "l_suppkey").limit(50).select("l_suppkey", "filings", "amount", "w.y", "w.q", "best")
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("filings"), F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double").alias("amount"), F.max(when).alias("w"), F.max("l_discount").alias("best")).filter("best >= 0.05")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("filings"), F.desc_nulls_last("amount"), "l_suppkey"))
+    return per.withColumn("place", place).filter("place <= 3").select("l_orderkey", "l_suppkey", "filings", "amount", "w.y", "w.q", "best")
 
 
 @query("SELECT l_orderkey, coalesce(l_returnflag, 'all') AS party, count(*) FILTER (l_shipmode = 0) AS yea, count(*) FILTER (l_shipmode = 1) AS nay, count(*) FILTER (l_shipmode = 2) AS present, count(*) FILTER (l_shipmode > 2) AS not_voting, count(*) AS total FROM (SELECT *, l_linenumber % 4 AS l_shipmode FROM lineitem) GROUP BY ROLLUP (l_orderkey, l_returnflag) HAVING l_orderkey IS NOT NULL")
@@ -208,8 +213,9 @@ def amount_share(spark, sf_dir):
 
 @query("SELECT coalesce(o_orderpriority, 'all') AS tier, coalesce(o_orderstatus, 'all') AS model, count(*) AS bills, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS cost FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
 def cost_rollup(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("quorum_orders")
-    return spark.sql("SELECT coalesce(o_orderpriority, 'all') AS tier, coalesce(o_orderstatus, 'all') AS model, count(*) AS bills, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS cost FROM quorum_orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
+    tier, model = F.col("o_orderpriority"), F.col("o_orderstatus")
+    sums = table(spark, sf_dir, "orders").groupingSets([[tier], [model], []], tier, model).agg(F.count("*").alias("bills"), F.sum(F.col("o_totalprice").cast(MONEY)).cast("double").alias("cost"))
+    return sums.select(F.coalesce(tier, F.lit("all")).alias("tier"), F.coalesce(model, F.lit("all")).alias("model"), "bills", "cost")
 
 
 _TOK = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z''-]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for')))"

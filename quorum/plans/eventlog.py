@@ -31,10 +31,12 @@ def latest_per_key(spark, sf_dir):
     return log.latest_per_key(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
 
 
-@query("SELECT event_id, user_id, event_type FROM events a WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, event_type FROM events b WHERE event_id % 3 = 0 AND event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_id % 2 = 0 AND a.event_id = b.event_id AND a.user_id = b.user_id AND a.event_type = b.event_type)")
+@query("SELECT event_id, user_id, event_type FROM events a WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT event_id, user_id, event_type FROM events b WHERE ts >= TIMESTAMP '2024-01-10' AND event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.ts < TIMESTAMP '2024-01-20' AND a.event_id = b.event_id AND a.user_id = b.user_id AND a.event_type = b.event_type)")
 def anti_merge(spark, sf_dir):
-    rows, key = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["event_id", "user_id", "event_type"]
-    return log.merged(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 3 = 0"), key, F.col("event_type") != "error")
+    """A log up to a day and a side store from an earlier day on, which overlap."""
+    rows, key = table(spark, sf_dir, "events"), ["event_id", "user_id", "event_type"]
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    return log.merged(rows.filter(F.col("ts") < day("2024-01-20")).select(*key), rows.filter(F.col("ts") >= day("2024-01-10")).select(*key), key, F.col("event_type") != "error")
 
 
 @query("SELECT user_id, ts::DATE AS day, event_type, count(*) AS versions, max(event_id) AS head, array_to_string(list_sort(list_distinct(list(props->>'k'))), ',') AS ks FROM events GROUP BY ALL")
@@ -87,5 +89,7 @@ def cache_lookup(spark, sf_dir):
 @query("SELECT a.source, a.d AS from_doc, b.d AS to_doc, sha256(unhex(sha256(a.text)) || unhex(sha256(b.text))) AS pair FROM (SELECT source, min(doc_id) AS d, arg_min(text, doc_id) AS text FROM documents GROUP BY 1) a JOIN (SELECT source, max(doc_id) AS d, arg_max(text, doc_id) AS text FROM documents GROUP BY 1) b USING (source)")
 def version_pair_hash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    ends = docs.groupBy("source").agg(F.min(F.struct("doc_id", "text")).alias("a"), F.max(F.struct("doc_id", "text")).alias("b"))
-    return ends.select("source", F.col("a.doc_id").alias("from_doc"), F.col("b.doc_id").alias("to_doc"), pair_hash(F.col("a.text"), F.col("b.text")).alias("pair"))
+    ends = docs.groupBy("source").agg(F.min("doc_id").alias("from_doc"), F.max("doc_id").alias("to_doc"))  # ids alone; texts meet them after
+    text = lambda c, t: docs.select(F.col("doc_id").alias(c), F.col("text").alias(t))
+    both = ends.join(text("from_doc", "a"), "from_doc").join(text("to_doc", "b"), "to_doc")
+    return both.select("source", "from_doc", "to_doc", pair_hash(F.col("a"), F.col("b")).alias("pair"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import table
 from ..streaming import jobs
-from ..text.clean import clean_html, version_changes
+from ..text import clean
+from ..text.clean import version_changes
 from .activity import WEIGHTS
 from .registry import query
 
@@ -18,7 +19,11 @@ from .registry import query
 def _finished(df: DataFrame, mode: str) -> DataFrame:
     """The result of a stream, run to the end of its input: a table in the shared folder, of which nothing goes through the driver."""
     spark, name = df.sparkSession, "stream_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quorum-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quorum-")
     out = f"{base}/{name}-out"
     spark.createDataFrame([], df.schema).write.parquet(f"{out}/none")  # a stream without a row is a table too
 
@@ -58,9 +63,18 @@ def streaming_dedupe(spark, sf_dir):
     return _finished(once.select("user_id", "event_type"), "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+def _lines_sql(text: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for pattern, by in clean.MARKUP:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {'chr(10)' if by else quoted(by)}, 'g')"
+    for name, char in clean.ENTITIES.items():
+        text = f"replace({text}, '&{name};', {quoted(char)})"
+    return f"list_transform(string_split({text}, chr(10)), lambda x: trim(regexp_replace(x, {quoted(clean.SPACES)}, ' ', 'g'), ' '))"
+
+
+@query(f"""SELECT page_id, length(body)::INT AS chars, sha256(body) AS digest FROM (SELECT page_id, trim(array_to_string([x FOR x, i IN ls IF x <> '' OR coalesce(ls[i - 1], '') <> ''], chr(10)), chr(10)) AS body FROM (SELECT page_id, {_lines_sql("coalesce(html, '')")} AS ls FROM pages))""")
 def cleaned_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", clean_html("html").alias("body")).select("page_id", F.length("body").alias("chars"), F.sha2("body", 256).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", clean.text_lines(F.col("html")).alias("body")).select("page_id", F.length("body").alias("chars"), F.sha2("body", 256).alias("digest"))
 
 
 @query()

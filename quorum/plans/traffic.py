@@ -104,10 +104,24 @@ def packed_turns(spark, sf_dir):
     return chunks.select("conv_id", F.explode(F.arrays_zip("turn", "chunk")).alias("x")).select("conv_id", "x.turn", "x.chunk")
 
 
-@query("SELECT page_id, '<url><loc>' || url || '</loc><priority>' || CASE WHEN page_id % 10 = 0 THEN '0.9' ELSE '0.5' END || '</priority></url>' AS entry FROM pages")
+_ESCAPED = "replace(replace(replace(url || '?a=1&b=<2>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"SELECT page_id, '<url><loc>' || {_ESCAPED} || '</loc><priority>' || CASE WHEN page_id % 10 = 0 THEN '0.9' ELSE '0.5' END || '</priority></url>' AS entry FROM pages")
 def sitemap(spark, sf_dir):
-    priority = F.when(F.col("page_id") % 10 == 0, "0.9").otherwise("0.5")
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><priority>"), priority, F.lit("</priority></url>")).alias("entry"))
+    """An entry per page, its address escaped."""
+    priority, url = F.when(F.col("page_id") % 10 == 0, "0.9").otherwise("0.5"), F.concat("url", F.lit("?a=1&b=<2>"))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        url = F.replace(url, F.lit(sign), F.lit(name))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<url><loc>"), url, F.lit("</loc><priority>"), priority, F.lit("</priority></url>")).alias("entry"))
+
+
+@query("""SELECT conv_id, turn, bill FROM (SELECT conv_id, turn, unnest(['119:hr:' || (conv_id + 1), '119:s:' || (turn + 1), '119:hjres:' || (conv_id + 2)]) AS bill FROM conversations)""")
+def mentioned_bills(spark, sf_dir):
+    """The bills that texts name, in the forms that are in use."""
+    text = F.concat("text", F.lit(" see H.R. "), (F.col("conv_id") + 1).cast("string"), F.lit(", s"), (F.col("turn") + 1).cast("string"), F.lit("/U.S. 7 and H.J. Res. "), (F.col("conv_id") + 2).cast("string"))
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.explode(civic.bill_references(text, F.lit(2025))).alias("bill"))
 
 
 @query("SELECT user_id, '{\"user_id\":' || user_id || ',\"events\":' || count(*) || ',\"types\":' || count(DISTINCT event_type) || '}' AS body FROM events GROUP BY user_id")

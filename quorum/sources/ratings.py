@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from ..functions import civic
+from ..functions import civic, tables
+
+
+# States and other places, and their codes.
+_NAMES = """Alabama AL,Alaska AK,Arizona AZ,Arkansas AR,California CA,Colorado CO,Connecticut CT,Delaware DE,District of Columbia DC,Florida FL,Georgia GA,Hawaii HI,Idaho ID,Illinois IL,Indiana IN,Iowa IA,Kansas KS,Kentucky KY,
+Louisiana LA,Maine ME,Maryland MD,Massachusetts MA,Michigan MI,Minnesota MN,Mississippi MS,Missouri MO,Montana MT,Nebraska NE,Nevada NV,New Hampshire NH,New Jersey NJ,New Mexico NM,New York NY,North Carolina NC,North Dakota ND,Ohio OH,
+Oklahoma OK,Oregon OR,Pennsylvania PA,Rhode Island RI,South Carolina SC,South Dakota SD,Tennessee TN,Texas TX,Utah UT,Vermont VT,Virginia VA,Washington WA,West Virginia WV,Wisconsin WI,Wyoming WY"""
+STATES = {x.strip()[:-3].lower(): x.strip()[-2:] for x in _NAMES.split(",")}
 
 
 class _Tables(HTMLParser):
@@ -44,10 +51,10 @@ class _Tables(HTMLParser):
 
 
 def rated_places(page: str) -> list[tuple[str, str]]:
-    """(place, rating) of the largest table whose head has a PVI column; place is its first cell, or the first two."""
+    """(place, rating) of the largest table of states and the largest of districts whose heads have a PVI column; place is a row's first cell, or the first two."""
     parser = _Tables()
     parser.feed(page or "")
-    best: list[tuple[str, str]] = []
+    best: dict[bool, list[tuple[str, str]]] = {}
     for rows in parser.tables:
         head = [c.strip().lower() for c in rows[0]] if rows else []
         at = next((i for i, c in enumerate(head) if "pvi" in c), None)
@@ -55,8 +62,9 @@ def rated_places(page: str) -> list[tuple[str, str]]:
             continue
         places = 2 if "state" in head and "district" in head else 1
         found = [(" ".join(c.replace("\xa0", " ").strip() for c in r[:places]), r[at].strip()) for r in rows[1:] if len(r) > at]
-        best = max(best, found, key=len)
-    return best
+        districts = any(c.isdigit() or "at-large" in p.lower() for p, _ in found for c in p[-4:])
+        best[districts] = max(best.get(districts, []), found, key=len)
+    return [x for rows in best.values() for x in rows]
 
 
 @F.udf(ArrayType(StructType().add("place", StringType()).add("rating", StringType())))
@@ -65,10 +73,10 @@ def _rated(page):
 
 
 def district_ratings(spark: SparkSession, path: str, congress: int) -> DataFrame:
-    """(congress, state, district, pvi, score) of the pages in a folder: "Alabama 1", "West Virginia 2", "Alaska at-large"; a state alone has district -1."""
+    """(congress, state, district, pvi, score) of the pages in a folder: "Alabama 1", "West Virginia 2", "Alaska at-large"; a state alone has district -1. States are told by their codes; of other places their names stay."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(_rated("value")).alias("r")).select("r.*")
     number = F.regexp_extract("place", r"(\d+)(?:st|nd|rd|th)?\s*$", 1).try_cast("int")
     large = F.lower("place").contains("at-large")
     state = F.trim(F.regexp_replace("place", r"(?i)\s*(?:\d+(?:st|nd|rd|th)?|at-large)\s*$", ""))
-    rated = rows.select(F.lit(congress).alias("congress"), state.alias("state"), F.when(large, 0).otherwise(F.coalesce(number, F.lit(-1))).alias("district"), civic.pvi(F.col("rating")).alias("p"))
+    rated = rows.select(F.lit(congress).alias("congress"), F.coalesce(tables.looked_up(STATES, F.lower(state)), state).alias("state"), F.when(large, 0).otherwise(F.coalesce(number, F.lit(-1))).alias("district"), civic.pvi(F.col("rating")).alias("p"))
     return rated.filter(F.col("p").isNotNull()).select("congress", "state", "district", F.col("p.label").alias("pvi"), F.col("p.score").alias("score"))

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import civic
+from ..functions import civic, tables
+from ..operators.eventlog import latest_per_key
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,7 @@ def _votes(each: DataFrame, source: str, chamber: str) -> DataFrame:
 
 BILL_STATUS = """congress int, type string, number int, title string, introducedDate string, updateDate string, latestAction struct<text:string,actionDate:string>, policyArea struct<name:string>,
 sponsors struct<item:array<struct<bioguideId:string>>>, cosponsors struct<item:array<struct<bioguideId:string,sponsorshipDate:string,isOriginalCosponsor:string>>>,
+textVersions struct<item:array<struct<type:string,date:string,formats:struct<item:array<struct<url:string>>>>>>,
 actions struct<item:array<struct<actionDate:string,actionCode:string,type:string,text:string,committees:struct<item:array<struct<name:string>>>>>>"""
 
 
@@ -91,7 +93,7 @@ def bill_status(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     day = lambda c: F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
     sponsor = F.try_element_at("sponsors.item", F.lit(1))["bioguideId"]
     bills = raw.select("bill_id", "congress", "bill_type", "number", "title", sponsor.alias("sponsor_bioguide"), day(F.col("introducedDate")).alias("introduced_date"), day(F.col("latestAction.actionDate")).alias("latest_action_date"),
-                       F.col("latestAction.text").alias("latest_action_text"), F.col("policyArea.name").alias("policy_area"), F.coalesce(F.size("cosponsors.item"), F.lit(0)).alias("cosponsor_count"))
+                       F.col("latestAction.text").alias("latest_action_text"), F.col("policyArea.name").alias("policy_area"), F.coalesce(F.size("cosponsors.item"), F.lit(0)).alias("cosponsor_count"), F.to_json("textVersions.item").alias("text_versions"))
     base = [F.col(c) for c in ("bill_id", "congress", "bill_type", "number")]
     member = lambda c: F.concat(F.lit("bioguide:"), c)
     own = raw.filter(sponsor.isNotNull())
@@ -172,14 +174,14 @@ SUMMARIES = "summaries array<struct<bill:struct<congress:int,type:string,number:
 
 def bill_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the summaries table, the texts without markup."""
-    from ..text.clean import clean_html
+    from ..text.clean import text_lines
 
     s = spark.read.schema(SUMMARIES).option("multiLine", True).json(path).select(F.explode("summaries").alias("s")).select("s.*")
     return s.select(F.concat_ws(":", F.col("bill.congress").cast("string"), F.lower("bill.type"), "bill.number").alias("bill_id"), F.col("versionCode").alias("version_code"), F.try_to_date("actionDate", "yyyy-MM-dd").alias("action_date"),
-                    F.col("actionDesc").alias("action_desc"), clean_html("text").alias("summary_text"), civic.iso_time(F.col("updateDate")).alias("update_date"))
+                    F.col("actionDesc").alias("action_desc"), text_lines(F.col("text")).alias("summary_text"), civic.iso_time(F.col("updateDate")).alias("update_date"))
 
 
-LEGISLATOR = "id struct<bioguide:string,govtrack:bigint,lis:string>, name struct<first:string,last:string,official_full:string>, terms array<struct<type:string,start:string,end:string,state:string,district:int,party:string>>"
+LEGISLATOR = "id struct<bioguide:string,govtrack:bigint,lis:string,fec:array<string>>, name struct<first:string,last:string,official_full:string>, terms array<struct<type:string,start:string,end:string,state:string,district:int,party:string>>"
 
 
 def legislators(spark: SparkSession, path: str) -> DataFrame:
@@ -228,8 +230,90 @@ def text_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy("package").agg(F.max(F.struct("last_modified", "name", "bill_id", "version_code")).alias("m")).select("package", "m.*")
 
 
+BILL = "bill struct<congress:int,type:string,number:string,title:string,introducedDate:string,sponsors:array<struct<bioguideId:string>>,latestAction:struct<text:string,actionDate:string>,policyArea:struct<name:string>,cosponsors:struct<count:int>>"
+
+
+def bill_details(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the table of bills from landed details {"bill": ...}; of a bill that is there twice that with the latest action."""
+    b = spark.read.schema(BILL).json(path).select("bill.*")
+    day = lambda c: F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
+    rows = b.select(F.concat_ws(":", F.col("congress").cast("string"), F.lower("type"), "number").alias("bill_id"), "congress", F.lower("type").alias("bill_type"), F.col("number").try_cast("int").alias("number"), "title", F.try_element_at("sponsors", F.lit(1))["bioguideId"].alias("sponsor_bioguide"),
+                    day(F.col("introducedDate")).alias("introduced_date"), day(F.col("latestAction.actionDate")).alias("latest_action_date"), F.col("latestAction.text").alias("latest_action_text"), F.col("policyArea.name").alias("policy_area"), F.coalesce("cosponsors.count", F.lit(0)).alias("cosponsor_count"))
+    return latest_per_key(rows, ["bill_id"], [F.col("latest_action_date")])
+
+
+PARTS = """request struct<congress:int,billType:string,billNumber:string>, cosponsors array<struct<bioguideId:string,sponsorshipDate:string,isOriginalCosponsor:boolean>>,
+actions array<struct<actionDate:string,actionCode:string,type:string,text:string,committees:array<struct<name:string>>>>"""
+
+
+def bill_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Events of landed pages of a bill's cosponsors or actions, which name the bill in their request."""
+    p = spark.read.schema(PARTS).json(path).withColumn("bill_id", F.concat_ws(":", F.col("request.congress").cast("string"), F.lower("request.billType"), "request.billNumber"))
+    c = p.select("bill_id", F.explode("cosponsors").alias("c"))
+    held = as_events(c, "congress_bills", F.concat_ws(":", F.lit("cosponsor"), "bill_id", "c.bioguideId"), F.concat(F.lit("bioguide:"), "c.bioguideId"), "bill.cosponsored", civic.iso_time(F.col("c.sponsorshipDate")), [F.col("bill_id"), F.col("c.isOriginalCosponsor").alias("is_original")])
+    a = p.select("bill_id", F.explode("actions").alias("a"))
+    key = F.concat_ws(":", F.lit("action"), "bill_id", "a.actionDate", "a.actionCode", F.substring(F.sha2(F.coalesce("a.text", F.lit("")), 256), 1, 12))
+    done = as_events(a, "congress_bill_actions", key, F.concat(F.lit("bill:"), "bill_id"), "bill.action", civic.iso_time(F.col("a.actionDate")), [F.col("bill_id"), F.col("a.actionCode").alias("action_code"), F.col("a.type").alias("action_type"), F.col("a.text").alias("text"), F.col("a.committees.name").alias("committees")])
+    return held.unionByName(done)
+
+
+TOTALS = "results array<struct<candidate_id:string,cycle:int,receipts:string,disbursements:string,last_cash_on_hand_end_period:string,last_debts_owed_by_committee:string,individual_contributions:string,coverage_start_date:string,coverage_end_date:string,last_report_type_full:string>>"
+
+
+def funding_totals(spark: SparkSession, path: str, resolved: DataFrame) -> DataFrame:
+    """Rows of the table of totals from landed pages, by resolved ids (bioguide_id, cycle, fec_id); those of unknown candidates are left out."""
+    t = spark.read.schema(TOTALS).json(path).select(F.explode("results").alias("t")).select("t.*")
+    money = lambda c, name: F.col(c).try_cast("decimal(18,3)").alias(name)
+    day = lambda c: F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
+    rows = t.select(F.col("candidate_id").alias("fec_id"), "cycle", money("receipts", "receipts"), money("disbursements", "disbursements"), money("last_cash_on_hand_end_period", "cash_on_hand"), money("last_debts_owed_by_committee", "debts"), money("individual_contributions", "individual"),
+                    day(F.col("coverage_start_date")).alias("coverage_start"), day(F.col("coverage_end_date")).alias("coverage_end"), F.col("last_report_type_full").alias("last_report_label"))
+    return rows.join(resolved.filter(F.col("fec_id").isNotNull()), ["fec_id", "cycle"])
+
+
+def resolved_candidates(members: DataFrame, cached: DataFrame, by_name: DataFrame) -> DataFrame:
+    """(bioguide_id, cycle, fec_id, source) of members (bioguide_id, cycle, fec_ids, name, state): what the cache says, a null too, else the first id of their own, else the only candidate of that name and state."""
+    only = by_name.groupBy(F.lower("name").alias("__name"), "state").agg(F.max("fec_id").alias("__found"), F.count_distinct("fec_id").alias("__n")).filter("__n = 1")
+    known = cached.select("bioguide_id", "cycle", F.col("fec_id").alias("__cached"), F.lit(True).alias("__is_cached"))
+    m = members.join(known, ["bioguide_id", "cycle"], "left").join(only, (F.lower(members["name"]) == F.col("__name")) & (members["state"] == only["state"]), "left")
+    own = F.try_element_at("fec_ids", F.lit(1))
+    source = F.when(F.col("__is_cached"), "cached").when(own.isNotNull(), "primary").when(F.col("__found").isNotNull(), "name").otherwise("none")
+    return m.select("bioguide_id", "cycle", F.when(F.col("__is_cached"), F.col("__cached")).otherwise(F.coalesce(own, "__found")).alias("fec_id"), source.alias("source"))
+
+
+MANIFEST = "bill_id string, versions array<struct<code:string,label:string,package:string,source_url:string,last_modified:string>>"
+
+
+def bill_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the table of texts from a tree {bill}/manifest.json and {bill}/{code}.txt: a row for each version that has both."""
+    where = lambda c: F.regexp_extract(c, r"([^/]+)/[^/]+$", 1)
+    listed = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(root)
+    listed = listed.select("bill_id", where(F.col("_metadata.file_path")).alias("folder"), F.explode("versions").alias("v")).select("bill_id", "folder", "v.*")
+    body = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    body = body.select(where(F.col("_metadata.file_path")).alias("folder"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("code"), F.col("value").alias("body"))
+    return listed.join(body, ["folder", "code"]).select("bill_id", F.col("code").alias("version_code"), tables.version_label(F.col("code"), F.col("label")).alias("version_label"), "body", F.size(F.split("body", "\n")).alias("line_count"), F.sha2("body", 256).alias("sha256"), "package", "source_url", civic.iso_time(F.col("last_modified")).alias("last_modified"))
+
+
+def manifests(texts: DataFrame) -> DataFrame:
+    """(bill_id, manifest): each bill's versions, one a code, in the order of a bill's way, as the manifest's JSON; its texts are written beside it by code."""
+    rank = F.array_position(F.array(*[F.lit(c) for c in tables.VERSIONS]), F.col("version_code"))
+    once = latest_per_key(texts, ["bill_id", "version_code"], [F.col("last_modified")])
+    each = F.struct(F.when(rank == 0, 999).otherwise(rank).alias("r"), F.col("version_code").alias("code"), F.col("version_label").alias("label"), "package", "source_url", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
+    per = once.groupBy("bill_id").agg(F.sort_array(F.collect_list(each)).alias("v"))
+    return per.select("bill_id", F.to_json(F.struct("bill_id", F.transform("v", lambda x: x.dropFields("r")).alias("versions"))).alias("manifest"))
+
+
+def landed(spark: SparkSession, roots: list[str], name: str, schema: str) -> DataFrame:
+    """A table of that name from every root that has it: none of the roots need have it, and it is empty then."""
+    found = []
+    for root in roots:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            found.append(f"{root}/{name}")
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 SOURCES = {s.name: s for s in (
     Source("congress_rollcalls", house_votes), Source("govinfo_billstatus", lambda s, p: bill_status(s, p)[1]), Source("lda_senate", lambda s, p: lobbying_filings(s, p)[1]),
     Source("congress_committee_meetings", committee_meetings), Source("congress_amendments", amendments, 4), Source("congress_bill_summaries", bill_summaries, 4), Source("legislators", legislators), Source("committees", committees),
-    Source("social", social_handles), Source("text_listing", text_listing),
+    Source("social", social_handles), Source("text_listing", text_listing), Source("congress_bills", bill_parts), Source("bill_texts", bill_texts),
 )}

@@ -19,6 +19,11 @@ def test_append_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_first_wins(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "z"), (1, "c")], "k int, v string").coalesce(1)
+    assert {tuple(r) for r in log.new_rows(rows, None, ["k"]).collect()} == {(1, "b"), (2, "z")}
+
+
 def test_upsert_and_publish(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int")
     new = spark.createDataFrame([(2, "c", 0), (3, "d", 5), (3, "e", 6)], "k int, v string, at int")

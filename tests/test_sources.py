@@ -73,4 +73,41 @@ def test_json_tables(spark, tmp_path):
 def test_ratings(spark, tmp_path):
     page = '<table class="wikitable"><tr><th>District</th><th>PVI</th></tr><tr><td>Alabama&nbsp;1</td><td>R+5</td></tr><tr><td>Alaska at-large</td><td>EVEN</td></tr><tr><td>West Virginia 2</td><td>D+3</td></tr></table>'
     found = {(r.state, r.district): (r.pvi, r.score) for r in ratings.district_ratings(spark, put(tmp_path, "p.html", page), 119).collect()}
-    assert found == {("Alabama", 1): ("R+5", 5), ("Alaska", 0): ("EVEN", 0), ("West Virginia", 2): ("D+3", -3)}
+    assert found == {("AL", 1): ("R+5", 5), ("AK", 0): ("EVEN", 0), ("WV", 2): ("D+3", -3)}
+    states = '<table class="wikitable"><tr><th>State</th><th>PVI</th></tr><tr><td>Ohio</td><td>R+5</td></tr></table>'
+    found = {(r.state, r.district) for r in ratings.district_ratings(spark, put(tmp_path, "both.html", states + page + states.replace("</table>", "<tr><td>Utah</td><td>R+9</td></tr></table>")), 119).collect()}
+    assert found == {("AL", 1), ("AK", 0), ("WV", 2), ("OH", -1), ("UT", -1)}
+
+
+def test_bills_by_json(spark, tmp_path):
+    bill = {"bill": {"congress": 119, "type": "HR", "number": "12", "title": "T", "introducedDate": "2025-01-03", "sponsors": [{"bioguideId": "A1"}], "latestAction": {"text": "x", "actionDate": "2025-01-04"}}}
+    later = {"bill": {**bill["bill"], "latestAction": {"text": "y", "actionDate": "2025-02-04"}}}
+    r = readers.bill_details(spark, put(tmp_path, "b.json", json.dumps(bill) + "\n" + json.dumps(later))).collect()
+    assert [(x.bill_id, x.latest_action_text, x.sponsor_bioguide, x.cosponsor_count) for x in r] == [("119:hr:12", "y", "A1", 0)]
+    q = {"congress": 119, "billType": "HR", "billNumber": "12"}
+    parts = [{"request": q, "cosponsors": [{"bioguideId": "A2", "sponsorshipDate": "2025-01-05", "isOriginalCosponsor": True}]}, {"request": q, "actions": [{"actionDate": "2025-01-06", "actionCode": "H1", "text": "Referred"}]}]
+    assert sorted((x.event_type, x.entity_id) for x in readers.bill_parts(spark, put(tmp_path, "p.json", "\n".join(map(json.dumps, parts)))).collect()) == [("bill.action", "bill:119:hr:12"), ("bill.cosponsored", "bioguide:A2")]
+
+
+def test_funding(spark, tmp_path):
+    members = spark.createDataFrame([("A", 2024, ["H1"], "Ann", "OH"), ("B", 2024, None, "Bob", "UT"), ("C", 2024, ["H3"], "Cy", "OH"), ("D", 2024, None, "Di", "OH")], "bioguide_id string, cycle int, fec_ids array<string>, name string, state string")
+    cached = spark.createDataFrame([("C", 2024, None)], "bioguide_id string, cycle int, fec_id string")
+    names = spark.createDataFrame([("BOB", "UT", "H2"), ("Di", "OH", "H5"), ("Di", "OH", "H6")], "name string, state string, fec_id string")
+    found = readers.resolved_candidates(members, cached, names)
+    assert {(r.bioguide_id, r.fec_id, r.source) for r in found.collect()} == {("A", "H1", "primary"), ("B", "H2", "name"), ("C", None, "cached"), ("D", None, "none")}
+    page = {"results": [{"candidate_id": c, "cycle": 2024, "receipts": "12.5", "coverage_end_date": "2024-12-31T00:00:00"} for c in ("H1", "H9")]}
+    rows = readers.funding_totals(spark, put(tmp_path, "f.json", json.dumps(page)), found).collect()
+    assert [(r.bioguide_id, float(r.receipts), str(r.coverage_end)) for r in rows] == [("A", 12.5, "2024-12-31")]
+
+
+def test_texts_and_roots(spark, tmp_path):
+    (tmp_path / "119-hr-1").mkdir()
+    versions = [{"code": c, "label": c, "package": "p", "source_url": "u", "last_modified": "2025-01-02"} for c in ("enr", "ih", "zz")]
+    put(tmp_path / "119-hr-1", "manifest.json", json.dumps({"bill_id": "119:hr:1", "versions": versions}))
+    for c in ("ih", "enr"):
+        put(tmp_path / "119-hr-1", f"{c}.txt", f"text {c}\nline")
+    texts = readers.bill_texts(spark, f"file://{tmp_path}")
+    assert {(r.bill_id, r.version_code, r.version_label, r.line_count) for r in texts.collect()} == {("119:hr:1", "ih", "Introduced in House", 2), ("119:hr:1", "enr", "Enrolled Bill", 2)}
+    assert [v["code"] for v in json.loads(readers.manifests(texts.union(texts)).first().manifest)["versions"]] == ["ih", "enr"]
+    spark.range(3).write.parquet(f"file://{tmp_path}/a/t")
+    assert [readers.landed(spark, [f"file://{tmp_path}/{r}" for r in roots], "t", "id long").count() for roots in (["a"], ["a", "b"], ["b"])] == [3, 3, 0]
