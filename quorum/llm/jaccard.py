@@ -31,7 +31,7 @@ FIRST_LISTS = 8
 #: Rows of a list that one task takes at once; a shingle that may be in more is dealt over several tasks.
 LIST_ROWS = 100_000
 #: Sets of a list that ask and sets that are asked, in one task: longer lists are cut into blocks, and pairs of blocks dealt.
-ASKING, ASKED = 512, 4096
+ASKING, ASKED = 256, 1024
 #: Fingerprints that a task remembers so as not to tell a set twice.
 REMEMBERED = 1_000_000
 
