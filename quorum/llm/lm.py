@@ -15,6 +15,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -192,16 +193,31 @@ def unigrams(train: DataFrame) -> DataFrame:
     return stored(train.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
 
 
+def _used(n: int, *places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n places occur, and for these their numbers among those that do; for others the numbers are undefined."""
+    if n > 16 * len(places[0]):
+        used = np.unique(np.concatenate(places))
+    else:
+        there = np.zeros(n, bool)
+        for x in places:
+            there[x] = True
+        used = np.flatnonzero(there)
+    number = np.empty(n, np.int64)
+    number[used] = np.arange(len(used))
+    return used, number
+
+
 def _closed(model, words: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[bytes, bytes]:
     """Pairs of places in sorted words, themselves sorted, as bytes: the words that occur, and the pairs as their numbers."""
-    used = np.unique(np.concatenate([first, second]))
-    return model.listed(words[used]), _packed(np.searchsorted(used, first).astype(np.uint64) * _U(len(used)) + np.searchsorted(used, second).astype(np.uint64))
+    used, number = _used(len(words), first, second)
+    return model.listed(words[used]), _packed((number[first] * len(used) + number[second]).view(np.uint64))
 
 
-def _opened(model, words, pairs) -> tuple[np.ndarray, np.ndarray]:
-    """The first and second words of pairs, sorted."""
+def _opened(model, words, pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted words of pairs, and the places of the pairs' first and second words in them; the pairs are sorted."""
     w, p = model.unlisted(words), _unpacked(pairs)
-    return w[(p // _U(len(w))).astype(np.int64)], w[(p % _U(len(w))).astype(np.int64)]
+    first = p // _U(len(w))
+    return w, first.view(np.int64), (p - first * _U(len(w))).view(np.int64)
 
 
 class Model:
@@ -220,6 +236,12 @@ class Model:
         i = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         return self.words[i] == tokens, i
 
+    def places_of_text(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for tokens as they follow in texts, many of them often: each different one is looked for once."""
+        number, different = pd.factorize(tokens)
+        hot, i = self.places(different)
+        return hot[number], i[number]
+
     def word_p(self, counts):
         return np.maximum(counts - self.discount, self.discount * 1e-9) / self.n
 
@@ -238,38 +260,47 @@ class Model:
         words[~hot] = np.frombuffer(data[cut + size :], np.uint64)
         return words
 
-    def shard(self, first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
-        """A pair's shard: by its first word, so that all that follows this is in one shard; by both where the first has more than an eighth of a shard."""
-        hot, i = self.places(first)
+    def shard(self, words: np.ndarray, first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+        """The shards of pairs of places in words: by a pair's first word, so that all that follows this is in one shard; by both where the first has more than an eighth of a shard."""
+        hot, i = self.places(words)
         split = hot & (self.counts[i] * 8 * shards > self.n)
-        return (mixed(np.where(split, mixed(first * _STEP + second), first)) % _U(shards)).astype(np.int64)
+        shard = (mixed(words) % _U(shards)).astype(np.int64)[first]
+        both = np.flatnonzero(split[first])
+        shard[both] = (mixed(mixed(words[first[both]] * _STEP + words[second[both]])) % _U(shards)).astype(np.int64)
+        return shard
 
 
 class Pairs:
     """The pairs of neighbours of some texts, each token's with the one before it, as places in the texts' sorted words."""
 
     def __init__(self, held: list[tuple[np.ndarray, np.ndarray]]):
-        """held: tokens and the tokens before them."""
-        tokens, before = (np.concatenate(x) for x in zip(*held, strict=True))
-        self.words = np.unique(np.r_[tokens, _U(END)])
-        self.size = _U(len(self.words))
-        self.numbers = np.searchsorted(self.words, before).astype(np.uint64) * self.size + np.searchsorted(self.words, tokens).astype(np.uint64)
+        """held: the tokens of whole texts, and which of them begin one."""
+        tokens, begins = (np.concatenate(x) for x in zip(*held, strict=True))
+        number, words = pd.factorize(np.r_[_U(END), tokens])  # an end stands before the first
+        order = np.argsort(words)
+        self.words = words[order]
+        self.size = len(words)
+        place = np.empty(self.size, np.int64)
+        place[order] = np.arange(self.size)
+        place = place[number]
+        self.numbers = np.where(begins, place[0], place[:-1]) * self.size + place[1:]
 
     def by_shard(self, numbers: np.ndarray, model: Model, shards: int):
         """(shard, places of its pairs, their words and their pairs as bytes) for sorted numbers."""
-        first, second = (numbers // self.size).astype(np.int64), (numbers % self.size).astype(np.int64)
-        shard = model.shard(self.words[first], self.words[second], shards)
-        order = np.argsort(shard, kind="stable")
+        first = numbers // self.size
+        second = numbers - first * self.size
+        shard = model.shard(self.words, first, second, shards)
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             at = order[cuts[s] : cuts[s + 1]]
             yield s, at, *_closed(model, self.words, first[at], second[at])
 
 
-def _before(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
-    before = np.r_[_U(END), tokens[:-1]]
-    before[off[:-1]] = END
-    return before
+def _begins(off: np.ndarray) -> np.ndarray:
+    begins = np.zeros(off[-1], bool)
+    begins[off[:-1]] = True  # each text has a token, its end
+    return begins
 
 
 def _binary(x: bytes) -> pa.Array:
@@ -290,7 +321,7 @@ def pair_counts(train: DataFrame, model, shards: int) -> DataFrame:
 
         for b in batches:
             for _, _, tokens, off in token_chunks(b.column(0)):
-                held.append((tokens, _before(tokens, off)))
+                held.append((tokens, _begins(off)))
                 size += len(tokens)
                 if size >= AT_ONCE:
                     yield from told()
@@ -302,13 +333,18 @@ def pair_counts(train: DataFrame, model, shards: int) -> DataFrame:
         at, held = None, []
 
         def sums():
-            first, second = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            words = np.unique(np.concatenate([first, second]))
-            size = _U(len(words))
-            numbers = np.searchsorted(words, first).astype(np.uint64) * size + np.searchsorted(words, second).astype(np.uint64)
-            pairs, inverse = np.unique(numbers, return_inverse=True)
-            c = np.bincount(inverse, np.concatenate([h[2] for h in held]), len(pairs)).astype(np.int64)
-            return words, (pairs // size).astype(np.int64), (pairs % size).astype(np.int64), c
+            words = np.unique(np.concatenate([w for w, *_ in held]))
+            size, numbers = len(words), []
+            for w, first, second, _ in held:
+                place = np.searchsorted(words, w)
+                numbers.append(place[first] * size + place[second])
+            numbers = np.concatenate(numbers)  # sorted runs, one of each part
+            order = np.argsort(numbers, kind="stable")
+            pairs = numbers[order]
+            starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+            c = np.add.reduceat(np.concatenate([h[3] for h in held])[order], starts, dtype=np.int64)
+            first = pairs[starts] // size
+            return words, first, pairs[starts] - first * size, c
 
         def told():
             words, first, second, c = sums()
@@ -322,8 +358,7 @@ def pair_counts(train: DataFrame, model, shards: int) -> DataFrame:
                 at = s
                 held.append((*_opened(model.value, w, p), np.frombuffer(zlib.decompress(c), "<u4")))
                 if len(held) > 64:
-                    words, first, second, c = sums()
-                    held = [(words[first], words[second], c)]
+                    held = [sums()]
         if held:
             yield told()
 
@@ -360,8 +395,9 @@ def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
     def kinds(batches):
         for b in batches:
             for w, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                first, c = np.unique(_opened(words_of.value, w, p)[0], return_counts=True)
-                yield _batch(["__w", "f"], first.view(np.int64), c)
+                words, first, _ = _opened(words_of.value, w, p)
+                first, c = np.unique(first, return_counts=True)
+                yield _batch(["__w", "f"], words[first].view(np.int64), c)
 
     followers = counted.select("words", "pairs").mapInArrow(kinds, "__w long, f long").groupBy("__w").agg(F.sum("f").alias("followers"))
     words = stored(known.join(followers, F.col("w") == F.col("__w")).select("w", "c", "followers"), "words")  # each word is followed by one or an end
@@ -372,7 +408,8 @@ def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
     def rare(batches):
         for b in batches:
             for shard, w, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                second = np.unique(_opened(shared.value, w, p)[1])
+                words, _, second = _opened(shared.value, w, p)
+                second = words[_used(len(words), second)[0]]
                 second = second[~shared.value.places(second)[0]]
                 yield _batch(["shard", "__w"], np.full(len(second), shard), second.view(np.int64))
 
@@ -380,18 +417,20 @@ def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
         m, at, held, pairs = shared.value, None, [], None
 
         def told():
-            first, second, c = pairs
+            listed, first, second, c = pairs
             w, of = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0))
             order = np.argsort(w)
             w, of = w[order], of[order]
 
             contexts, starts, f = np.unique(first, return_index=True, return_counts=True)
+            contexts = listed[contexts]
             hot, i = m.places(contexts)
             total = np.where(hot, m.counts[i], np.add.reduceat(c, starts))
             back_off = m.pair_discount * np.where(hot, m.followers[i], f) / total
             x = np.repeat(np.arange(len(contexts)), f)
 
-            words, y = np.unique(second, return_inverse=True)
+            used, number = _used(len(listed), second)
+            words, y = listed[used], number[second]
             hot, i = m.places(words)
             count = m.counts[i]
             if len(w):
@@ -452,7 +491,7 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
                 if fresh.any():
                     lengths = np.diff(off)
                     rows = np.repeat(np.where(fresh, np.cumsum(fresh) - 1 + len(marks), -1).astype(np.int32), lengths)
-                    held.append((tokens[rows >= 0], _before(tokens, off)[rows >= 0], rows[rows >= 0]))
+                    held.append((tokens[rows >= 0], _begins(off)[rows >= 0], rows[rows >= 0]))
                     marks.extend(prints[fresh].tolist())
                     size += int(lengths[fresh].sum())
                     if size >= AT_ONCE:
@@ -476,10 +515,10 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
                 if at != s:
                     continue
                 rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(x[2]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                first, second = _opened(model.value, x[0], x[1])
-                i, j = np.minimum(np.searchsorted(contexts, first), len(contexts) - 1), np.minimum(np.searchsorted(words, second), len(words) - 1)
-                may = (contexts[i] == first) & (words[j] == second)
-                found, gains = trie.find(i[may], j[may])
+                w, first, second = _opened(model.value, x[0], x[1])
+                i, j = np.minimum(np.searchsorted(contexts, w), len(contexts) - 1), np.minimum(np.searchsorted(words, w), len(words) - 1)
+                may = (contexts[i] == w)[first] & (words[j] == w)[second]
+                found, gains = trie.find(i[first[may]], j[second[may]])
                 has, row = np.unique(rows[may][found], return_inverse=True)
                 if len(has):
                     yield _batch(names_out, np.full(len(has), part), has.astype(np.int64), pa.nulls(len(has), pa.int64()), np.bincount(row, gains, len(has)))
@@ -519,7 +558,7 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text"
         score = np.log10(m.word_p(m.counts)) + np.log10(m.pair_discount * m.followers / m.counts) if m.n else np.zeros(1)
         for b in batches:
             for i, j, tokens, off in token_chunks(b.column(2)):
-                hot, places = m.places(tokens)
+                hot, places = m.places_of_text(tokens)
                 at = off[:-1]
                 tail = np.r_[0, np.cumsum(~hot)][off].astype(np.int32)
                 sums = lambda x: np.add.reduceat(np.where(hot, x[places], 0), at)
