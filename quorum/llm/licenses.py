@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .words import _BYTE, _SHINGLE, CHUNK, mixed, text_bytes, words_at
+from .words import _SHINGLE, CHUNK, WORD, mixed, text_bytes, words_at
 
 # Notices by which works are put under well-known licenses. One row per notice.
 NOTICES = (
@@ -54,7 +54,7 @@ SUFFIXES = "GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split()  # those that "-
 GRAM, WINDOW, ALL_GRAMS, SEGMENT, BAND, LEAST_PERCENT, LEAST_MET = 3, 3, 24, 32, 8, 80, 0.2
 
 #: Words are runs of letters and digits; A-Z are lower-cased, all other ASCII separates.
-_LETTERS = np.where(np.array([b >= 128 or chr(b).isalnum() for b in range(256)]), _BYTE, np.uint64(0))
+_LETTERS = np.where(np.array([b >= 128 or chr(b).isalnum() for b in range(256)]), WORD, 0).astype(np.uint8)
 
 
 @dataclass(frozen=True)

@@ -89,8 +89,13 @@ class EliasFano:
         some = np.flatnonzero((x >= 0) & (high < self.zeros[-1]))
         high, want = high[some], x[some] & ((1 << self.low) - 1)
         flip = (1 << 64) - 1
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, flip) + 1 - high, 0)
-        end = self._select(high, self.zeros, flip) - high
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, flip) + 1, 0)
+        ones = self.words[begin >> 6] >> (begin & 63).astype(np.uint64)
+        ones = np.bitwise_count(ones & ~(ones + _U(1))).astype(np.int64)  # from begin on, as far as the word goes
+        lo = begin - high
+        end = lo + ones
+        cut = np.flatnonzero((begin & 63) + ones == 64)
+        end[cut] = self._select(high[cut], self.zeros, flip) - high[cut]
         hi = end.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
@@ -207,10 +212,10 @@ def _used(n: int, *places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return used, number
 
 
-def _closed(model, words: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[bytes, bytes]:
-    """Pairs of places in sorted words, themselves sorted, as bytes: the words that occur, and the pairs as their numbers."""
+def _closed(model, words: np.ndarray, at: tuple[np.ndarray, np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs of places in sorted words, themselves sorted, as bytes: the words that occur, and the pairs as their numbers. at: model.places(words)."""
     used, number = _used(len(words), first, second)
-    return model.listed(words[used]), _packed((number[first] * len(used) + number[second]).view(np.uint64))
+    return model.listed(words[used], at[0][used], at[1][used]), _packed((number[first] * len(used) + number[second]).view(np.uint64))
 
 
 def _opened(model, words, pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,9 +250,8 @@ class Model:
     def word_p(self, counts):
         return np.maximum(counts - self.discount, self.discount * 1e-9) / self.n
 
-    def listed(self, words: np.ndarray) -> bytes:
-        """Sorted words as bytes: the frequent ones by their places, all others whole."""
-        hot, places = self.places(words)
+    def listed(self, words: np.ndarray, hot: np.ndarray, places: np.ndarray) -> bytes:
+        """Sorted words, and their places as found, as bytes: the frequent ones by their places, all others whole."""
         places = _packed(places[hot])
         return np.array([len(words), len(places)], "<i8").tobytes() + np.packbits(hot).tobytes() + places + words[~hot].tobytes()
 
@@ -260,9 +264,9 @@ class Model:
         words[~hot] = np.frombuffer(data[cut + size :], np.uint64)
         return words
 
-    def shard(self, words: np.ndarray, first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
-        """The shards of pairs of places in words: by a pair's first word, so that all that follows this is in one shard; by both where the first has more than an eighth of a shard."""
-        hot, i = self.places(words)
+    def shard(self, words: np.ndarray, at: tuple[np.ndarray, np.ndarray], first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+        """The shards of pairs of places in words, whose own places are at: by a pair's first word, so that all that follows this is in one shard; by both where the first has more than an eighth of a shard."""
+        hot, i = at
         split = hot & (self.counts[i] * 8 * shards > self.n)
         shard = (mixed(words) % _U(shards)).astype(np.int64)[first]
         both = np.flatnonzero(split[first])
@@ -289,12 +293,13 @@ class Pairs:
         """(shard, places of its pairs, their words and their pairs as bytes) for sorted numbers."""
         first = numbers // self.size
         second = numbers - first * self.size
-        shard = model.shard(self.words, first, second, shards)
+        places = model.places(self.words)
+        shard = model.shard(self.words, places, first, second, shards)
         order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             at = order[cuts[s] : cuts[s + 1]]
-            yield s, at, *_closed(model, self.words, first[at], second[at])
+            yield s, at, *_closed(model, self.words, places, first[at], second[at])
 
 
 def _begins(off: np.ndarray) -> np.ndarray:
@@ -348,7 +353,7 @@ def pair_counts(train: DataFrame, model, shards: int) -> DataFrame:
 
         def told():
             words, first, second, c = sums()
-            return _batch(["shard", "words", "pairs", "counts", "once", "twice"], [at], *map(_binary, _closed(model.value, words, first, second)), _binary(zlib.compress(c.astype("<i8").tobytes(), 1)), [int((c == 1).sum())], [int((c == 2).sum())])
+            return _batch(["shard", "words", "pairs", "counts", "once", "twice"], [at], *map(_binary, _closed(model.value, words, model.value.places(words), first, second)), _binary(zlib.compress(c.astype("<i8").tobytes(), 1)), [int((c == 1).sum())], [int((c == 2).sum())])
 
         for b in batches:
             for s, w, p, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -424,21 +429,21 @@ def train_model(train: DataFrame, vocabulary: int = VOCABULARY):
 
             contexts, starts, f = np.unique(first, return_index=True, return_counts=True)
             contexts = listed[contexts]
-            hot, i = m.places(contexts)
+            hot, i = of_contexts = m.places(contexts)
             total = np.where(hot, m.counts[i], np.add.reduceat(c, starts))
             back_off = m.pair_discount * np.where(hot, m.followers[i], f) / total
             x = np.repeat(np.arange(len(contexts)), f)
 
             used, number = _used(len(listed), second)
             words, y = listed[used], number[second]
-            hot, i = m.places(words)
+            hot, i = of_words = m.places(words)
             count = m.counts[i]
             if len(w):
                 count = np.where(hot, count, of[np.minimum(np.searchsorted(w, words), len(w) - 1)])
             p = m.word_p(count)[y]
             gain = np.log10((c - m.pair_discount) / total[x] + back_off[x] * p) - np.log10(back_off[x] * p)
             t = Trie.encode(x, y, gain, len(contexts))
-            return _batch(["shard", "contexts", "words", *t], [at], _binary(m.listed(contexts)), _binary(m.listed(words)), *map(_binary, t.values()))
+            return _batch(["shard", "contexts", "words", *t], [at], _binary(m.listed(contexts, *of_contexts)), _binary(m.listed(words, *of_words)), *map(_binary, t.values()))
 
         for b in batches:
             shard, ws, cs = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -474,7 +479,7 @@ def pair_gains(texts: DataFrame, model, shards: int, tries: DataFrame) -> DataFr
         def told():
             nonlocal parts
             found, rows = Pairs([h[:2] for h in held]), np.concatenate([r for *_, r in held])
-            order = np.argsort(found.numbers, kind="stable")
+            order = np.argsort(found.numbers)
             rows, part = rows[order], (TaskContext.get().partitionId() << 24) + parts
             parts += 1
             prints = _binary(np.array(marks, "<i8").tobytes())  # with the part's first shard, and no other

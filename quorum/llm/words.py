@@ -12,10 +12,16 @@ CHUNK = 1 << 20
 
 _U = np.uint64
 _rng = np.random.default_rng(20240611)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE[[9, 10, 11, 12, 13, 32]] = 0
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+#: What each byte is read as: 0 separates words, A-Z are lower-cased, and 0 itself, which separates nothing, is read as a blank.
+WORD = np.arange(256, dtype=np.uint8)
+WORD[[9, 10, 11, 12, 13, 32]] = 0
+WORD[0] = 32
+WORD[ord("A") : ord("Z") + 1] = WORD[ord("a") : ord("z") + 1]
 _STEP = _U(0x9E3779B97F4A7C15)
+#: The first so many bytes of eight; bytes of a word that are hashed with those of all others.
+_FIRST = (_U(1) << _U(8) * np.arange(9, dtype=np.uint64)) - _U(1)
+_FIRST[8] = ~_U(0)
+TOGETHER = 256
 _SHINGLE = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -38,24 +44,38 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def words_at(data: np.ndarray, off: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of rows of text (runs of bytes that table doesn't make 0), and the words before each row."""
-    blank = table[data] == 0
-    first = np.ones(len(data), bool)
-    first[1:] = blank[:-1]
+def words_at(data: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of rows of text (runs of bytes that table doesn't make 0), and the words before each row.
+
+    Words are hashed by eight bytes, and by their length: first the first eight of all, then the next of those that have more.
+    """
+    n = len(data)
+    read = np.zeros(n + 16, np.uint8)
+    np.take(table, data, out=read[:n])
+    within = read[: n + 1] != 0
+    first = within[:n].copy()
+    first[1:] &= ~within[: n - 1]
     at = off[:-1]
-    first[at[at < len(data)]] = True
-    first &= ~blank
+    at = at[at < n]
+    first[at] = within[at]
     starts = np.flatnonzero(first)
     if not len(starts):
         return starts, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    word = np.cumsum(first, dtype=np.int32)
-    word -= 1
-    place = np.arange(len(data), dtype=np.int64) - starts[np.maximum(word, 0)]
-    place[: starts[0]] = 0
-    power = np.cumprod(np.full(int(place.max()) + 1, _STEP))
-    h = np.add.reduceat(table[data] * power[place], starts)
-    return starts, mixed(h), np.searchsorted(starts, off)
+    last = within[:n] & ~within[1:]
+    last[:-1] |= within[: n - 1] & first[1:]
+    size = np.flatnonzero(last) + 1 - starts
+    eights = np.ndarray((n + 9,), "<u8", read, 0, (1,))  # at each byte the eight from there on
+    h = mixed(size.astype(np.uint64) * _STEP ^ (eights[starts] & _FIRST[np.minimum(size, 8)]))
+    k, more = 8, np.flatnonzero(size > 8)
+    while len(more) and k < TOGETHER:
+        h[more] = mixed(h[more] + _STEP ^ (eights[starts[more] + k] & _FIRST[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in more.tolist():  # what is left of very long words, one by one
+        rest = eights[starts[i] + k : starts[i] + size[i] : 8].copy()
+        rest[-1] &= _FIRST[(size[i] - k - 1) % 8 + 1]
+        h[i] = mixed(h[i : i + 1] + (mixed(rest) * np.cumprod(np.full(len(rest), _STEP))).sum(dtype=np.uint64))[0]
+    return starts, mixed(h, 0xC4CEB9FE1A85EC53), np.searchsorted(starts, off)
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
