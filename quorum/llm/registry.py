@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, licenses, linededup, lm, mixing, packing, quality, secrets, tokencount
+from . import embeddings, interplay, jaccard, licenses, linededup, lm, mixing, packing, quality, resampling, secrets, tokencount, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_url_filters": urls.op12_url_filters,
+    "op13_filter_interaction": interplay.op13_filter_interaction,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op8_secret_scans": secrets.op8_sql(),
     "op9_ngram_jaccard_join": jaccard.OP9_SQL,
     "op10_embedding_near_dedup": embeddings.OP10_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_url_filters": urls.OP12_SQL,
+    "op13_filter_interaction": interplay.OP13_SQL,
 }
