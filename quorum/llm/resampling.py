@@ -16,18 +16,20 @@ BUCKETS = 10_000
 SCALE = 1000
 
 
-def feature_buckets(text: Column, longest: int = 1, buckets: int = BUCKETS) -> Column:
-    """The bucket (CRC-32 of the bytes, modulo buckets) of each run of 1 to longest words of text, joined by a blank; an empty list for a null."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+def with_buckets(df: DataFrame, text: str, name: str, longest: int = 1, buckets: int = BUCKETS) -> DataFrame:
+    """df, and as name_w the words of text, as name the bucket (CRC-32 of the bytes, modulo buckets) of each run of 1 to longest words, joined by a blank; empty lists for a null."""
+    words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    df, words = df.withColumn(f"{name}_w", words), F.col(f"{name}_w")  # a column of its own, so it isn't made anew for each run
 
     def of(feature: Column) -> Column:
         return (F.crc32(feature.cast("binary")) % buckets).cast("int")
 
-    runs = [F.transform(words, of)]
-    for k in range(2, longest + 1):
-        at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(at, lambda i, k=k: of(F.array_join(F.slice(words, i, k), " "))))
-    return F.concat(*runs) if longest > 1 else runs[0]
+    def runs(k: int) -> Column:
+        at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: of(F.array_join(F.slice(words, i, F.lit(k)), " ")))
+
+    singles = F.transform(words, of)
+    return df.withColumn(name, F.concat(singles, *[runs(k) for k in range(2, longest + 1)]) if longest > 1 else singles)
 
 
 def bucket_counts(features: DataFrame, column: str, buckets: int = BUCKETS) -> list[int]:
@@ -58,12 +60,9 @@ def scored(docs: DataFrame, target: DataFrame, text: str = "text", id: str = "do
     """
     spark, pre = docs.sparkSession, pre or prefix(docs) + "r_"
     keep = docs.columns if keep is None else keep
-    runs = F.size(pre + "b")
-    # with n words there are n + (n - 1) + ... runs, so the runs of one word are counted by themselves
-    words = runs if longest == 1 else F.size(feature_buckets(F.col(text), 1, buckets))
-    rows = docs.withColumn(pre + "b", feature_buckets(F.col(text), longest, buckets))
-    rows = stored(rows.select(*keep, F.col(id).alias(pre + "id"), words.cast("long").alias(pre + "n_words"), runs.cast("long").alias(pre + "n_features"), pre + "b"), "buckets")
-    wanted = target.select(feature_buckets(F.col(target_text), longest, buckets).alias("b"))
+    rows = with_buckets(docs, text, pre + "b", longest, buckets)
+    rows = stored(rows.select(*keep, F.col(id).alias(pre + "id"), F.size(pre + "b_w").cast("long").alias(pre + "n_words"), F.size(pre + "b").cast("long").alias(pre + "n_features"), pre + "b"), "buckets")
+    wanted = with_buckets(target.select(target_text), target_text, "b", longest, buckets)
     gain = gains(bucket_counts(rows, pre + "b", buckets), bucket_counts(wanted, "b", buckets))
     table = F.split(F.lit(" ".join(map(str, gain))), " ").cast("array<bigint>")  # folded into one constant
     weight = F.aggregate(pre + "b", F.lit(0).cast("long"), lambda total, b: total + F.get(table, b))
