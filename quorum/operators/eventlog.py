@@ -8,29 +8,39 @@ from pyspark.sql import functions as F
 LOG_KEY = ["source", "source_id", "payload_hash"]
 
 
+def unused(*tables: DataFrame) -> str:
+    """A name that no column of these tables has, in either case."""
+    taken, name = {c.lower() for t in tables for c in t.columns}, "__added"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order. Rows shrink to one per key and task before they shuffle."""
     packed = F.struct(*df.columns)
-    least = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(packed, F.struct(*order)).alias("__row"))
-    return least.select("__row.*")
+    least = df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min_by(packed, F.struct(*order)).alias("row"))
+    return least.select("row.*")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key in an order."""
-    latest = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
-    return latest.select("__row.*")
+    latest = df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row"))
+    return latest.select("row.*")
 
 
 def new_rows(batch: DataFrame, log: DataFrame | None, keys: list[str] = LOG_KEY, order: list[Column] | None = None) -> DataFrame:
     """What an append of batch adds to log: the first row of each key, in the order given or as read, that the log doesn't have. Applied twice it adds nothing."""
-    once = first_per_key(batch, keys, order) if order else first_per_key(batch.withColumn("__at", F.monotonically_increasing_id()), keys, [F.col("__at")]).drop("__at")
+    at = unused(batch)
+    once = first_per_key(batch, keys, order) if order else first_per_key(batch.withColumn(at, F.monotonically_increasing_id()), keys, [F.col(at)]).drop(at)
     return once if log is None else once.join(log.select(*keys), keys, "left_anti")
 
 
 def upserted(table: DataFrame, changes: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """table with changes: of each key the row that is last in the order, changes before the table's own."""
-    both = table.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
-    return latest_per_key(both, keys, [F.col("__new"), *order]).drop("__new")
+    new = unused(table, changes)
+    both = table.withColumn(new, F.lit(0)).unionByName(changes.withColumn(new, F.lit(1)))
+    return latest_per_key(both, keys, [F.col(new), *order]).drop(new)
 
 
 def merged(log: DataFrame, side: DataFrame, keys: list[str] = LOG_KEY, where: Column | None = None) -> DataFrame:
@@ -39,6 +49,31 @@ def merged(log: DataFrame, side: DataFrame, keys: list[str] = LOG_KEY, where: Co
     return log.unionByName(side.join(log.select(*keys), keys, "left_anti"))
 
 
+def _placed(values: str, number: int) -> Column:
+    """The values of a list with the list's number and their places in it."""
+    return F.transform(values, lambda v, k: F.struct(F.lit(number).alias("list"), v.cast("string").alias("value"), k.alias("k")))
+
+
+def collapsed(rows: DataFrame, keys: list[Column], order: list[Column], lists: dict[str, Column]) -> DataFrame:
+    """One row for each key: the first in the order, as head; and of each list the distinct values of all the key's rows, in the order in which they are first seen.
+
+    keys are named columns, order is ascending and tells all rows of a key apart, lists are arrays by name (a null one is
+    empty, null values in one are left out). A value's place is the least of (its row's, its own in the list), found before
+    anything is gathered, so what a key gathers are its distinct values only.
+    """
+    names = [rows.select(k).columns[0] for k in keys]
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    each = rows.select(*keys, at.alias("__at"), F.struct(*rows.columns).alias("__row"), *[F.coalesce(c, F.array().cast("array<string>")).alias(f"__list{i}") for i, c in enumerate(lists.values())])
+    heads = each.groupBy(*names).agg(F.min_by("__row", "__at").alias("head"), F.count("*").alias("rows"))
+    placed = [_placed(f"__list{i}", i) for i in range(len(lists))]
+    values = each.select(*names, "__at", F.explode(F.concat(*placed)).alias("v")).filter("v.value IS NOT NULL")
+    least = values.groupBy(*names, "v.list", "v.value").agg(F.min(F.struct("__at", "v.k")).alias("first"))
+    gathered = least.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("first", "list", "value"))).alias("__all"))
+    pick = lambda i: F.coalesce(F.transform(F.filter("__all", lambda x: x["list"] == i), lambda x: x["value"]), F.array().cast("array<string>"))
+    met = heads.join(gathered.withColumnsRenamed({n: "__" + n for n in names}), [F.col(n).eqNullSafe(F.col("__" + n)) for n in names], "left")
+    return met.select(*names, "head", "rows", *[pick(i).alias(n) for i, n in enumerate(lists)])
+
+
 def with_running(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """df with rank, dense rank, previous and next value and running sum."""
     w = Window.partitionBy(*keys).orderBy(*order)

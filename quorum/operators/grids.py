@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .eventlog import unused
+
 
 def weighted(event_type: Column, weights: dict[str, float], broken: Column | None = None, break_type: str = "", break_weight: float = 0.0) -> Column:
     """Each event's weight by its type, 0 for unknown ones; break_type's events where broken holds have a weight of their own."""
@@ -45,11 +47,12 @@ def thresholds(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def banded(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells and their band from 0 to 4 among those with the same keys; a threshold belongs to the band below it."""
-    quarters = thresholds(cells, keys)
+    at = unused(cells)
+    quarters = thresholds(cells, keys).select(*keys, F.struct("q1", "q2", "q3").alias(at))
     df = cells.join(quarters, keys, "left") if keys else cells.join(F.broadcast(quarters))
-    x = F.col("intensity")
-    band = F.when(x.isNull() | (x <= 0) | F.col("q1").isNull(), 0).when(x <= F.col("q1"), 1).when(x <= F.col("q2"), 2).when(x <= F.col("q3"), 3).otherwise(4)
-    return df.withColumn("band", band).drop("q1", "q2", "q3", "top")
+    x, q = F.col("intensity"), F.col(at)
+    band = F.when(x.isNull() | (x <= 0) | q["q1"].isNull(), 0).when(x <= q["q1"], 1).when(x <= q["q2"], 2).when(x <= q["q3"], 3).otherwise(4)
+    return df.withColumn("band", band).drop(at)
 
 
 def week_place(day: Column, first: Column) -> tuple[Column, Column, Column]:

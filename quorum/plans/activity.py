@@ -145,14 +145,6 @@ def day_counts(spark, sf_dir):
     return events(spark, sf_dir).filter((at >= F.lit("2024-01-15").cast("timestamp_ntz")) & (at < F.lit("2024-01-16").cast("timestamp_ntz"))).groupBy("event_type").agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT e.event_id, e.user_id, e.event_type, c.c_name FROM (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16' ORDER BY ts, event_id LIMIT 80) e LEFT JOIN customer c ON c.c_custkey = e.user_id")
-def day_items(spark, sf_dir):
-    at = F.col("ts")
-    first = events(spark, sf_dir).filter((at >= F.lit("2024-01-15").cast("timestamp_ntz")) & (at < F.lit("2024-01-16").cast("timestamp_ntz"))).orderBy("ts", "event_id").limit(80)
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
-    return first.join(names, "user_id", "left").select("event_id", "user_id", "event_type", "c_name")
-
-
 @query("SELECT d::DATE AS day, (d - INTERVAL (extract(dow FROM d)) DAY)::DATE AS week, ((d - INTERVAL (extract(dow FROM d)) DAY)::DATE - (m - INTERVAL (extract(dow FROM m)) DAY)::DATE)::INT // 7 AS col, extract(dow FROM d)::INT AS dow FROM (SELECT DISTINCT ts::DATE AS d, (SELECT min(ts)::DATE FROM events) AS m FROM events)")
 def week_matrix(spark, sf_dir):
     days = events(spark, sf_dir).select(F.to_date("ts").alias("day")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.civic import any_of, congress_of_year, district_key, match_band, match_score, pvi_label, tokens
+from ..functions.civic import any_of, congress_of_year, match_band, match_score, tokens
 from ..schemas import table
 from .registry import ORACLE_SQL, query
 
@@ -35,11 +35,27 @@ def roster_facets(spark, sf_dir):
     return rows.orderBy("chamber", "state", "c_name").limit(500).select("c_custkey", "c_name", "party", "state", "chamber")
 
 
-@query(f"SELECT party, count(*) AS members, count(*) FILTER (c_acctbal < 0) AS in_debt, sum(bills)::BIGINT AS bills FROM {_MEMBERS} m JOIN (SELECT o_custkey, count(*) AS bills FROM orders GROUP BY 1) o ON o.o_custkey = m.c_custkey WHERE chamber = 'ASIA' GROUP BY party")
+_ROSTER = f"(SELECT m.*, bills FROM {_MEMBERS} m JOIN (SELECT o_custkey, count(*) AS bills FROM orders GROUP BY 1) o ON o.o_custkey = m.c_custkey WHERE chamber = 'ASIA' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = m.c_custkey AND o_orderkey % 30 < 20))"
+
+
+@query(f"""SELECT party, members, in_debt, bills, top FROM (SELECT party, count(*) AS members, count(*) FILTER (c_acctbal < 0) AS in_debt, sum(bills)::BIGINT AS bills FROM {_ROSTER} GROUP BY party)
+JOIN (SELECT party, string_agg(c_custkey || ':' || bills, ',' ORDER BY bills DESC, c_custkey) AS top FROM (SELECT * FROM {_ROSTER} QUALIFY row_number() OVER (PARTITION BY party ORDER BY bills DESC, c_custkey) <= 3) GROUP BY party) USING (party)""")
 def roster_aggregate(spark, sf_dir):
-    bills = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("bills"))
-    rows = filtered(members(spark, sf_dir), chamber="ASIA").join(bills, "c_custkey")
-    return rows.groupBy("party").agg(F.count("*").alias("members"), F.count_if(F.col("c_acctbal") < 0).alias("in_debt"), F.sum("bills").alias("bills"))
+    """Of a set of members, those on some committees, each party's numbers and its three most active."""
+    orders = table(spark, sf_dir, "orders")
+    bills = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("bills"))
+    seated = orders.filter(F.col("o_orderkey") % 30 < 20).select(F.col("o_custkey").alias("c_custkey"))
+    rows = filtered(members(spark, sf_dir), chamber="ASIA").join(seated, "c_custkey", "left_semi").join(bills, "c_custkey")
+    numbers = rows.groupBy("party").agg(F.count("*").alias("members"), F.count_if(F.col("c_acctbal") < 0).alias("in_debt"), F.sum("bills").alias("bills"))
+    return numbers.join(top_of(rows, "party", "bills", "c_custkey", 3), "party")
+
+
+def top_of(rows: DataFrame, group: str, count: str, key: str, most: int) -> DataFrame:
+    """(group, top): key:count of each group's rows with the highest counts, ties by key. A task keeps so many rows of a group before any are dealt."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(count), key))
+    best = rows.select(group, count, key, place.alias("place")).filter(F.col("place") <= most)
+    item = F.struct("place", F.concat_ws(":", F.col(key).cast("string"), F.col(count).cast("string")).alias("item"))
+    return best.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]), ",").alias("top"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders WHERE o_orderpriority LIKE '%H%' AND o_orderstatus IN ('O', 'F') ORDER BY coalesce(o_orderdate, TIMESTAMP '1900-01-01') DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 50")
@@ -59,9 +75,9 @@ def policy_areas(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(area.isNotNull() & (area != "")).select(area.alias("policy_area")).distinct().orderBy("policy_area")
 
 
-@query("SELECT o_orderkey, o_orderdate, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'MACHINERY'")
+@query("SELECT o_orderkey, o_orderdate, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def sponsor_left_join(spark, sf_dir):
-    sponsors = table(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    sponsors = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return table(spark, sf_dir, "orders").join(sponsors, "o_custkey", "left").select("o_orderkey", "o_orderdate", "c_name")
 
 
@@ -88,21 +104,19 @@ def client_bills(spark, sf_dir):
     return per.join(bills, "l_orderkey", "left").select("l_suppkey", "l_orderkey", "mentions", "codes", "status")
 
 
-@query("SELECT l_partkey, count(*) AS filings, max(year(l_shipdate))::INT AS last_year FROM lineitem WHERE l_suppkey = 7 GROUP BY 1")
+@query("SELECT l_suppkey, l_partkey, count(*) AS filings, max(year(l_shipdate))::INT AS last_year FROM lineitem GROUP BY 1, 2")
 def client_registrants(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").filter("l_suppkey = 7").groupBy("l_partkey").agg(F.count("*").alias("filings"), F.year(F.max("l_shipdate")).alias("last_year"))
-
-
-_WHEN = "max(struct_pack(y := year(l_shipdate)::INT, q := quarter(l_shipdate)::INT))"
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("filings"), F.year(F.max("l_shipdate")).alias("last_year"))
 
 
-@query(f"SELECT l_orderkey, l_suppkey, filings, amount, w.y AS y, w.q AS q, best FROM (SELECT l_orderkey, l_suppkey, count(*) AS filings, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount, {_WHEN} AS w, max(l_discount) AS best FROM lineitem GROUP BY 1, 2 HAVING max(l_discount) >= 0.05) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY filings DESC, amount DESC NULLS LAST, l_suppkey) <= 3")
-def top_clients_for_bill(spark, sf_dir):
-    """Each bill's three clients with the most filings."""
-    when = F.struct(F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"))
-    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("filings"), F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double").alias("amount"), F.max(when).alias("w"), F.max("l_discount").alias("best")).filter("best >= 0.05")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("filings"), F.desc_nulls_last("amount"), "l_suppkey"))
-    return per.withColumn("place", place).filter("place <= 3").select("l_orderkey", "l_suppkey", "filings", "amount", "w.y", "w.q", "best")
+@query("SELECT l_suppkey, count(*) AS filings, coalesce(sum(l_extendedprice::DECIMAL(18,2)) FILTER (l_linenumber % 3 = 0), 0)::DOUBLE + coalesce(sum(l_extendedprice::DECIMAL(18,2)) FILTER (l_linenumber % 3 = 1 AND l_suppkey % 5 > 0), 0)::DOUBLE AS spent, count(DISTINCT year(l_shipdate) || ':' || quarter(l_shipdate)) AS periods FROM lineitem GROUP BY 1")
+def client_totals(spark, sf_dir):
+    """Each client's filings, income and expenses together, either of which may be missing from all of them, and periods."""
+    kind, money = F.col("l_linenumber") % 3, F.col("l_extendedprice")
+    income, expenses = F.when(kind == 0, money.cast(MONEY)), F.when((kind == 1) & (F.col("l_suppkey") % 5 > 0), money.cast(MONEY))
+    period = F.concat_ws(":", F.year("l_shipdate").cast("string"), F.quarter("l_shipdate").cast("string"))
+    known = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("filings"), (known(income) + known(expenses)).alias("spent"), F.count_distinct(period).alias("periods"))
 
 
 @query("SELECT l_orderkey, coalesce(l_returnflag, 'all') AS party, count(*) FILTER (l_shipmode = 0) AS yea, count(*) FILTER (l_shipmode = 1) AS nay, count(*) FILTER (l_shipmode = 2) AS present, count(*) FILTER (l_shipmode > 2) AS not_voting, count(*) AS total FROM (SELECT *, l_linenumber % 4 AS l_shipmode FROM lineitem) GROUP BY ROLLUP (l_orderkey, l_returnflag) HAVING l_orderkey IS NOT NULL")
@@ -198,13 +212,6 @@ def committee_nesting(spark, sf_dir):
     return nested.withColumn("place", F.row_number().over(Window.orderBy("parent", "n_name")))  # a dimension of a few hundred rows
 
 
-@query("SELECT o_orderkey, avg_rating, CASE WHEN r = 0 THEN 'EVEN' WHEN r > 0 THEN 'R+' || r ELSE 'D+' || (-r) END AS label FROM (SELECT o_orderkey, avg_rating, round_even(avg_rating, 0)::INT AS r FROM (SELECT o_orderkey, round(avg((l_linenumber * 7 % 21 - 10)::DOUBLE), 6) AS avg_rating FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1))")
-def cosponsor_rating(spark, sf_dir):
-    rating = (F.col("l_linenumber") * 7 % 21 - 10).cast("double")
-    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.avg(rating), 6).alias("avg_rating"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(per, "o_orderkey").select("o_orderkey", "avg_rating", pvi_label(F.col("avg_rating")).alias("label"))
-
-
 @query("SELECT o_orderkey, round(coalesce(nullif(o_totalprice, 0), 0) / n, 6) AS amount_share FROM (SELECT o_orderkey, any_value(o_totalprice) AS o_totalprice, count(DISTINCT l_partkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
 def amount_share(spark, sf_dir):
     refs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_partkey").alias("n"))
@@ -247,20 +254,6 @@ def congress_for_year(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(congress_of_year(F.year("o_orderdate")).alias("congress")).agg(F.count("*").alias("bills"))
 
 
-_RATED = "(SELECT n_nationkey, d::INT AS d, ((n_nationkey * 5 + (d + 1) * 3) % 21 - 10)::INT AS score FROM nation CROSS JOIN range(-1, 3) t(d) WHERE n_nationkey % 5 <> 0)"
-
-
-@query(f"SELECT c_custkey, m.d AS district, score FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN -1 ELSE coalesce(nullif(c_custkey % 4, 3), 0) END::INT AS d FROM customer) m JOIN {_RATED} r ON r.n_nationkey = m.c_nationkey AND r.d = m.d")
-def pvi_score_join(spark, sf_dir):
-    """Ratings by (state, district); members of states without a rating drop out."""
-    chamber = F.when(F.col("c_mktsegment") == "BUILDING", "senate").otherwise("house")
-    district = F.nullif(F.col("c_custkey") % 4, F.lit(3)).cast("int")
-    people = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), district_key(chamber, district).alias("district"))
-    rated = table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 0").select("n_nationkey", F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("district"))
-    rated = rated.withColumn("score", ((F.col("n_nationkey") * 5 + (F.col("district") + 1) * 3) % 21 - 10).cast("int"))
-    return people.join(F.broadcast(rated), ["n_nationkey", "district"]).select("c_custkey", "district", "score")
-
-
 @query("SELECT l_orderkey, string_agg(code, ',' ORDER BY l_linenumber, code) AS versions, first(code ORDER BY l_linenumber, code) AS first_version, last(code ORDER BY l_linenumber, code) AS last_version FROM (SELECT *, l_returnflag || l_linestatus AS code FROM lineitem) GROUP BY 1")
 def ordered_array_agg(spark, sf_dir):
     """An order's versions by stage; the group is bounded by the number of versions of one bill."""

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import civic, tables
+from ..operators import search
 from ..schemas import table
+from ..sources import ratings, readers
+from ..streaming import cursors
 from .registry import query
 
 # (code, type, text) of actions; agents; paths; titles; issue codes; policy areas; sources of a photo.
@@ -16,10 +19,10 @@ ACTIONS = (
     ("", "President", "Vetoed by President."), ("36000", "BecameLaw", "Became Public Law No: 119-1."), ("", "President", "Signed by President."), ("", "", "Message on Senate action sent to the House."), ("8000", "", "Markup held"), ("", "", "Sponsor introductory remarks"),
 )
 UAS = ("Mozilla/5.0 (compatible; Googlebot/2.1)", "Mozilla/5.0 Chrome/120 Safari", "curl/8.1", "", "GPTBot/1.0", "Mozilla/5.0 Firefox/118", "PerplexityBot/1.0", "SomeCrawler/3", "python-requests/2", "Slackbot-LinkExpanding 1.0", "Mozilla/5.0 HeadlessChrome/119", "ClaudeBot/1.0", "Mozilla/5.0 (iPhone) Safari")
-PATHS = ("/", "/bill/119:hr:1", "/wp-admin/setup", "/api/events", "/members", "/.env", "/static/x.css", "/robots.txt", "/stats", "/phpmyadmin", "/docs/intro", "/wp-adminish")
-TITLES = ("Chair", "", "Ranking Member", "Vice Chair", "Chairwoman", "Member", "Chairman")
-CODES = ("TAX", "ENV", "INS", "XXX", "HCR", "FIN", "DEF")
-AREAS = ("Taxation", "Health", "", "Environmental Protection", "Energy", "Finance and Financial Sector")
+PATHS = ("/", "/bill/119:hr:1", "/wp-admin/setup", "/api/events", "/members", "/.env", "/static/x.css", "/robots.txt", "/stats", "/phpmyadmin", "/docs/intro", "/wp-adminish", "/.env.local", "/SETUP.php", "/setup-guide", "/vendor/phpunit/x", "/backup.zip", "/ews/", "/ews//x", "/wp-json")
+TITLES = ("Chair", "", "Ranking Member", "Vice Chair", "Chairwoman", "Member", "Chairman", " ranking ", "Ranking Minority Member", "Vice Ranking Member", "Cochair")
+CODES = ("TAX", "ENV", "INS", "XXX", "HCR", "FIN", "DEF", "BNK", "CHM", "NAT")
+AREAS = ("Taxation", "Health", "", "Environmental Protection", "Energy", "Finance and Financial Sector", "Public Lands and Natural Resources")
 STATES = ("AL", "DC", "CA", "PR", "TX", "NY", "GU", "OH", "AS")
 
 
@@ -45,10 +48,10 @@ def bill_id(key: Column) -> Column:
 
 
 def votes(spark, sf_dir) -> DataFrame:
-    """(label, member, party, position): votes under the labels that roll calls carry."""
+    """(label, chamber, rollcall, member, party, position): votes under the labels that roll calls carry."""
     k = F.col("l_orderkey")
     label = F.concat(picked(("H R ", "S. ", "H. Con. Res. "), k), k.cast("string"))
-    return table(spark, sf_dir, "lineitem").select(label.alias("label"), F.col("l_suppkey").alias("member"), F.col("l_returnflag").alias("party"), picked(("Yea", "Nay", "Present", "Not Voting"), F.col("l_linenumber")).alias("position"))
+    return table(spark, sf_dir, "lineitem").select(label.alias("label"), F.when(F.col("l_linestatus") == "F", "senate").otherwise("house").alias("chamber"), (F.col("l_partkey") % 3 + 1).cast("int").alias("rollcall"), F.col("l_suppkey").alias("member"), F.col("l_returnflag").alias("party"), picked(("Yea", "Nay", "Present", "Not Voting"), F.col("l_linenumber")).alias("position"))
 
 
 def bills(spark, sf_dir) -> DataFrame:
@@ -76,19 +79,25 @@ def views(spark, sf_dir) -> DataFrame:
 
 
 _VIEWS = f"(SELECT ts, user_id, {_sql(UAS, 'event_id')} AS ua, {_sql(PATHS, 'event_id // 13')} AS path FROM events)"
-_BOT = "(ua = '' OR regexp_matches(lower(ua), '" + "|".join(tables.BOT_WORDS) + "'))"
-_PROBE = "list_contains([" + ", ".join(f"'{p}'" for p in tables.PROBES) + "], lower(regexp_extract(path, '^/([^/]+)', 1)))"
+_BOT = "(ua = '' OR regexp_matches(ua, '(?i)(bot|crawler|spider|wget|curl|python-requests|httpx|aiohttp|yandex|facebookexternalhit|whatsapp|telegram|discord|preview|monitor|uptime|pingdom|datadog|newrelic|semrush|ahrefs|seekport|headlesschrome)'))"
+# what only scanners ask for, as one pattern; the columns' list is in functions.tables
+_PROBE = r"""regexp_matches(path, '(?i)^/(wp-(admin|login|content|includes|json|config)|xmlrpc\.php|\.(env|git|aws|ssh|svn|htaccess|DS_Store)|(phpmy|my)admin|pma|adminer|mysql|administrator|joomla|drupal|magento|vendor/phpunit|f?cgi-bin|actuator|server-(status|info)|(shell|cmd|c99|r57|config|configuration|install)\.php|webshell|backup\.(zip|tar)|(database|dump)\.sql|owa|exchange|autodiscover|ews/|console|jenkins|kibana|elastic|laravel|symfony|_ignition|telescope/|horizon/|setup|installer)(/|\.|$)')"""
 
 
-@query(f"""SELECT {_BILL.format("l_orderkey")} AS bill_id, l_returnflag AS party, count(*) FILTER (p = 0) AS yea, count(*) FILTER (p = 1) AS nay, count(*) FILTER (p > 1) AS missed, count(DISTINCT c_name) AS members
-FROM (SELECT *, l_linenumber % 4 AS p FROM lineitem) JOIN customer ON c_custkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""")
+_TALLY = f"""SELECT {_BILL.format("l_orderkey")} AS bill_id, CASE l_linestatus WHEN 'F' THEN 'senate' ELSE 'house' END AS chamber, (l_partkey % 3 + 1)::INT AS rollcall, {{}} AS party, count(*) FILTER (p = 0) AS yea, count(*) FILTER (p = 1) AS nay, count(*) FILTER (p = 3) AS missed
+FROM (SELECT *, l_linenumber % 4 AS p FROM lineitem) JOIN customer ON c_custkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL"""
+
+
+@query(_TALLY.format("l_returnflag") + " UNION ALL " + _TALLY.format("'all'"))
 def bill_rollcalls(spark, sf_dir):
-    """Each bill's votes by party: roll calls meet their bills by the type and number that their labels tell, voters their names."""
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"), "c_name")
+    """Each roll call on a bill, by party and in all: roll calls meet their bills by the type and number that their labels tell, voters the members; a call is told by chamber and number."""
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"))
     said = votes(spark, sf_dir).withColumn("b", civic.bill_of_label(F.col("label"))).select("*", "b.bill_type", F.col("b.number").cast("long").alias("number"))
-    met = said.join(bills(spark, sf_dir).select("bill_id", "bill_type", "number"), ["bill_type", "number"]).join(names, "member")
-    at = F.col("position")
-    return met.groupBy("bill_id", "party").agg(F.count_if(at == "Yea").alias("yea"), F.count_if(at == "Nay").alias("nay"), F.count_if(~at.isin("Yea", "Nay")).alias("missed"), F.count_distinct("c_name").alias("members"))
+    met = said.join(bills(spark, sf_dir).select("bill_id", "bill_type", "number"), ["bill_type", "number"]).join(known, "member")
+    at, call = F.col("position"), ["bill_id", "chamber", "rollcall"]
+    per = met.groupBy(*call, "party").agg(F.count_if(at == "Yea").alias("yea"), F.count_if(at == "Nay").alias("nay"), F.count_if(at == "Not Voting").alias("missed"))
+    whole = per.groupBy(*call).agg(*[F.sum(c).alias(c) for c in ("yea", "nay", "missed")]).withColumn("party", F.lit("all"))
+    return per.unionByName(whole)
 
 
 _STAGE = """CASE WHEN contains(lower(t), 'intro') OR c IN ('INTROH', 'INTROS', '1000') THEN 'introduced' WHEN regexp_matches(lower(t), 'became(public|private)?law') OR contains(lower(x), 'signed by president') THEN 'signed'
@@ -131,7 +140,8 @@ def page_view_append(spark, sf_dir):
     return page_view_rows(docs).select(F.col("visitor_hash").cast("long").alias("view"), "path", "status", "method", "referer_host", "ua")
 
 
-_ISSUES = "(VALUES " + ", ".join(f"('{k}', '{p}')" for k, v in tables.ISSUE_POLICIES.items() for p in v) + ") i(code, area)"
+_ISSUES = """(VALUES ('TAX', 'Taxation'), ('ENV', 'Environmental Protection'), ('ENV', 'Public Lands and Natural Resources'), ('INS', 'Finance and Financial Sector'), ('INS', 'Health'), ('HCR', 'Health'), ('FIN', 'Finance and Financial Sector'), ('DEF', 'Armed Forces and National Security'),
+('BNK', 'Finance and Financial Sector'), ('CHM', 'Environmental Protection'), ('CHM', 'Health'), ('NAT', 'Public Lands and Natural Resources'), ('NAT', 'Native Americans')) i(code, area)"""
 _CODES = f"[{_sql(CODES, 'l_linenumber')}, {_sql(CODES, 'l_partkey')}]"
 
 
@@ -144,7 +154,7 @@ def issue_policy_fit(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT o_custkey AS member, o_orderkey % 30 AS committee, lower({_TITLE}) AS t, (o_orderkey % 30) % 2 = 1 AS sub FROM orders),
-r AS (SELECT *, CASE WHEN t IN ('chair', 'chairman', 'chairwoman') THEN CASE WHEN sub THEN 3 ELSE 1 END WHEN t = 'ranking member' THEN CASE WHEN sub THEN 4 ELSE 2 END END AS prio FROM p)
+r AS (SELECT *, CASE WHEN t IN ('chair', 'chairman', 'chairwoman') THEN CASE WHEN sub THEN 3 ELSE 1 END WHEN trim(t) IN ('ranking member', 'ranking minority member', 'ranking') THEN CASE WHEN sub THEN 4 ELSE 2 END END AS prio FROM p)
 SELECT member, committee, prio::INT AS prio, ['chair', 'ranking', 'subchair', 'subranking'][prio] AS role FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY prio, committee) AS n FROM r WHERE prio IS NOT NULL) WHERE n = 1""")
 def leading_roles(spark, sf_dir):
     """Each member's highest role: of a full committee before a subcommittee's, chairs before ranking members; vice chairs are none."""
@@ -173,20 +183,58 @@ def funding_rows(spark, sf_dir):
     return per.withColumn("place", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("cycle"))))
 
 
+def district_ratings(spark, sf_dir) -> DataFrame:
+    """(congress, state, district, pvi, score): suppliers' balances stand for the ratings of their nation's districts; -1 is the nation's own."""
+    k = F.col("s_suppkey")
+    per = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("state"), (k % 4 - 1).cast("int").alias("district")).agg((F.floor(F.max("s_acctbal") / 1000) - 4).cast("int").alias("score"))
+    return per.select(F.lit(civic.CONGRESS).alias("congress"), "state", "district", civic.pvi_label(F.col("score").cast("double")).alias("pvi"), "score")
+
+
+def rated_members(spark, sf_dir) -> DataFrame:
+    """(member, district, chamber, state, pvi, score): all members, those of places without a rating with nulls."""
+    k = F.col("c_custkey")
+    people = table(spark, sf_dir, "customer").select(k.alias("member"), F.nullif(k % 4, F.lit(3)).cast("int").alias("district"), F.when(F.col("c_mktsegment") == "BUILDING", "Senate").otherwise("House").alias("chamber"), F.col("c_nationkey").cast("string").alias("state"))
+    return ratings.rated(people, district_ratings(spark, sf_dir), civic.CONGRESS)
+
+
+_RATED = """SELECT c_custkey AS member, r.score, CASE WHEN score = 0 THEN 'EVEN' WHEN score > 0 THEN 'R+' || score ELSE 'D+' || (-score) END AS pvi, (CASE WHEN c_mktsegment = 'BUILDING' THEN -1 ELSE coalesce(nullif(c_custkey % 4, 3), 0) END)::INT AS place
+FROM customer LEFT JOIN (SELECT s_nationkey, s_suppkey % 4 - 1 AS d, (floor(max(s_acctbal) / 1000) - 4)::INT AS score FROM supplier GROUP BY 1, 2) r ON s_nationkey = c_nationkey AND d = CASE WHEN c_mktsegment = 'BUILDING' THEN -1 ELSE coalesce(nullif(c_custkey % 4, 3), 0) END"""
+
+
+@query(f"SELECT member AS c_custkey, place AS district, pvi, score FROM ({_RATED})")
+def pvi_score_join(spark, sf_dir):
+    """Ratings by state and district: senators have their state's, members at large district 0; those of places without a rating none."""
+    at = civic.district_key(F.lower("chamber"), F.col("district"))
+    return rated_members(spark, sf_dir).select(F.col("member").alias("c_custkey"), at.alias("district"), "pvi", "score")
+
+
+@query(f"SELECT l_orderkey AS o_orderkey, rated, avg_rating, CASE WHEN r = 0 THEN 'EVEN' WHEN r > 0 THEN 'R+' || r ELSE 'D+' || (-r) END AS label FROM (SELECT l_orderkey, rated, avg_rating, round_even(avg_rating, 0)::INT AS r FROM (SELECT l_orderkey, count(*) AS rated, sum(score)::DOUBLE / count(*) AS avg_rating FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN ({_RATED}) ON member = l_suppkey WHERE score IS NOT NULL GROUP BY 1))")
+def cosponsor_rating(spark, sf_dir):
+    """The mean rating of a bill's cosponsors that have one."""
+    known = rated_members(spark, sf_dir).filter("score IS NOT NULL").select(F.col("member").alias("l_suppkey"), "score")
+    by = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct().join(known, "l_suppkey")
+    per = by.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("rated"), (F.sum("score").cast("double") / F.count("*")).alias("avg_rating"))
+    return per.withColumn("label", civic.pvi_label(F.col("avg_rating")))
+
+
 def _profile(spark, sf_dir) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"), "c_name", picked(STATES, F.col("c_nationkey")).alias("state"))
     seats = member_committees(spark, sf_dir).groupBy("member").agg(F.count("*").alias("seats"), F.count("name").alias("known_seats"))
     latest = funding_rows(spark, sf_dir).filter("place = 1").select("member", F.col("cycle").alias("latest_cycle"), "receipts")
     role = leading_roles(spark, sf_dir).select("member", "role")
+    rating = rated_members(spark, sf_dir).select("member", "pvi")
+    handle = table(spark, sf_dir, "pages").select(F.col("page_id").alias("member"), F.col("url").alias("handle"))
+    people = people.join(rating, "member", "left").join(handle, "member", "left")
     return people.join(seats, "member", "left").join(role, "member", "left").join(latest, "member", "left").fillna(0, ["seats", "known_seats"])
 
 
-@query(f"""SELECT c_custkey AS member, c_name, {_sql(STATES, "c_nationkey")} AS state, coalesce(s.seats, 0) AS seats, coalesce(s.known, 0) AS known_seats, r.role, f.cycle AS latest_cycle, f.receipts FROM customer
+@query(f"""SELECT c_custkey AS member, c_name, {_sql(STATES, "c_nationkey")} AS state, coalesce(s.seats, 0) AS seats, coalesce(s.known, 0) AS known_seats, r.role, f.cycle AS latest_cycle, f.receipts, v.pvi, p.url AS handle FROM customer
+LEFT JOIN ({_RATED}) v ON v.member = c_custkey LEFT JOIN pages p ON page_id = c_custkey
 LEFT JOIN (SELECT o_custkey, count(*) AS seats, count(*) FILTER (o_orderkey % 30 < 25) AS known FROM orders GROUP BY 1) s ON s.o_custkey = c_custkey
 LEFT JOIN (SELECT o_custkey, arg_max(cycle, cycle) AS cycle, arg_max(receipts, cycle) AS receipts FROM {_FUND} GROUP BY 1) f ON f.o_custkey = c_custkey
-LEFT JOIN (SELECT o_custkey, ['chair', 'ranking', 'subchair', 'subranking'][min(CASE WHEN lower({_TITLE}) IN ('chair', 'chairman', 'chairwoman') THEN CASE WHEN (o_orderkey % 30) % 2 = 1 THEN 3 ELSE 1 END WHEN lower({_TITLE}) = 'ranking member' THEN CASE WHEN (o_orderkey % 30) % 2 = 1 THEN 4 ELSE 2 END END)] AS role FROM orders GROUP BY 1) r ON r.o_custkey = c_custkey""")
+LEFT JOIN (SELECT o_custkey, ['chair', 'ranking', 'subchair', 'subranking'][min(CASE WHEN lower({_TITLE}) IN ('chair', 'chairman', 'chairwoman') THEN CASE WHEN (o_orderkey % 30) % 2 = 1 THEN 3 ELSE 1 END WHEN trim(lower({_TITLE})) IN ('ranking member', 'ranking minority member', 'ranking') THEN CASE WHEN (o_orderkey % 30) % 2 = 1 THEN 4 ELSE 2 END END)] AS role FROM orders GROUP BY 1) r ON r.o_custkey = c_custkey""")
 def member_profiles(spark, sf_dir):
-    """All members' profiles at once: seats, role, and the totals of the latest cycle."""
+    """All members' profiles at once: seats, role, rating, address, and the totals of the latest cycle."""
     return _profile(spark, sf_dir)
 
 
@@ -234,10 +282,10 @@ def lobbied_areas(spark, sf_dir):
     return seen.join(bills(spark, sf_dir).select("bill_id", "policy_area"), "bill_id").groupBy("policy_area").agg(F.count("*").alias("mentions"), F.count_distinct("filing").alias("filings"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
-@query(f"SELECT bill_id, c_name AS sponsor, o_orderdate::DATE AS introduced FROM (SELECT DISTINCT bill_id, l_orderkey FROM {_LOG} WHERE l_quantity > 48) JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey")
+@query(f"SELECT bill_id, c_name AS sponsor, o_orderdate::DATE AS introduced FROM (SELECT DISTINCT bill_id, l_orderkey FROM {_LOG}) JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey")
 def looked_up_bills(spark, sf_dir):
-    """The bills that some mentions name, once each, with their sponsors."""
-    keys = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(bill_id(F.col("l_orderkey")).alias("bill_id")).distinct()
+    """The bills that mentions name, once each, with their sponsors."""
+    keys = table(spark, sf_dir, "lineitem").select(bill_id(F.col("l_orderkey")).alias("bill_id")).distinct()
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sponsor_id"), F.col("c_name").alias("sponsor"))
     return bills(spark, sf_dir).withColumnRenamed("sponsor", "sponsor_id").join(keys, "bill_id", "left_semi").join(people, "sponsor_id", "left").select("bill_id", "sponsor", "introduced")
 
@@ -250,11 +298,13 @@ def filings_on_bill(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(bill_id(k).alias("bill_id"), refs.alias("refs")).filter(F.array_contains("refs", "119:s:7")).withColumn("refs", F.array_join("refs", " "))
 
 
-@query("SELECT c_custkey, served_until FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE DATE '1998-01-01' + ((c_custkey % 40 - 20) * 10)::INT END AS served_until FROM customer) WHERE served_until IS NULL OR served_until >= DATE '1998-01-01'")
+@query("SELECT c_custkey, until AS served_until FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate)::DATE + 180 AS until FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE until IS NULL OR until >= DATE '1998-01-01'")
 def active_members(spark, sf_dir):
+    """Members whose time isn't over, or has no end: half a year after a member's last bill."""
     today = F.lit("1998-01-01").cast("date")
-    until = F.when(F.col("c_custkey") % 3 != 0, F.date_add(today, ((F.col("c_custkey") % 40 - 20) * 10).cast("int")))
-    return table(spark, sf_dir, "customer").select("c_custkey", until.alias("served_until")).filter(F.col("served_until").isNull() | (F.col("served_until") >= today))
+    ends = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.date_add(F.max(F.to_date("o_orderdate")), 180).alias("served_until"))
+    people = table(spark, sf_dir, "customer").select("c_custkey").join(ends, "c_custkey", "left")
+    return people.filter(F.col("served_until").isNull() | (F.col("served_until") >= today))
 
 
 @query("SELECT o_orderkey, coalesce(latest, introduced) AS active_at FROM (SELECT o_orderkey, o_orderdate::DATE AS introduced, (SELECT max(l_shipdate)::DATE FROM lineitem WHERE l_orderkey = o_orderkey) AS latest FROM orders) WHERE coalesce(latest, introduced) >= DATE '1998-06-01' - 120")
@@ -283,7 +333,7 @@ def leaders_by_type(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 25)
-SELECT o_custkey AS member, n, coalesce(o.title, CASE WHEN lower({_sql(TITLES, "o_custkey")}) LIKE 'chair%' THEN 'chair' WHEN lower({_sql(TITLES, "o_custkey")}) = 'ranking member' THEN 'ranking' END) AS role FROM t LEFT JOIN (VALUES (1, 'Speaker'), (4, 'Whip')) o(m, title) ON o.m = o_custkey""")
+SELECT o_custkey AS member, n, coalesce(o.title, CASE WHEN lower({_sql(TITLES, "o_custkey")}) LIKE 'chair%' THEN 'chair' WHEN trim(lower({_sql(TITLES, "o_custkey")})) IN ('ranking member', 'ranking minority member', 'ranking') THEN 'ranking' END) AS role FROM t LEFT JOIN (VALUES (1, 'Speaker'), (4, 'Whip')) o(m, title) ON o.m = o_custkey""")
 def leaders_with_roles(spark, sf_dir):
     """The most active members with their roles: those set by hand come before those that titles tell."""
     top = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("member")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "member").limit(25)
@@ -291,19 +341,30 @@ def leaders_with_roles(spark, sf_dir):
     return top.withColumn("role", F.coalesce(by_hand, tables.leading_class(picked(TITLES, F.col("member")))))
 
 
-@query("SELECT source, count(*) AS rows, count(DISTINCT doc_id) AS docs, count(*) FILTER (lang = 'en') AS resolved, round(100.0 * count(*) FILTER (lang = 'en') / count(*), 6)::DOUBLE AS pct FROM documents GROUP BY 1")
+@query("SELECT l_suppkey AS source, count(*) AS refs, count(o_orderkey) AS resolved, round(100.0 * count(o_orderkey) / count(*), 6)::DOUBLE AS pct FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey + l_partkey % 3 * 40 GROUP BY 1")
 def backfill_report(spark, sf_dir):
-    resolved = F.count_if(F.col("lang") == "en")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("docs"), resolved.alias("resolved"), F.round(F.lit(100.0) * resolved / F.count("*"), 6).alias("pct"))
-
-
-@query("SELECT via, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'cached' WHEN c_custkey % 3 = 0 THEN 'primary' WHEN c_custkey % 2 = 0 THEN 'name' ELSE 'none' END AS via FROM customer) GROUP BY 1")
+    """Of each source's references how many name a bill that there is."""
+    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bill"), F.lit(True).alias("known"))
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_orderkey") + F.col("l_partkey") % 3 * 40).alias("bill")).join(known, "bill", "left")
+    resolved = F.count("known")
+    return refs.groupBy("source").agg(F.count("*").alias("refs"), resolved.alias("resolved"), F.round(F.lit(100.0) * resolved / F.count("*"), 6).alias("pct"))
+
+
+@query("""WITH m AS (SELECT c_custkey AS id, 'S' || (c_custkey % 211) AS name, n_name AS state, (SELECT list('F' || s_suppkey ORDER BY s_suppkey) FROM supplier WHERE s_suppkey = c_custkey) AS own FROM customer JOIN nation ON n_nationkey = c_nationkey),
+c AS (SELECT o_custkey AS id, any_value(CASE WHEN o_custkey % 2 = 0 THEN 'C' || o_custkey END) AS fec FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+n AS (SELECT lower('s' || (s_suppkey % 211)) AS name, n_name AS state, max('N' || s_suppkey) AS found FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL HAVING count(DISTINCT s_suppkey) = 1)
+SELECT CASE WHEN c.id IS NOT NULL THEN 'cached' WHEN own IS NOT NULL THEN 'primary' WHEN found IS NOT NULL THEN 'name' ELSE 'none' END AS via, count(*) AS n, count(CASE WHEN c.id IS NOT NULL THEN fec ELSE coalesce(own[1], found) END) AS with_id
+FROM m LEFT JOIN c ON c.id = m.id LEFT JOIN n ON n.name = lower(m.name) AND n.state = m.state GROUP BY 1""")
 def resolution_sources(spark, sf_dir):
-    """Of each member the first source that knows it, in order, and how many each has resolved."""
-    k = F.col("c_custkey")
-    known = [F.when(k % m == 0, F.struct(F.lit(name).alias("via"), k.alias("found"))) for m, name in ((5, "cached"), (3, "primary"), (2, "name"))]
-    first = F.coalesce(*known, F.struct(F.lit("none").alias("via"), F.lit(None).cast("long").alias("found")))
-    return table(spark, sf_dir, "customer").select(first.alias("r")).groupBy("r.via").agg(F.count("*").alias("n"))
+    """Of each member the first source that knows it, the cache (also that there is none), its own ids, the only candidate of its name and state; how many each has resolved."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("state"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.array(F.concat(F.lit("F"), "s_suppkey")).alias("fec_ids"))
+    people = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(own, "c_custkey", "left")
+    people = people.select(F.col("c_custkey").alias("bioguide_id"), F.lit(1998).alias("cycle"), "fec_ids", F.concat(F.lit("S"), F.col("c_custkey") % 211).alias("name"), "state")
+    k = F.col("o_custkey")
+    cached = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(k.alias("bioguide_id")).distinct().select("bioguide_id", F.lit(1998).alias("cycle"), F.when(F.col("bioguide_id") % 2 == 0, F.concat(F.lit("C"), "bioguide_id")).alias("fec_id"))
+    named = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey") % 211).alias("name"), "state", F.concat(F.lit("N"), "s_suppkey").alias("fec_id"))
+    return readers.resolved_candidates(people, cached, named).groupBy(F.col("source").alias("via")).agg(F.count("*").alias("n"), F.count("fec_id").alias("with_id"))
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) <= 50")
@@ -331,18 +392,43 @@ def weeks(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.date_sub(day, F.dayofweek(day) - 1).alias("week")).agg(F.count_distinct(day).alias("days"), F.count("*").alias("n"), F.bool_or(F.dayofweek(day).isin(1, 7)).alias("weekend"))
 
 
-CODES_IN_ORDER = ("ih", "is", "rh", "rs", "eh", "es", "enr")
+#: The versions that a summary may begin from, the first that there is.
+EARLY = ("ih", "is", "rh", "rs", "eh", "es", "pcs", "pch")
+VERSIONS = (*EARLY, "enr", "enr", "enr", "zz", "eh1s")
 
 
-@query(f"""SELECT l_orderkey, code, label FROM (SELECT l_orderkey, code, CASE code {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.VERSIONS.items())} ELSE upper(code) END AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY r) AS n
-FROM (SELECT l_orderkey, {_sql((*CODES_IN_ORDER, "zz"), "l_partkey")} AS code, coalesce(list_position(['ih', 'is', 'rh', 'rs', 'eh', 'es', 'enr'], {_sql((*CODES_IN_ORDER, "zz"), "l_partkey")}), 999) AS r FROM lineitem) WHERE r < 999) WHERE n = 1""")
+@query(f"""WITH v AS (SELECT l_orderkey, {_sql(VERSIONS, "l_partkey")} AS code, max(l_extendedprice * 20)::BIGINT AS chars FROM lineitem GROUP BY ALL),
+p AS (SELECT l_orderkey, min(struct_pack(r := list_position(['ih', 'is', 'rh', 'rs', 'eh', 'es', 'pcs', 'pch'], code), code := code, chars := chars)) FILTER (list_position(['ih', 'is', 'rh', 'rs', 'eh', 'es', 'pcs', 'pch'], code) > 0) AS e, max(chars) FILTER (code = 'enr') AS enr FROM v GROUP BY 1),
+t AS (SELECT l_orderkey, e.code AS code, (e.chars + enr) // 4 AS tokens FROM p WHERE e IS NOT NULL AND enr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'P'))
+SELECT l_orderkey, code, CASE code WHEN 'ih' THEN 'Introduced (House)' WHEN 'is' THEN 'Introduced (Senate)' WHEN 'rh' THEN 'Reported (House)' WHEN 'rs' THEN 'Reported (Senate)' WHEN 'eh' THEN 'Engrossed (House)' WHEN 'es' THEN 'Engrossed (Senate)' WHEN 'pcs' THEN 'Placed on Calendar (Senate)' ELSE 'Placed on Calendar (House)' END AS label, tokens,
+CASE WHEN tokens <= 180000 THEN 'small-single' WHEN tokens <= 900000 THEN 'large-single' WHEN tokens <= 1800000 THEN 'chunked' ELSE 'punt' END AS tier,
+round(CASE WHEN tokens <= 180000 THEN (tokens + 500) * 1 + 1500 * 5 WHEN tokens <= 900000 THEN (tokens + 500) * 3 + 1500 * 15 WHEN tokens <= 1800000 THEN (tokens + ceil(tokens / 700000) * 500) * 3 + (ceil(tokens / 700000) * 600 + 1500) * 15 ELSE 0 END / 1e6, 9)::DOUBLE AS cost FROM t""")
 def earliest_versions(spark, sf_dir):
-    """Of each bill the version that comes first in the order of a bill's way, with its label; bills with none of these are left out."""
-    code = picked((*CODES_IN_ORDER, "zz"), F.col("l_partkey"))
-    rank = F.array_position(F.array(*map(F.lit, CODES_IN_ORDER)), code)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", code.alias("code"), rank.alias("r")).filter("r > 0")
-    first = rows.groupBy("l_orderkey").agg(F.min(F.struct("r", "code")).alias("m"))
-    return first.select("l_orderkey", "m.code", tables.version_label(F.col("m.code"), F.col("m.code")).alias("label"))
+    """The summaries still to be made: of each enrolled bill without one the earliest version that there is, how large both are, how they would be summarised and at what cost."""
+    code = picked(VERSIONS, F.col("l_partkey"))
+    versions = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", code.alias("code")).agg(F.max(F.col("l_extendedprice") * 20).cast("decimal(18,0)").cast("long").alias("chars"))
+    rank = F.array_position(F.array(*map(F.lit, EARLY)), F.col("code"))
+    per = versions.groupBy("l_orderkey").agg(F.min(F.when(rank > 0, F.struct(rank.alias("r"), "code", "chars"))).alias("e"), F.max(F.when(F.col("code") == "enr", F.col("chars"))).alias("enr"))
+    made = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    todo = per.filter("e IS NOT NULL AND enr IS NOT NULL").join(made, "l_orderkey", "left_anti")
+    tokens = F.floor((F.col("e.chars") + F.col("enr")) / 4).cast("long")
+    todo = todo.select("l_orderkey", "e.code", tokens.alias("tokens"))
+    return todo.select("l_orderkey", "code", tables.version_label(F.col("code"), F.col("code")).alias("label"), "tokens", civic.summary_tier(F.col("tokens")).alias("tier"), F.round(civic.summary_cost(F.col("tokens")), 9).alias("cost"))
+
+
+#: All codes in the order of a bill's way, one that has a label but no place, and one that has neither.
+STAGES = ("ih", "is", "rh", "rs", "rfh", "rfs", "cph", "cps", "eh", "es", "eah", "eas", "rds", "rdh", "pcs", "ats", "ath", "enr", "pl", "pp", "es2", "lth", "zz")
+
+
+@query(f"""WITH v AS (SELECT DISTINCT l_suppkey, code, CASE WHEN r <= 21 THEN r - 1 ELSE 999 END AS r FROM (SELECT l_suppkey, {_sql(STAGES, "l_partkey")} AS code, l_partkey % 23 + 1 AS r FROM lineitem) WHERE true)
+SELECT l_suppkey, code, r::INT AS rank, (row_number() OVER (PARTITION BY l_suppkey ORDER BY r, code))::INT AS place, CASE code WHEN 'rfh' THEN 'Referred (House)' WHEN 'pcs' THEN 'Placed on Calendar (Senate)' WHEN 'pl' THEN 'Public Law' WHEN 'lth' THEN 'Laid on Table (House)' WHEN 'enr' THEN 'Enrolled' WHEN 'zz' THEN 'ZZ' END AS label FROM v WHERE code IN ('rfh', 'pcs', 'pl', 'lth', 'enr', 'zz', 'ih', 'es2')""")
+def stages_in_order(spark, sf_dir):
+    """Versions in the order of a bill's way: codes without a place are last, by name."""
+    code = picked(STAGES, F.col("l_partkey"))
+    seen = table(spark, sf_dir, "lineitem").select("l_suppkey", code.alias("code")).filter(F.col("code").isin("rfh", "pcs", "pl", "lth", "enr", "zz", "ih", "es2")).distinct().withColumn("rank", tables.stage_rank(F.col("code")))
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("rank", "code"))
+    label = F.when(F.col("code").isin("ih", "es2"), None).otherwise(tables.version_label(F.col("code"), F.col("code")))
+    return seen.select("l_suppkey", "code", "rank", place.alias("place"), label.alias("label"))
 
 
 @query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY d DESC NULLS LAST, l_partkey, l_linenumber) AS newest_first FROM (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 THEN l_shipdate END AS d FROM lineitem) GROUP BY 1")
@@ -377,12 +463,15 @@ def sort_modes(spark, sf_dir):
     return out
 
 
-@query("SELECT ts::DATE AS day, count(*) AS total, array_to_string(list(event_id ORDER BY ts, event_id)[1:5], ',') AS shown, count(*) > 5 AS truncated FROM events GROUP BY 1")
+@query("SELECT ts::DATE AS day, count(*) AS total, array_to_string(list(event_id || ':' || coalesce(c_name, '?') ORDER BY ts, event_id)[1:5], ',') AS shown, count(*) > 5 AS truncated FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY 1")
 def day_items(spark, sf_dir):
-    """The first five events of each day, how many there are, and whether some aren't shown."""
-    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "ts", "event_id")
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))).filter("n <= 5").groupBy("day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("shown"))
-    return rows.groupBy("day").agg(F.count("*").alias("total")).join(first, "day").select("day", "total", "shown", (F.col("total") > 5).alias("truncated"))
+    """The first five events of each day with their members' names where known, how many there are, and whether some aren't shown."""
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "ts", "event_id", "user_id")
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))).filter("n <= 5").join(names, "user_id", "left")
+    item = F.struct("n", F.concat_ws(":", F.col("event_id").cast("string"), F.coalesce("c_name", F.lit("?"))).alias("item"))
+    shown = first.groupBy("day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]), ",").alias("shown"))  # five a day
+    return rows.groupBy("day").agg(F.count("*").alias("total")).join(shown, "day").select("day", "total", "shown", (F.col("total") > 5).alias("truncated"))
 
 
 _SLUG = "CASE split_part(b, ':', 2) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.SLUGS.items()) + " END"
@@ -404,12 +493,14 @@ def format_labels(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(url.alias("url")).withColumn("format", tables.format_label(F.col("url")))
 
 
-@query("SELECT source, max(doc_id) AS cursor, min(doc_id) FILTER (lang IS NULL OR n_chars < 30) AS first_gap, least(max(doc_id), coalesce(min(doc_id) FILTER (lang IS NULL OR n_chars < 30) - 1, max(doc_id))) AS advance_to FROM documents GROUP BY 1")
+@query("""WITH d AS (SELECT DISTINCT user_id::VARCHAR AS source, ts::DATE AS day FROM events), c AS (SELECT source, min(day) AS cursor FROM d GROUP BY 1),
+g AS (SELECT source, min(x.day) AS first_gap FROM c, (SELECT unnest(generate_series(DATE '2024-01-28', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day) x WHERE x.day > c.cursor AND NOT EXISTS (SELECT 1 FROM d WHERE d.source = c.source AND d.day = x.day) GROUP BY 1)
+SELECT source, cursor, first_gap, greatest(cursor, coalesce(first_gap - 1, DATE '2024-01-31')) AS advance_to FROM c LEFT JOIN g USING (source)""")
 def safe_horizon(spark, sf_dir):
-    """How far each source's cursor may go: not past the first document that is still missing its text."""
-    gap = F.min(F.when(F.col("lang").isNull() | (F.col("n_chars") < 30), F.col("doc_id")))
-    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("cursor"), gap.alias("first_gap"))
-    return per.withColumn("advance_to", F.least("cursor", F.coalesce(F.col("first_gap") - 1, "cursor")))
+    """How far each source's cursor may go from its first day: not past a missing day that is younger than four days; older gaps are final."""
+    landed = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), F.to_date("ts").alias("day")).distinct()
+    first = landed.groupBy("source").agg(F.min("day").alias("cursor"))
+    return cursors.advanced(first, landed, F.lit("2024-01-31").cast("date"))
 
 
 @query("SELECT o_custkey AS source, max(o_orderdate) AS seen, greatest(max(o_orderdate), TIMESTAMP '1997-06-01') AS cursor, greatest(max(o_orderdate), TIMESTAMP '1997-06-01') - INTERVAL 4 DAY AS read_from FROM orders GROUP BY 1")
@@ -439,20 +530,59 @@ def mention_tokens(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(words), " ").alias("words"))
 
 
-@query(f"SELECT bill_id, n, examples FROM (SELECT {_BILL.format('l_orderkey')} AS bill_id, count(*) AS n, array_to_string(list(l_partkey ORDER BY l_partkey, l_linenumber)[1:3], ',') AS examples FROM lineitem WHERE l_discount < 0.03 GROUP BY l_orderkey) ORDER BY n DESC, bill_id LIMIT 10")
-def false_positives(spark, sf_dir):
-    """The bills with the most mentions that don't fit, with three examples each."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_discount < 0.03").select("l_orderkey", "l_partkey", "l_linenumber")
-    n = rows.groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("bill_id", bill_id(F.col("l_orderkey"))).orderBy(F.desc("n"), "bill_id").limit(10)
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber"))
-    first = rows.join(F.broadcast(n), "l_orderkey").withColumn("k", place).filter("k <= 3").groupBy("bill_id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "l_partkey"))).alias("x"))
-    return first.select("bill_id", "n", F.array_join(F.transform("x.l_partkey", lambda v: v.cast("string")), ",").alias("examples"))
-
-
-@query(f"WITH passed AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'), texts AS (SELECT doc_id, n_chars FROM documents) SELECT {_BILL.format('k')} AS bill_id, n_chars, c_name AS sponsor FROM passed JOIN texts ON doc_id = k LEFT JOIN orders ON o_orderkey = k LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING'")
+@query(f"WITH passed AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'), texts AS (SELECT doc_id, n_chars FROM documents) SELECT {_BILL.format('k')} AS bill_id, n_chars, c_name AS sponsor FROM passed JOIN texts ON doc_id = k LEFT JOIN orders ON o_orderkey = k LEFT JOIN customer ON c_custkey = o_custkey")
 def passed_texts(spark, sf_dir):
     """Passed bills that have a text, with their sponsors where known."""
     passed = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("o_orderkey"), "n_chars")
-    people = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("sponsor"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("sponsor"))
     return passed.join(texts, "o_orderkey").join(people, "o_custkey", "left").select(bill_id(F.col("o_orderkey")).alias("bill_id"), "n_chars", "sponsor")
+
+
+def titled_bills(spark, sf_dir) -> DataFrame:
+    known = bills(spark, sf_dir)
+    return known.withColumns({"title": F.concat_ws(" ", "policy_area", F.lit("Act of"), F.year("introduced").cast("string"), F.lit("No."), F.col("number").cast("string")), "active_at": F.col("introduced")})
+
+
+_TITLED = f"(SELECT {_BILL.format('o_orderkey')} AS bill_id, {_sql(('hr', 's', 'hconres'), 'o_orderkey')} AS bill_type, o_orderkey AS number, {_sql(AREAS, 'o_orderkey')} AS policy_area, {_sql(AREAS, 'o_orderkey')} || ' Act of ' || year(o_orderdate) || ' No. ' || o_orderkey AS title, o_orderdate::DATE AS active_at FROM orders)"
+
+
+@query(f"SELECT 'title' AS facet, count(*) AS n, max(bill_id) AS last FROM {_TITLED} WHERE contains(lower(title), 'health act') UNION ALL SELECT 'kind', count(*), max(bill_id) FROM {_TITLED} WHERE bill_type IN ('hconres', 'sconres') UNION ALL SELECT 'house and area', count(*), max(bill_id) FROM {_TITLED} WHERE bill_type LIKE 'h%' AND policy_area = 'Energy' UNION ALL SELECT 'all', count(*), max(bill_id) FROM {_TITLED} WHERE contains(lower(title), '199') AND bill_type = 's' AND policy_area = 'Taxation'")
+def bills_faceted(spark, sf_dir):
+    """Bills under each facet, and under several at once."""
+    asked = {"title": {"text": "Health Act"}, "kind": {"kind": "concurrent"}, "house and area": {"chamber": "house", "policy_area": "Energy"}, "all": {"text": "199", "bill_type": "S", "kind": "bills", "chamber": "senate", "policy_area": "Taxation"}}
+    parts = [search.with_facets(titled_bills(spark, sf_dir), **facets).agg(F.count("*").alias("n"), F.max("bill_id").alias("last")).select(F.lit(name).alias("facet"), "n", "last") for name, facets in asked.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_HITS = "SELECT '{0}' AS q, 'bill' AS kind, bill_id AS id, rank::INT AS rank FROM (SELECT *, CASE WHEN {1} THEN 0 WHEN {2} THEN 1 ELSE 2 END AS rank FROM {3} WHERE {1} OR {2} OR contains(lower(title), '{0}') ORDER BY rank, active_at DESC, bill_id LIMIT 10)"
+_PEOPLE = "SELECT '{0}' AS q, 'member' AS kind, c_custkey::VARCHAR AS id, NULL::INT AS rank FROM (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE contains(lower(c_name), '{0}') OR lower(n_name) = '{0}' ORDER BY c_mktsegment, c_name, c_custkey LIMIT 10)"
+
+
+@query(" UNION ALL ".join([_HITS.format("12", "false", "number = 12", _TITLED), _HITS.format("hr 12", "bill_type = 'hr' AND number = 12", "false", _TITLED), _HITS.format("s.7", "bill_type = 's' AND number = 7", "false", _TITLED), _HITS.format("china", "false", "false", _TITLED), *[_PEOPLE.format(q) for q in ("12", "hr 12", "s.7", "china")]]))
+def search_all(spark, sf_dir):
+    """What a search finds on both sides, members and bills, for some texts; one character finds nothing."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
+    people = table(spark, sf_dir, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("member"), F.col("c_name").alias("full_name"), F.col("c_name").alias("last_name"), "state", F.col("c_mktsegment").alias("chamber"))
+    known, out = titled_bills(spark, sf_dir), None
+    for q in ("12", "HR 12", "s.7", " China ", "x"):
+        name = F.lit(q.strip().lower()).alias("q")
+        hits = search.found_bills(known, q, 10).select(name, F.lit("bill").alias("kind"), F.col("bill_id").alias("id"), "rank")
+        hits = hits.unionByName(search.found_members(people, q, 10).select(name, F.lit("member").alias("kind"), F.col("member").cast("string").alias("id"), F.lit(None).cast("int").alias("rank")))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query("""WITH c AS (SELECT p_partkey AS code, p_name AS name, p_brand AS chamber, CASE WHEN p_partkey % 10 = 0 THEN 'standing' WHEN p_partkey % 10 = 5 THEN 'joint' ELSE 'subcommittee' END AS type, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_partkey - p_partkey % 10 END AS parent FROM part),
+n AS (SELECT code, name, chamber, false AS is_sub, code AS parent, name AS pn, type AS pt, chamber AS pc FROM c WHERE type <> 'subcommittee' UNION ALL SELECT s.code, s.name, s.chamber, true, p.code, p.name, p.type, p.chamber FROM c s JOIN c p ON p.code = s.parent AND p.type <> 'subcommittee' WHERE s.type = 'subcommittee')
+SELECT code, name, is_sub, parent, (row_number() OVER (PARTITION BY pc ORDER BY pt DESC, pn, parent, is_sub, name, code))::INT AS place FROM n""")
+def committee_options(spark, sf_dir):
+    """Committees with their subcommittees below them, by their place in their chamber's list; a subcommittee without its parent isn't in it."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 10 == 0, "standing").when(k % 10 == 5, "joint").otherwise("subcommittee")
+    known = table(spark, sf_dir, "part").select(k.alias("committee_code"), F.col("p_name").alias("name"), F.col("p_brand").alias("chamber"), kind.alias("committee_type"), F.when(k % 7 == 0, -1).otherwise(k - k % 10).alias("parent_code"))
+    place = F.row_number().over(Window.partitionBy("parent_chamber").orderBy(*search.committee_order()))
+    return search.nested_committees(known).select(F.col("committee_code").alias("code"), "name", "is_sub", F.col("parent_code").alias("parent"), place.alias("place"))

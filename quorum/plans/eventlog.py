@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.civic import pair_hash
+from ..operators import cache, results
 from ..operators import eventlog as log
 from ..schemas import table
+from ..session import scratch
 from .registry import query
 
 
@@ -39,10 +41,20 @@ def anti_merge(spark, sf_dir):
     return log.merged(rows.filter(F.col("ts") < day("2024-01-20")).select(*key), rows.filter(F.col("ts") >= day("2024-01-10")).select(*key), key, F.col("event_type") != "error")
 
 
-@query("SELECT user_id, ts::DATE AS day, event_type, count(*) AS versions, max(event_id) AS head, array_to_string(list_sort(list_distinct(list(props->>'k'))), ',') AS ks FROM events GROUP BY ALL")
+@query("""WITH r AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, event_type AS action, event_id, (props->>'k')::INT AS k, row_number() OVER (PARTITION BY user_id, date_trunc('week', ts), event_type ORDER BY ts DESC, event_id DESC) AS o FROM events),
+s AS (SELECT user_id, week, action, string_agg(v, ',' ORDER BY o) AS sources FROM (SELECT user_id, week, action, ['api', 'bulk', 'web'][k % 3 + 1] AS v, min(o) AS o FROM r GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT user_id, week, action, string_agg(v, ',' ORDER BY o) AS committees FROM (SELECT user_id, week, action, v, min(o) AS o FROM (SELECT user_id, week, action, 'c' || (k % 7) AS v, o * 2 AS o FROM r WHERE k % 5 <> 0 UNION ALL SELECT user_id, week, action, 'c' || (k % 4), o * 2 + 1 FROM r) GROUP BY ALL) GROUP BY ALL)
+SELECT h.user_id, h.week, h.action, h.head, h.versions, sources, committees FROM (SELECT user_id, week, action, arg_min(event_id, o) AS head, count(*) AS versions FROM r GROUP BY ALL) h JOIN s USING (user_id, week, action) JOIN c USING (user_id, week, action)""")
 def action_collapse(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type")
-    return rows.agg(F.count("*").alias("versions"), F.max("event_id").alias("head"), F.array_join(F.sort_array(F.collect_set(F.get_json_object("props", "$.k"))), ",").alias("ks"))
+    """A member's actions of one week and text as one: the newest stands for them, sources and committees in the order in which they are first seen, newest first."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.concat(F.lit(" "), "event_type", F.repeat(F.lit(" "), (F.col("event_id") % 3).cast("int"))).alias("text"), k.alias("k"))
+    name = lambda n: F.concat(F.lit("c"), (F.col("k") % n).cast("string"))
+    lists = {"sources": F.array(F.element_at(F.array(*map(F.lit, ("api", "bulk", "web"))), F.col("k") % 3 + 1)), "committees": F.array(F.when(F.col("k") % 5 != 0, name(7)), name(4))}
+    keys = [F.col("user_id"), F.to_date(F.date_trunc("week", "ts")).alias("week"), F.trim("text").alias("action")]
+    newest = [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")]
+    one = log.collapsed(rows, keys, newest, lists)
+    return one.select("user_id", "week", "action", F.col("head.event_id").alias("head"), F.col("rows").alias("versions"), *[F.array_join(c, ",").alias(c) for c in lists])
 
 
 @query("""WITH v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang_rank DESC, doc_id DESC) AS r FROM (SELECT doc_id, source, lang, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 999 END AS lang_rank FROM documents))
@@ -79,11 +91,44 @@ def activity_islands(spark, sf_dir):
     return days.withColumn("island", island.cast("long")).groupBy("user_id", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"))
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN 'never' WHEN (props->>'k')::INT < 20 THEN 'negative' ELSE 'positive' END AS state, event_type FROM events WHERE ts + INTERVAL ((props->>'k')::INT) HOUR > TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '2024-01-20'")
+@query("""WITH e AS (SELECT user_id, arg_max(struct_pack(p := CASE WHEN event_type <> 'error' THEN event_type END, until := CASE WHEN (props->>'k')::INT < 95 THEN ts + INTERVAL ((props->>'k')::INT) HOUR END), struct_pack(ts, p := CASE WHEN event_type = 'error' THEN '' ELSE event_type END)) AS m FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1)
+SELECT c_custkey, CASE WHEN m.until IS NULL OR m.until > TIMESTAMP '2024-01-20' THEN m.p END AS payload, CASE WHEN m IS NULL THEN 'missing' WHEN m.until <= TIMESTAMP '2024-01-20' THEN 'expired' WHEN m.p IS NULL THEN 'negative' ELSE 'hit' END AS state FROM customer LEFT JOIN e ON user_id = c_custkey""")
 def cache_lookup(spark, sf_dir):
-    as_of, k = F.lit("2024-01-20").cast("timestamp_ntz"), F.get_json_object("props", "$.k").try_cast("int")
-    live = table(spark, sf_dir, "events").filter((F.col("ts") + F.make_dt_interval(hours=k) > as_of) & (F.col("ts") <= as_of))
-    return live.select("event_id", F.when(F.col("value").isNull(), "never").when(k < 20, "negative").otherwise("positive").alias("state"), "event_type")
+    """All members asked for as of a moment: what the cache holds for them, or why it has nothing."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    entries = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("payload"), F.col("ts").alias("fetched_at"), F.when(k < 95, F.col("ts") + F.make_dt_interval(hours=k)).alias("expires_at"))
+    return cache.looked_up(table(spark, sf_dir, "customer").select("c_custkey"), entries, "c_custkey", F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+@query("SELECT o_custkey, url FROM (SELECT o_custkey, url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, url DESC) AS r FROM orders JOIN pages ON page_id = o_orderkey % 97 WHERE url IS NOT NULL AND o_orderstatus <> 'P') WHERE r = 1")
+def hydrated_urls(spark, sf_dir):
+    """Each member's address that was found last; what was looked for and not found is left out."""
+    found = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), "url")
+    tried = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", (F.col("o_orderkey") % 97).alias("page"), "o_orderstatus").join(found, "page", "left")
+    return cache.hydrated(tried.withColumn("url", F.when(F.col("o_orderstatus") != "P", F.col("url"))), ["o_custkey"], "url", "o_orderdate")
+
+
+_SPLIT = "list_distinct(string_split({}, ' '))"
+
+
+@query(f"""WITH v AS (SELECT conv_id, turn, {_SPLIT.format("text")} AS new, lag({_SPLIT.format("text")}) OVER w AS old FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, len(list_filter(new, lambda x: NOT list_contains(old, x)))::INT AS added, len(list_filter(old, lambda x: NOT list_contains(new, x)))::INT AS removed, len(list_intersect(new, old))::INT AS kept FROM v WHERE old IS NOT NULL""")
+def results_by_content(spark, sf_dir):
+    """What changed in words from each turn to the next, found once for each pair of texts and kept by their digests; asked for twice, computed once."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = said.withColumn("old", before).filter("old IS NOT NULL").select("conv_id", "turn", F.sha2("old", 256).alias("from_digest"), F.sha2("text", 256).alias("to_digest"), "old", "text")
+    keys = ["from_digest", "to_digest"]
+
+    def compare(rows):
+        words = lambda c: F.array_distinct(F.split(c, " "))
+        a, b = words("old"), words("text")
+        return rows.select(*keys, F.size(F.array_except(b, a)).alias("added"), F.size(F.array_except(a, b)).alias("removed"), F.size(F.array_intersect(a, b)).alias("kept"))
+
+    path, now = scratch(spark, "results"), F.current_timestamp()
+    half = pairs.filter("turn <= 2")  # the first asking; the second finds these in the store
+    results.computed(half, keys, path, compare, now)
+    return results.computed(pairs, keys, path, compare, now).select("conv_id", "turn", "added", "removed", "kept")
 
 
 @query("SELECT a.source, a.d AS from_doc, b.d AS to_doc, sha256(unhex(sha256(a.text)) || unhex(sha256(b.text))) AS pair FROM (SELECT source, min(doc_id) AS d, arg_min(text, doc_id) AS text FROM documents GROUP BY 1) a JOIN (SELECT source, max(doc_id) AS d, arg_max(text, doc_id) AS text FROM documents GROUP BY 1) b USING (source)")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import table
+from ..session import scratch
 from ..streaming import jobs
 from ..text import clean
 from ..text.clean import version_changes
@@ -18,20 +16,15 @@ from .registry import query
 
 def _finished(df: DataFrame, mode: str) -> DataFrame:
     """The result of a stream, run to the end of its input: a table in the shared folder, of which nothing goes through the driver."""
-    spark, name = df.sparkSession, "stream_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quorum-")
-    out = f"{base}/{name}-out"
+    spark, base = df.sparkSession, scratch(df.sparkSession, "stream")
+    out = f"{base}/out"
     spark.createDataFrame([], df.schema).write.parquet(f"{out}/none")  # a stream without a row is a table too
 
     def write(batch: DataFrame, number: int) -> None:
         """In complete mode each batch is the whole result; else a part, which a repeated batch writes over."""
         batch.write.mode("overwrite").parquet(f"{out}/{'whole' if mode == 'complete' else number}")
 
-    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(out)
 
 

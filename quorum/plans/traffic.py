@@ -73,19 +73,25 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("tokens"), civic.summary_tier(n * 100).alias("tier"))
 
 
-_REFS = [("see S. 567 and s567", 2025), ("S.140/HR.895: Combating", 2024), ("H.J.Res. 5", 2023), ("H.Con.Res.7; H.Res. 8", 2026), ("H R 0, HR 123456, U.S. 12", 2025)]
-
-
-@query("SELECT * FROM (VALUES (0, '119:s:567'), (1, '118:hr:895'), (1, '118:s:140'), (2, '118:hjres:5'), (3, '119:hconres:7'), (3, '119:hres:8')) t(i, bill_id)")
+@query("""SELECT o_orderkey, unnest(CASE o_orderkey % 6 WHEN 0 THEN ['119:s:' || n] WHEN 1 THEN list_sort(['118:hr:' || n, '118:s:' || (n + 1)]) WHEN 2 THEN ['118:hjres:' || n] WHEN 3 THEN list_sort(['119:hconres:' || n, '119:hres:' || (n + 1)]) WHEN 4 THEN ['118:sconres:' || n, '118:sjres:' || n] ELSE [] END) AS bill_id
+FROM (SELECT o_orderkey, o_orderkey % 90000 + 1 AS n FROM orders)""")
 def bill_refs_extract(spark, sf_dir):
-    mentions = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(_REFS)], "i int, t string, y int")
-    return mentions.select("i", F.explode(civic.bill_references(F.col("t"), F.col("y"))).alias("bill_id"))
+    """The bills that filings' texts name: each of the forms in use, and what only looks like one."""
+    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 90000 + 1).cast("string")
+    after = (F.col("o_orderkey") % 90000 + 2).cast("string")
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    texts = (say("see S. ", n, " and s", n), say("S.", after, "/HR.", n, ": Combating"), say("H.J.Res. ", n), say("H.Con.Res.", n, "; H.Res. ", after), say("S. Con. Res. ", n, ", s j res ", n), say("H R 0, HR 123456, U.S. ", n))
+    years = (2025, 2024, 2023, 2026, 2023, 2025)
+    said = table(spark, sf_dir, "orders").select(k, F.element_at(F.array(*texts), (k % 6 + 1).cast("int")).alias("t"), F.element_at(F.array(*map(F.lit, years)), (k % 6 + 1).cast("int")).alias("y"))
+    return said.select("o_orderkey", F.explode(civic.bill_references(F.col("t"), F.col("y"))).alias("bill_id"))
 
 
-@query("SELECT * FROM (VALUES ('H R 1234', 'hr', 1234), ('H. Con. Res. 5', 'hconres', 5), ('S 12', 's', 12), ('QUORUM', NULL, NULL), ('H R', NULL, NULL)) t(label, bill_type, number)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'hr' WHEN 1 THEN 'hconres' WHEN 2 THEN 's' WHEN 3 THEN 'sjres' END AS bill_type, CASE WHEN o_orderkey % 6 < 4 THEN o_orderkey::INT END AS number FROM orders""")
 def legis_numbers(spark, sf_dir):
-    labels = spark.createDataFrame([(x,) for x in ("H R 1234", "H. Con. Res. 5", "S 12", "QUORUM", "H R")], "label string")
-    return labels.withColumn("b", civic.bill_of_label(F.col("label"))).select("label", "b.bill_type", "b.number")
+    """Type and number by the labels of roll calls; those that aren't a bill's have none."""
+    k = F.col("o_orderkey")
+    label = F.element_at(F.array(*[F.concat(F.lit(x), k.cast("string")) for x in ("H R ", "H. Con. Res. ", "S ", "s.j. res. ", "QUORUM")], F.lit("H R")), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").withColumn("b", civic.bill_of_label(label)).select("o_orderkey", "b.bill_type", "b.number")
 
 
 @query("SELECT stage, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{s}'" for w, s in STAGES) + " ELSE 'other' END AS stage FROM conversations) GROUP BY 1")
@@ -134,3 +140,14 @@ def json_api(spark, sf_dir):
 def faceted_search(spark, sf_dir):
     facets = [F.col("lang") == "en", F.col("source") == "src1", F.col("n_chars") > 10000]
     return table(spark, sf_dir, "documents").filter(reduce(lambda a, b: a | b, facets)).groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+@query("""SELECT host, count(*) AS views FROM (SELECT nullif(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), 'blog.tionsh.example.com') AS host FROM events JOIN pages ON page_id = event_id % 60
+WHERE ts > TIMESTAMP '2024-01-23' AND ts <= TIMESTAMP '2024-01-30' AND event_type <> 'error') WHERE host IS NOT NULL GROUP BY 1 ORDER BY views DESC, host LIMIT 20""")
+def top_referers(spark, sf_dir):
+    """The hosts that most of the last week's views came from, bots' aside; a site's own host is none."""
+    now = F.lit("2024-01-30").cast("timestamp_ntz")
+    week = table(spark, sf_dir, "events").filter((F.col("ts") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") <= now) & (F.col("event_type") != "error"))
+    host = civic.referer_host(F.col("url"), "blog.tionsh.example.com")
+    from_pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), host.alias("host")).filter("host IS NOT NULL")
+    return week.select((F.col("event_id") % 60).alias("page")).join(from_pages, "page").groupBy("host").agg(F.count("*").alias("views")).orderBy(F.desc("views"), "host").limit(20)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -11,9 +14,20 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
 def session(name: str = "quorum", master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path where the driver and all executors can read and write: in spark.checkpoint.dir, or in a folder of our own if that is unset and all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quorum-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import civic, tables
 
@@ -67,16 +68,51 @@ def rated_places(page: str) -> list[tuple[str, str]]:
     return [x for rows in best.values() for x in rows]
 
 
-@F.udf(ArrayType(StructType().add("place", StringType()).add("rating", StringType())))
-def _rated(page):
-    return rated_places(page)
+def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, rating) of pages, a batch of pages at a time."""
+    for batch in batches:
+        found = [x for page in batch.column("value").to_pylist() for x in rated_places(page)]
+        yield pa.RecordBatch.from_pydict({"place": [p for p, _ in found], "rating": [r for _, r in found]}, pa.schema([("place", pa.string()), ("rating", pa.string())]))
 
 
-def district_ratings(spark: SparkSession, path: str, congress: int) -> DataFrame:
+def district_ratings(spark: SparkSession, path: str | list[str], congress: int) -> DataFrame:
     """(congress, state, district, pvi, score) of the pages in a folder: "Alabama 1", "West Virginia 2", "Alaska at-large"; a state alone has district -1. States are told by their codes; of other places their names stay."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(_rated("value")).alias("r")).select("r.*")
+    rows = spark.read.text(path, wholetext=True).mapInArrow(_rated, "place string, rating string")
     number = F.regexp_extract("place", r"(\d+)(?:st|nd|rd|th)?\s*$", 1).try_cast("int")
     large = F.lower("place").contains("at-large")
     state = F.trim(F.regexp_replace("place", r"(?i)\s*(?:\d+(?:st|nd|rd|th)?|at-large)\s*$", ""))
     rated = rows.select(F.lit(congress).alias("congress"), F.coalesce(tables.looked_up(STATES, F.lower(state)), state).alias("state"), F.when(large, 0).otherwise(F.coalesce(number, F.lit(-1))).alias("district"), civic.pvi(F.col("rating")).alias("p"))
     return rated.filter(F.col("p").isNotNull()).select("congress", "state", "district", F.col("p.label").alias("pvi"), F.col("p.score").alias("score"))
+
+
+def place(state: Column, district: Column, congress: Column) -> Column:
+    """One text for the place that a rating is of; null without a state."""
+    return F.concat(congress.cast("string"), F.lit(":"), state, F.lit(":"), district.cast("string"))
+
+
+def store(ratings: DataFrame, name: str, buckets: int = 16) -> None:
+    """ratings (congress, state, district, pvi, score) as a table bucketed by place, a file a bucket: a look-up reads one bucket, and what is bucketed alike meets it without a shuffle."""
+    at = place(F.col("state"), F.col("district"), F.col("congress"))
+    ratings.withColumn("place", at).repartition(buckets, "place").sortWithinPartitions("place").write.bucketBy(buckets, "place").sortBy("place").mode("overwrite").saveAsTable(name)
+
+
+def rated(members: DataFrame, ratings: DataFrame, congress: int) -> DataFrame:
+    """members (state, district, chamber, ...) with pvi and score, of their district or, for senators, their state; null where there is no rating.
+
+    members that are a table with a column place, bucketed like the ratings, aren't shuffled.
+    """
+    known = ratings.select(*(["place"] if "place" in ratings.columns else [place(F.col("state"), F.col("district"), F.col("congress")).alias("place")]), "pvi", "score")
+    own = members if "place" in members.columns else members.withColumn("place", member_place(congress))
+    met = own.join(known, "place", "left")
+    return met.select(*members.columns, "pvi", "score")
+
+
+def member_place(congress: int) -> Column:
+    """The place whose rating a member (state, district, chamber) has."""
+    return place(F.col("state"), civic.district_key(F.lower("chamber"), F.col("district")), F.lit(congress))
+
+
+def rating_of(ratings: DataFrame, congress: int, state: str, district: int | None, chamber: str) -> DataFrame:
+    """(pvi, score) of one member's place, or no row: of a bucketed table just its bucket is read."""
+    at = -1 if chamber.lower() != "house" else district or 0
+    return ratings.filter(F.col("place") == f"{congress}:{state}:{at}").select("pvi", "score")

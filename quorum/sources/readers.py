@@ -6,23 +6,12 @@ event_type, occurred_at, payload, payload_hash) or a table's columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import civic, tables
 from ..operators.eventlog import latest_per_key
-
-
-@dataclass(frozen=True)
-class Source:
-    """A kind of landed files: how to read them, and days by which a run looks behind its cursor."""
-
-    name: str
-    read: Callable[[SparkSession, str], DataFrame]
-    overlap_days: int = 0
+from . import texttree
 
 
 def as_events(df: DataFrame, source: str, source_id: Column, entity_id: Column, event_type: Column | str, occurred_at: Column, payload: list[Column]) -> DataFrame:
@@ -44,7 +33,7 @@ HOUSE_VOTE = """`vote-metadata` struct<congress:string,session:string,`rollcall-
 `vote-data` struct<`recorded-vote`:array<struct<legislator:struct<_VALUE:string,`_name-id`:string,`_party`:string,`_state`:string>,vote:string>>>"""
 
 
-def house_votes(spark: SparkSession, path: str) -> DataFrame:
+def house_votes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row per member of House roll-call documents, as events vote.cast and vote.missed."""
     raw = spark.read.format("xml").option("rowTag", "rollcall-vote").schema(HOUSE_VOTE).load(path)
     m = "`vote-metadata`."
@@ -59,7 +48,7 @@ SENATE_VOTE = """congress string, session string, vote_number int, vote_question
 members struct<member:array<struct<lis_member_id:string,last_name:string,state:string,party:string,vote_cast:string>>>"""
 
 
-def senate_votes(spark: SparkSession, path: str, lis_index: DataFrame) -> DataFrame:
+def senate_votes(spark: SparkSession, path: str | list[str], lis_index: DataFrame) -> DataFrame:
     """A row per senator; members are found by LIS id in lis_index (lis, bioguide, last_name, state), else by name and state; unknown ones are dropped."""
     raw = spark.read.format("xml").option("rowTag", "roll_call_vote").option("mode", "PERMISSIVE").schema(SENATE_VOTE).load(path).filter(F.col("members").isNotNull())
     each = raw.select("congress", "session", F.col("vote_number").alias("rollcall_num"), F.trim(F.concat_ws(" ", "document.document_type", "document.document_number")).alias("legis_num"), F.col("vote_question_text").alias("question"),
@@ -86,7 +75,7 @@ textVersions struct<item:array<struct<type:string,date:string,formats:struct<ite
 actions struct<item:array<struct<actionDate:string,actionCode:string,type:string,text:string,committees:struct<item:array<struct<name:string>>>>>>"""
 
 
-def bill_status(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def bill_status(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(bills, events): a table row per bill; events for its sponsor, its cosponsors and its actions."""
     raw = spark.read.format("xml").option("rowTag", "bill").schema(BILL_STATUS).load(path)
     raw = raw.withColumn("bill_type", F.lower("type")).withColumn("bill_id", F.concat_ws(":", F.col("congress").cast("string"), "bill_type", F.col("number").cast("string")))
@@ -110,7 +99,7 @@ FILING = """filing_uuid string, filing_type string, filing_year int, filing_peri
 lobbying_activities array<struct<general_issue_code:string,description:string>>, filing_document_url string"""
 
 
-def lobbying_filings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def lobbying_filings(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(filings, events): a table row per filing of landed pages {"results": [...]}; an event per bill that its descriptions name, with an equal share of the amount."""
     pages = spark.read.schema(f"results array<struct<{FILING.replace(' string', ':string').replace(' int', ':int').replace(' struct', ':struct').replace(' array', ':array')}>>").option("multiLine", True).json(path)
     f = pages.select(F.explode("results").alias("f")).select("f.*")
@@ -126,27 +115,39 @@ def lobbying_filings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return filings, events
 
 
-MODS = """titleInfo struct<title:string>, identifier array<struct<_VALUE:string,_type:string>>, part struct<extent:struct<start:string,end:string>>,
-extension array<struct<granuleClass:string,accessId:string,congMember:array<struct<_bioGuideId:string,_congress:int,_role:string,_party:string,_state:string>>>>"""
+MODS = """titleInfo struct<title:string>, identifier array<struct<_VALUE:string,_type:string>>, part array<struct<extent:struct<start:string,end:string>>>, _type string,
+extension array<struct<granuleClass:string,accessId:string,congMember:array<struct<_bioGuideId:string,_congress:string,_role:string,_party:string,_state:string>>,isReferringTo:array<struct<_VALUE:string,_type:string,_ID:string,_href:string>>>>"""
 
 
-def floor_speeches(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """An event per speaker of a day's Record granules; those without speakers, digests among them, are none."""
+def floor_speeches(spark: SparkSession, path: str | list[str], day: str | None = None) -> DataFrame:
+    """An event per member named by a granule of the Record, with the bills that it refers to; digests and granules without members or a name are none.
+
+    The day is given, or told by the folder day=yyyy-MM-dd that a file lies in; it counts as noon.
+    """
     raw = spark.read.format("xml").option("rowTag", "relatedItem").option("ignoreNamespace", True).schema(MODS).load(path)
-    members = F.flatten(F.filter(F.transform("extension", lambda e: e["congMember"]), lambda m: m.isNotNull()))
-    first = lambda f: F.try_element_at(F.filter(F.transform("extension", lambda e: e[f]), lambda x: x.isNotNull()), F.lit(1))
-    g = raw.select(F.col("titleInfo.title").alias("title"), first("granuleClass").alias("granule_class"), first("accessId").alias("granule"), F.col("part.extent.start").alias("page_start"), F.col("part.extent.end").alias("page_end"),
-                   F.try_element_at(F.filter("identifier", lambda i: i["_type"] == "preferred citation"), F.lit(1))["_VALUE"].alias("citation"), members.alias("members"))
-    g = g.filter((F.size("members") > 0) & (F.coalesce("granule_class", F.lit("")) != "DAILYDIGEST")).withColumn("speaker_count", F.size("members"))
-    each = g.select("*", F.explode("members").alias("m")).filter(F.col("m._role") == "SPEAKING")
-    fields = [*[F.col(c) for c in ("title", "citation", "page_start", "page_end", "granule_class", "speaker_count")], F.col("m._role").alias("role"), F.col("m._party").alias("party"), F.col("m._state").alias("state"), F.lit(day).alias("date")]
-    return as_events(each, "govinfo_crec", F.concat_ws(":", "granule", "m._bioGuideId"), F.concat(F.lit("bioguide:"), "m._bioGuideId"), "floor.speech", civic.iso_time(F.lit(day)), fields)
+    on = F.regexp_extract("_metadata.file_path", r"day=(\d{4}-\d{2}-\d{2})", 1) if day is None else F.lit(day)
+    each_of = lambda f: F.flatten(F.filter(F.transform("extension", lambda e: e[f]), lambda m: m.isNotNull()))
+    first = lambda f: F.trim(F.coalesce(F.try_element_at(F.filter(F.transform("extension", lambda e: e[f]), lambda x: x.isNotNull()), F.lit(1)), F.lit("")))
+    extent = F.try_element_at(F.filter(F.transform("part", lambda p: p["extent"]), lambda x: x["start"].isNotNull() | x["end"].isNotNull()), F.lit(1))
+    bills = F.filter(each_of("isReferringTo"), lambda r: r["_type"].isin("bill", "law", "publiclaw") | F.contains(F.lower(F.coalesce(r["_ID"], F.lit(""))), F.lit("bill")))
+    refs = F.transform(bills, lambda r: F.struct(r["_type"].alias("type"), F.coalesce(F.nullif(r["_ID"], F.lit("")), r["_href"], F.substring(F.trim(F.coalesce(r["_VALUE"], F.lit(""))), 1, 80)).alias("ref")))
+    g = raw.filter(F.coalesce("_type", F.lit("constituent")) == "constituent").select(
+        on.alias("date"), F.trim("titleInfo.title").alias("title"), first("granuleClass").alias("granule_class"), first("accessId").alias("granule"), F.trim(extent["start"]).alias("page_start"), F.trim(extent["end"]).alias("page_end"),
+        F.trim(F.try_element_at(F.filter("identifier", lambda i: i["_type"] == "preferred citation"), F.lit(1))["_VALUE"]).alias("citation"), each_of("congMember").alias("members"), F.when(F.size(refs) > 0, refs).alias("bill_refs"),
+    )
+    g = g.filter((F.size("members") > 0) & (F.upper("granule_class") != "DAILYDIGEST") & (F.col("granule") != "")).withColumn("speaker_count", F.size("members"))
+    each = g.select("*", F.explode("members").alias("m")).withColumn("member", F.trim("m._bioGuideId")).filter("member <> ''")
+    url = F.concat(F.lit("https://www.govinfo.gov/app/details/CREC-"), "date", F.lit("/"), "granule")
+    fields = [F.lower("granule_class").alias("chamber"), F.col("m._congress").try_cast("int").alias("congress"), *[F.col(c) for c in ("title", "citation", "page_start", "page_end", "granule_class")], url.alias("granule_url"),
+              *[F.coalesce(F.col(f"m._{c}"), F.lit("")).alias(c) for c in ("role", "party", "state")], F.col("speaker_count"), F.col("date"), F.col("bill_refs")]
+    noon = F.to_timestamp(F.concat("date", F.lit(" 12:00:00")))
+    return as_events(each, "govinfo_crec", F.concat_ws(":", "granule", "member"), F.concat(F.lit("bioguide:"), "member"), "floor.speech", noon, fields)
 
 
 MEETING = "committeeMeeting struct<eventId:string,congress:int,chamber:string,date:string,type:string,title:string,committees:array<struct<systemCode:string,name:string>>,witnesses:array<struct<name:string,organization:string,position:string>>>"
 
 
-def committee_meetings(spark: SparkSession, path: str) -> DataFrame:
+def committee_meetings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """An event per meeting and one per witness, of its first committee or else its chamber."""
     m = spark.read.schema(MEETING).json(path).select("committeeMeeting.*")
     first = F.try_element_at("committees", F.lit(1))
@@ -161,7 +162,7 @@ def committee_meetings(spark: SparkSession, path: str) -> DataFrame:
 AMENDMENT = "amendment struct<congress:int,type:string,number:int,sponsors:array<struct<bioguideId:string>>,submittedDate:string,updateDate:string,purpose:string,description:string,latestAction:struct<text:string>,amendedBill:struct<congress:int,type:string,number:string>>"
 
 
-def amendments(spark: SparkSession, path: str) -> DataFrame:
+def amendments(spark: SparkSession, path: str | list[str]) -> DataFrame:
     a = spark.read.schema(AMENDMENT).json(path).select("amendment.*").select("*", F.try_element_at("sponsors", F.lit(1))["bioguideId"].alias("member")).filter(F.col("member").isNotNull())
     key = F.concat_ws(":", F.col("congress").cast("string"), F.lower("type"), F.col("number").cast("string"))
     bill = F.when(F.col("amendedBill").isNotNull(), F.concat_ws(":", F.col("amendedBill.congress").cast("string"), F.lower("amendedBill.type"), "amendedBill.number"))
@@ -172,7 +173,7 @@ def amendments(spark: SparkSession, path: str) -> DataFrame:
 SUMMARIES = "summaries array<struct<bill:struct<congress:int,type:string,number:string>,versionCode:string,actionDate:string,actionDesc:string,text:string,updateDate:string>>"
 
 
-def bill_summaries(spark: SparkSession, path: str) -> DataFrame:
+def bill_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of the summaries table, the texts without markup."""
     from ..text.clean import text_lines
 
@@ -184,7 +185,7 @@ def bill_summaries(spark: SparkSession, path: str) -> DataFrame:
 LEGISLATOR = "id struct<bioguide:string,govtrack:bigint,lis:string,fec:array<string>>, name struct<first:string,last:string,official_full:string>, terms array<struct<type:string,start:string,end:string,state:string,district:int,party:string>>"
 
 
-def legislators(spark: SparkSession, path: str) -> DataFrame:
+def legislators(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Members by their last term; the YAML is landed as JSON lines."""
     p = spark.read.schema(LEGISLATOR).json(path)
     last = F.try_element_at("terms", F.lit(-1))
@@ -196,14 +197,14 @@ def legislators(spark: SparkSession, path: str) -> DataFrame:
 COMMITTEE = "thomas_id string, name string, type string, url string, subcommittees array<struct<thomas_id:string,name:string>>"
 
 
-def committees(spark: SparkSession, path: str) -> DataFrame:
+def committees(spark: SparkSession, path: str | list[str]) -> DataFrame:
     c = spark.read.schema(COMMITTEE).json(path)
     main = c.select(F.col("thomas_id").alias("committee_code"), "name", F.col("type").alias("chamber"), F.lit(None).cast("string").alias("parent_code"), "url")
     sub = c.select("*", F.explode("subcommittees").alias("s")).select(F.concat("thomas_id", "s.thomas_id").alias("committee_code"), F.col("s.name").alias("name"), F.col("type").alias("chamber"), F.col("thomas_id").alias("parent_code"), F.lit(None).cast("string").alias("url"))
     return main.unionByName(sub)
 
 
-def committee_members(spark: SparkSession, path: str) -> DataFrame:
+def committee_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Assignments of a landed map from committee to members."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<struct<bioguide:string,party:string,rank:int,title:string>>>").alias("m"))
     each = rows.select(F.explode("m").alias("committee_code", "ms")).select("committee_code", F.explode("ms").alias("m"))
@@ -213,27 +214,53 @@ def committee_members(spark: SparkSession, path: str) -> DataFrame:
 SOCIAL = "id struct<bioguide:string>, social struct<twitter:string,twitter_id:string,youtube:string,youtube_id:string,instagram:string,instagram_id:string,facebook:string>"
 
 
-def social_handles(spark: SparkSession, path: str) -> DataFrame:
+def social_handles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     s = spark.read.schema(SOCIAL).json(path).select(F.col("id.bioguide").alias("bioguide_id"), "social.*")
     s = s.withColumns({c: F.col(c).try_cast("bigint") for c in ("twitter_id", "instagram_id")})
     return s.filter(F.coalesce(*[F.col(c).cast("string") for c in s.columns[1:]]).isNotNull())
 
 
-PACKAGE = r"^BILLS-(\d+)(hr|s|hjres|sjres|hconres|sconres|hres|sres)(\d+)([a-z]+\d*)\.(?:xml|htm)$"
+PACKAGE = r"(?i)^BILLS-(\d+)(hr|s|hjres|sjres|hconres|sconres|hres|sres)(\d+)([a-z][a-z0-9]*)\.(?:xml|html?|pdf)$"
 
 
-def text_listing(spark: SparkSession, path: str) -> DataFrame:
-    """The newest entry of each package of landed listings {"files": [...]}, with its bill and version."""
+def text_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The newest entry of each package of landed listings {"files": [...]}, with its bill and version; undated ones are the oldest."""
     files = spark.read.schema("files array<struct<name:string,formattedLastModifiedTime:string>>").option("multiLine", True).json(path).select(F.explode("files").alias("f")).select("f.*")
     part = lambda i: F.regexp_extract("name", PACKAGE, i)
-    files = files.filter(F.col("name").rlike(PACKAGE)).select(F.regexp_replace("name", r"\.\w+$", "").alias("package"), F.concat_ws(":", part(1), part(2), part(3)).alias("bill_id"), part(4).alias("version_code"), "name", F.try_to_timestamp("formattedLastModifiedTime", F.lit("dd-MMM-yyyy HH:mm")).alias("last_modified"))
+    files = files.filter(F.col("name").rlike(PACKAGE)).select(F.regexp_replace("name", r"\.\w+$", "").alias("package"), F.concat_ws(":", part(1), F.lower(part(2)), part(3)).alias("bill_id"), F.lower(part(4)).alias("version_code"), "name", F.try_to_timestamp("formattedLastModifiedTime", F.lit("dd-MMM-yyyy HH:mm")).alias("last_modified"))
     return files.groupBy("package").agg(F.max(F.struct("last_modified", "name", "bill_id", "version_code")).alias("m")).select("package", "m.*")
 
 
+def listed_texts(listing: DataFrame, landed: str, held: DataFrame, frontier: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(texts, frontier): rows of the table of texts that a listing (as text_listing gives it) has newly, and how far each slot is read.
+
+    landed is the folder of the fetched bodies, {package}.htm or, if there is none, {package}.xml. A slot is a congress and
+    type; frontier (slot, last_modified) says up to which moment its entries have been taken, and only later ones are (an
+    undated one is, while its slot has no frontier). Versions that held (bill_id, version_code) has aren't read again. A body
+    is cleaned to lines without a printed page's furniture; one without any line is left out. The new frontier has each
+    slot's latest entry, with or without a usable body, and never goes back.
+    """
+    from ..text.clean import text_lines
+
+    root = landed.rstrip("/")
+    slot = F.regexp_extract("bill_id", "^([^:]+:[^:]+):", 1)
+    seen = frontier.select(F.col("slot"), F.col("last_modified").alias("__seen"))
+    later = listing.withColumn("slot", slot).join(seen, "slot", "left").filter(F.col("__seen").isNull() | (F.col("last_modified") > F.col("__seen")))
+    todo = later.join(held.select("bill_id", "version_code").distinct(), ["bill_id", "version_code"], "left_anti")
+    todo = todo.select("bill_id", "version_code", "package", "last_modified", *[F.concat(F.lit(f"{root}/"), "package", F.lit(e)).alias("__" + e[1:]) for e in (".htm", ".xml")])
+    read = texttree.first_text(todo, ["__htm", "__xml"], "__raw", "source_url").filter("__raw IS NOT NULL")
+    lines = read.withColumn("__lines", text_lines(F.col("__raw"), furniture=True)).filter("__lines <> ''")
+    body = F.concat("__lines", F.lit("\n"))
+    code = F.col("version_code")
+    texts = lines.select("bill_id", code, tables.version_label(code, code).alias("version_label"), body.alias("body"), F.size(F.split("__lines", "\n")).alias("line_count"), F.sha2(body, 256).alias("sha256"), "package", "source_url", "last_modified", (F.current_timestamp() if now is None else now).alias("fetched_at"))
+    ends = later.groupBy("slot").agg(F.max("last_modified").alias("last_modified")).unionByName(frontier.select("slot", "last_modified"))
+    return texts, ends.groupBy("slot").agg(F.max("last_modified").alias("last_modified")).filter("last_modified IS NOT NULL")
+
+
 BILL = "bill struct<congress:int,type:string,number:string,title:string,introducedDate:string,sponsors:array<struct<bioguideId:string>>,latestAction:struct<text:string,actionDate:string>,policyArea:struct<name:string>,cosponsors:struct<count:int>>"
 
 
-def bill_details(spark: SparkSession, path: str) -> DataFrame:
+def bill_details(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of the table of bills from landed details {"bill": ...}; of a bill that is there twice that with the latest action."""
     b = spark.read.schema(BILL).json(path).select("bill.*")
     day = lambda c: F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
@@ -246,7 +273,7 @@ PARTS = """request struct<congress:int,billType:string,billNumber:string>, cospo
 actions array<struct<actionDate:string,actionCode:string,type:string,text:string,committees:array<struct<name:string>>>>"""
 
 
-def bill_parts(spark: SparkSession, path: str) -> DataFrame:
+def bill_parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Events of landed pages of a bill's cosponsors or actions, which name the bill in their request."""
     p = spark.read.schema(PARTS).json(path).withColumn("bill_id", F.concat_ws(":", F.col("request.congress").cast("string"), F.lower("request.billType"), "request.billNumber"))
     c = p.select("bill_id", F.explode("cosponsors").alias("c"))
@@ -260,7 +287,7 @@ def bill_parts(spark: SparkSession, path: str) -> DataFrame:
 TOTALS = "results array<struct<candidate_id:string,cycle:int,receipts:string,disbursements:string,last_cash_on_hand_end_period:string,last_debts_owed_by_committee:string,individual_contributions:string,coverage_start_date:string,coverage_end_date:string,last_report_type_full:string>>"
 
 
-def funding_totals(spark: SparkSession, path: str, resolved: DataFrame) -> DataFrame:
+def funding_totals(spark: SparkSession, path: str | list[str], resolved: DataFrame) -> DataFrame:
     """Rows of the table of totals from landed pages, by resolved ids (bioguide_id, cycle, fec_id); those of unknown candidates are left out."""
     t = spark.read.schema(TOTALS).json(path).select(F.explode("results").alias("t")).select("t.*")
     money = lambda c, name: F.col(c).try_cast("decimal(18,3)").alias(name)
@@ -280,26 +307,9 @@ def resolved_candidates(members: DataFrame, cached: DataFrame, by_name: DataFram
     return m.select("bioguide_id", "cycle", F.when(F.col("__is_cached"), F.col("__cached")).otherwise(F.coalesce(own, "__found")).alias("fec_id"), source.alias("source"))
 
 
-MANIFEST = "bill_id string, versions array<struct<code:string,label:string,package:string,source_url:string,last_modified:string>>"
-
-
 def bill_texts(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the table of texts from a tree {bill}/manifest.json and {bill}/{code}.txt: a row for each version that has both."""
-    where = lambda c: F.regexp_extract(c, r"([^/]+)/[^/]+$", 1)
-    listed = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(root)
-    listed = listed.select("bill_id", where(F.col("_metadata.file_path")).alias("folder"), F.explode("versions").alias("v")).select("bill_id", "folder", "v.*")
-    body = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    body = body.select(where(F.col("_metadata.file_path")).alias("folder"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("code"), F.col("value").alias("body"))
-    return listed.join(body, ["folder", "code"]).select("bill_id", F.col("code").alias("version_code"), tables.version_label(F.col("code"), F.col("label")).alias("version_label"), "body", F.size(F.split("body", "\n")).alias("line_count"), F.sha2("body", 256).alias("sha256"), "package", "source_url", civic.iso_time(F.col("last_modified")).alias("last_modified"))
-
-
-def manifests(texts: DataFrame) -> DataFrame:
-    """(bill_id, manifest): each bill's versions, one a code, in the order of a bill's way, as the manifest's JSON; its texts are written beside it by code."""
-    rank = F.array_position(F.array(*[F.lit(c) for c in tables.VERSIONS]), F.col("version_code"))
-    once = latest_per_key(texts, ["bill_id", "version_code"], [F.col("last_modified")])
-    each = F.struct(F.when(rank == 0, 999).otherwise(rank).alias("r"), F.col("version_code").alias("code"), F.col("version_label").alias("label"), "package", "source_url", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
-    per = once.groupBy("bill_id").agg(F.sort_array(F.collect_list(each)).alias("v"))
-    return per.select("bill_id", F.to_json(F.struct("bill_id", F.transform("v", lambda x: x.dropFields("r")).alias("versions"))).alias("manifest"))
+    """Rows of the table of texts from the tree {congress}/{type}/{number}: a row for each version that has an entry and a text."""
+    return texttree.ingested(spark, root)
 
 
 def landed(spark: SparkSession, roots: list[str], name: str, schema: str) -> DataFrame:
@@ -310,10 +320,3 @@ def landed(spark: SparkSession, roots: list[str], name: str, schema: str) -> Dat
         if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             found.append(f"{root}/{name}")
     return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
-
-
-SOURCES = {s.name: s for s in (
-    Source("congress_rollcalls", house_votes), Source("govinfo_billstatus", lambda s, p: bill_status(s, p)[1]), Source("lda_senate", lambda s, p: lobbying_filings(s, p)[1]),
-    Source("congress_committee_meetings", committee_meetings), Source("congress_amendments", amendments, 4), Source("congress_bill_summaries", bill_summaries, 4), Source("legislators", legislators), Source("committees", committees),
-    Source("social", social_handles), Source("text_listing", text_listing), Source("congress_bills", bill_parts), Source("bill_texts", bill_texts),
-)}

@@ -43,11 +43,20 @@ def test_lobbying(spark, tmp_path):
 
 
 def test_speeches(spark, tmp_path):
-    path = put(tmp_path, "m.xml", """<mods xmlns="http://www.loc.gov/mods/v3"><relatedItem type="constituent"><titleInfo><title>T</title></titleInfo><identifier type="preferred citation">171 Cong. Rec. H1</identifier><part><extent><start>H1</start><end>H2</end></extent></part>
-<extension><granuleClass>HOUSE</granuleClass><accessId>G1</accessId><congMember bioGuideId="A1" congress="119" role="SPEAKING" party="D" state="OH"/></extension></relatedItem>
-<relatedItem type="constituent"><titleInfo><title>Digest</title></titleInfo><extension><granuleClass>DAILYDIGEST</granuleClass><accessId>G2</accessId></extension></relatedItem></mods>""")
-    rows = readers.floor_speeches(spark, path, "2025-01-10").collect()
-    assert [(r.entity_id, r.source_id, json.loads(r.payload)["citation"]) for r in rows] == [("bioguide:A1", "G1:A1", "171 Cong. Rec. H1")]
+    (tmp_path / "day=2025-01-10").mkdir()
+    put(tmp_path / "day=2025-01-10", "m.xml", """<mods xmlns="http://www.loc.gov/mods/v3" xmlns:xlink="http://www.w3.org/1999/xlink"><relatedItem type="constituent"><titleInfo><title> T </title></titleInfo><identifier type="preferred citation">171 Cong. Rec. H1</identifier><part><extent><start>H1</start><end>H2</end></extent></part>
+<extension><granuleClass>HOUSE</granuleClass><accessId>G1</accessId><congMember bioGuideId="A1" congress="119" role="SPEAKING" party="D" state="OH"/><congMember bioGuideId="A2" congress="x"/><congMember bioGuideId=" "/>
+<isReferringTo type="bill" ID="119hr1"/><isReferringTo type="usc" ID="42"/><isReferringTo type="other" ID="BILL-5"/><isReferringTo type="law" xlink:href="#l"/><isReferringTo type="publiclaw"> Public Law 1 </isReferringTo></extension></relatedItem>
+<relatedItem type="constituent"><titleInfo><title>Digest</title></titleInfo><extension><granuleClass>DAILYDIGEST</granuleClass><accessId>G2</accessId><congMember bioGuideId="A1"/></extension></relatedItem>
+<relatedItem type="constituent"><extension><granuleClass>SENATE</granuleClass><accessId>G3</accessId></extension></relatedItem>
+<relatedItem type="host"><extension><granuleClass>SENATE</granuleClass><accessId>G4</accessId><congMember bioGuideId="A1"/></extension></relatedItem>
+<relatedItem type="constituent"><extension><granuleClass>Extensions</granuleClass><accessId>G5</accessId><congMember bioGuideId="A3" role="RECORDER"/></extension></relatedItem></mods>""")
+    rows = {r.source_id: r for r in readers.floor_speeches(spark, f"file://{tmp_path}").collect()}
+    assert sorted(rows) == ["G1:A1", "G1:A2", "G5:A3"] and {str(r.occurred_at) for r in rows.values()} == {"2025-01-10 12:00:00"}
+    first, second, third = (json.loads(rows[k].payload) for k in sorted(rows))
+    assert (first["citation"], first["title"], first["chamber"], first["congress"], first["page_start"], first["page_end"], first["speaker_count"]) == ("171 Cong. Rec. H1", "T", "house", 119, "H1", "H2", 3)
+    assert first["bill_refs"] == [{"type": "bill", "ref": "119hr1"}, {"type": "other", "ref": "BILL-5"}, {"type": "law", "ref": "#l"}, {"type": "publiclaw", "ref": "Public Law 1"}]
+    assert first["granule_url"].endswith("/CREC-2025-01-10/G1") and second["congress"] is None and second["party"] == "" and third["bill_refs"] is None and third["chamber"] == "extensions"
 
 
 def test_json_tables(spark, tmp_path):
@@ -67,7 +76,9 @@ def test_json_tables(spark, tmp_path):
     assert [x.bioguide_id for x in readers.social_handles(spark, put(tmp_path, "h.json", h)).collect()] == ["A1"]
     f = {"files": [{"name": "BILLS-119hr1234ih.xml", "formattedLastModifiedTime": "10-Jan-2025 20:36"}, {"name": "BILLS-119hr1234ih.htm", "formattedLastModifiedTime": "09-Jan-2025 20:36"}, {"name": "x.txt"}]}
     assert [(x.bill_id, x.version_code, x.name) for x in readers.text_listing(spark, put(tmp_path, "f.json", json.dumps(f))).collect()] == [("119:hr:1234", "ih", "BILLS-119hr1234ih.xml")]
-    assert readers.SOURCES["congress_amendments"].overlap_days == 4
+    odd = [("BILLS-119hr1234eh1s.xml", "10-Jan-2025 20:36"), ("bills-119S5ES2.HTM", ""), ("BILLS-119hconres7rfs2.pdf", "11-Jan-2025 00:00"), ("BILLS-119hr1234.xml", "11-Jan-2025 00:00"), ("BILLS-119xx1ih.xml", "x"), ("BILLS-119hjres1ih.doc", "x")]
+    f = {"files": [{"name": n, "formattedLastModifiedTime": t} for n, t in odd]}
+    assert {(x.bill_id, x.version_code) for x in readers.text_listing(spark, put(tmp_path, "g.json", json.dumps(f))).collect()} == {("119:hr:1234", "eh1s"), ("119:s:5", "es2"), ("119:hconres:7", "rfs2")}
 
 
 def test_ratings(spark, tmp_path):
@@ -100,14 +111,6 @@ def test_funding(spark, tmp_path):
     assert [(r.bioguide_id, float(r.receipts), str(r.coverage_end)) for r in rows] == [("A", 12.5, "2024-12-31")]
 
 
-def test_texts_and_roots(spark, tmp_path):
-    (tmp_path / "119-hr-1").mkdir()
-    versions = [{"code": c, "label": c, "package": "p", "source_url": "u", "last_modified": "2025-01-02"} for c in ("enr", "ih", "zz")]
-    put(tmp_path / "119-hr-1", "manifest.json", json.dumps({"bill_id": "119:hr:1", "versions": versions}))
-    for c in ("ih", "enr"):
-        put(tmp_path / "119-hr-1", f"{c}.txt", f"text {c}\nline")
-    texts = readers.bill_texts(spark, f"file://{tmp_path}")
-    assert {(r.bill_id, r.version_code, r.version_label, r.line_count) for r in texts.collect()} == {("119:hr:1", "ih", "Introduced in House", 2), ("119:hr:1", "enr", "Enrolled Bill", 2)}
-    assert [v["code"] for v in json.loads(readers.manifests(texts.union(texts)).first().manifest)["versions"]] == ["ih", "enr"]
+def test_roots(spark, tmp_path):
     spark.range(3).write.parquet(f"file://{tmp_path}/a/t")
     assert [readers.landed(spark, [f"file://{tmp_path}/{r}" for r in roots], "t", "id long").count() for roots in (["a"], ["a", "b"], ["b"])] == [3, 3, 0]
