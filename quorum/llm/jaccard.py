@@ -3,8 +3,9 @@
 Equal sets are one class. Prefixes of each set in one global order (rare shingles first) are dealt by shingle; in each
 list, sorted by size, blocks whose sizes or positions can't reach the threshold are skipped. In a long list sets are first
 compared with a leader: those similar to it take over its answers, and only pairs of sets that are still in different
-components are looked at again. So no link that could join two components stays unseen, and no list of near copies
-is expanded into all pairs.
+components are looked at again: first each with some members of the largest component, then with the few that are nearest
+to it, and what is still apart then with all that sizes and sketches allow. So no link that could join two components
+stays unseen, and no list of near copies is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ FIRST_LISTS = 8
 #: Rows of a list that one task takes at once; a shingle that may be in more is dealt over several tasks.
 LIST_ROWS = 100_000
 #: Sets of a list that ask and sets that are asked, in one task: longer lists are cut into blocks, and pairs of blocks dealt.
-ASKING, ASKED = 256, 1024
+ASKING, ASKED = 1024, 4096
+#: Elements of a set that count as a row of a block: a block holds fewer of the larger sets.
+ELEMENTS = 8192
+#: Sets that a set is compared with, the nearest by their sketches, before it is with all that these don't rule out.
+NEAREST = 8
 #: Fingerprints that a task remembers so as not to tell a set twice.
 REMEMBERED = 1_000_000
 
@@ -242,7 +247,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def dealt_pairs(rows: DataFrame, percent: int, asking: int = ASKING, asked: int = ASKED) -> DataFrame:
-    """(a, b), a < b: pairs of sets in a list that sizes and sketches don't rule out: one that asks and one that is asked, with other labels.
+    """(a, b, asker, near), a < b: pairs of sets in a list that sizes and sketches don't rule out: one that asks and one that is asked, with other labels; and how similar they are at most.
 
     rows: (g, fp, n, label, bits, gs, asks, is_asked, n_asks, n_asked); the last two are numbers of such rows in g. Lists are cut into blocks by hash, and pairs of blocks
     are dealt, so a list of whatever length goes to as many tasks as it needs. gs: lists of a set; a pair is told by the
@@ -258,7 +263,7 @@ def dealt_pairs(rows: DataFrame, percent: int, asking: int = ASKING, asked: int
 
     def pairs(batches):
         for (_, g, f, n, label, bits, gs, asks, asking_), starts, ends in _whole_lists(batches):
-            a, b = [], []
+            a, b, asker, near = [], [], [], []
             for s, e in zip(starts, ends, strict=True):
                 q, p = s + np.flatnonzero(asking_[s:e]), s + np.flatnonzero(~asking_[s:e].astype(bool))
                 if not len(q) or not len(p):
@@ -272,15 +277,21 @@ def dealt_pairs(rows: DataFrame, percent: int, asking: int = ASKING, asked: int
                         ok = (label[p[at]] != label[j]) & (100 * np.minimum(k[at], m) >= percent * np.maximum(k[at], m)) & (~asks[p[at]].astype(bool) | (f[p[at]] < f[j]))
                         i = np.flatnonzero(ok)
                         if len(i):
-                            i = i[most_overlap(x[i], k[at[i]], np.frombuffer(bits[j], np.uint8), m) >= least_overlap(k[at[i]], m, percent)]
-                            i = i[[min(lists_of[y] & lists_of[j], default=g[j]) == g[j] for y in p[at[i]]]] if len(i) else i
+                            most = most_overlap(x[i], k[at[i]], np.frombuffer(bits[j], np.uint8), m)
+                            i, most = (y[most >= least_overlap(k[at[i]], m, percent)] for y in (i, most))
+                        if len(i):
+                            first = [min(lists_of[y] & lists_of[j], default=g[j]) == g[j] for y in p[at[i]]]
+                            i, most = i[first], most[first]
+                            asker.append(np.full(len(i), f[j]))
+                            near.append(most / (k[at[i]] + m - most))
                             a.append(np.minimum(f[p[at[i]]], f[j]))
                             b.append(np.maximum(f[p[at[i]]], f[j]))
             if a:
-                told = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                yield _rows(["a", "b"], told[:, 0], told[:, 1])
+                told = [np.concatenate(x) for x in (a, b, asker, near)]
+                yield _rows(["a", "b", "asker", "near"], *told)
 
-    return both.repartition("l").sortWithinPartitions("l").mapInArrow(pairs, "a long, b long").distinct()
+    found = both.repartition("l").sortWithinPartitions("l").mapInArrow(pairs, "a long, b long, asker long, near double")
+    return found.distinct()
 
 
 def _whole_lists(batches):
@@ -299,15 +310,16 @@ def _whole_lists(batches):
 
 
 def residual(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, leaders: int | None) -> DataFrame:
-    """(a, b): pairs of sets of long lists (g, fp, n) in different components that sizes and sketches don't rule out.
+    """(a, b, asker, near): pairs of sets of long lists (g, fp, n) in different components that sizes and sketches don't rule out.
 
     Sets outside a list's largest component ask: with leaders, so many members of that component, in lists where it has twice
     as many; else all other sets.
     """
     rows = long.distinct().join(labels, long["fp"] == labels["node"], "left").select("g", "fp", "n", F.coalesce("component", "fp").alias("label"))
     rows = stored(rows, "labelled")
-    shares = rows.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("labels"), F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("largest"))
-    split = shares.filter((F.col("labels") > 1) & (F.col("most") >= (0 if leaders is None else 2 * leaders))).select(F.col("g").alias("g2"), "largest", (F.col("size") - F.col("most")).alias("n_asks"), "size")
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("n") / ELEMENTS)).cast("long")  # in rows of a block
+    shares = rows.groupBy("g", "label").agg(F.count("*").alias("c"), weight.alias("w")).groupBy("g").agg(F.count("*").alias("labels"), F.sum("w").alias("size"), F.max(F.struct("c", "label", "w")).alias("most"))
+    split = shares.filter((F.col("labels") > 1) & (F.col("most.c") >= (0 if leaders is None else 2 * leaders))).select(F.col("g").alias("g2"), F.col("most.label").alias("largest"), (F.col("size") - F.col("most.w")).alias("n_asks"), "size")
     rows = rows.join(sized(stored(split, "split-lists"), 500_000), F.col("g") == F.col("g2")).drop("g2")
     asks = F.col("label") != F.col("largest")
     if leaders is None:
@@ -390,13 +402,21 @@ def linked_sets(docs: DataFrame, k: int, percent: int, id_col: str, text: str, r
     labels = components(links)
     long = found.filter("g IS NOT NULL").select("g", F.col("a").alias("fp"), "n")
     told = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for leaders in (LEADERS, None):
-        more = stored(residual(long, labels, classes, percent, leaders).join(told, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            told = told.union(more)
-            more = verified(more, classes, docs, k, percent, id_col, text)
-            if not more.isEmpty():
-                labels = _joined(labels, more)
+
+    def after(pairs: DataFrame) -> DataFrame:
+        """The labels after those of the stored pairs that link."""
+        links = None if pairs.isEmpty() else verified(pairs, classes, docs, k, percent, id_col, text)
+        return labels if links is None or links.isEmpty() else _joined(labels, links)
+
+    new = stored(residual(long, labels, classes, percent, LEADERS).select("a", "b").distinct().join(told, ["a", "b"], "left_anti"), "pairs")
+    labels, told = after(new), told.union(new)
+    place = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("near"), "a", "b"))
+    left = stored(residual(long, labels, classes, percent, None).join(told, ["a", "b"], "left_anti").withColumn("place", place), "left")
+    # a set that links at all mostly does so with one of its nearest; then most of its other pairs are within a component
+    labels = after(stored(left.filter(F.col("place") <= NEAREST).select("a", "b").distinct(), "pairs"))
+    of = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"l{c}"))
+    rest = left.filter(F.col("place") > NEAREST).select("a", "b").distinct().join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
+    labels = after(stored(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "pairs"))
     return sets.join(labels, F.col("fp") == F.col("node"), "left").select("doc", "row", "n", "fp", F.coalesce("component", "fp").alias("label"))
 
 
@@ -442,7 +462,7 @@ def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     none = F.array().cast("array<bigint>")
     rows = rows.join(size, F.col("g") == F.col("g2")).join(classes.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"))
     rows = rows.select("g", "fp", "n", F.col("fp").alias("label"), "bits", none.alias("gs"), F.lit(True).alias("asks"), F.lit(True).alias("is_asked"), F.col("size").alias("n_asks"), F.col("size").alias("n_asked"))
-    pairs = stored(dealt_pairs(rows, percent, asking, asked), "pairs")
+    pairs = stored(dealt_pairs(rows, percent, asking, asked).select("a", "b").distinct(), "pairs")
     return verified(pairs, classes, docs, k, percent, id_col, text), members.select("doc", "n", "fp")
 
 
