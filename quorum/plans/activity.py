@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.grids import banded, daily_intensity, dense, weighted, week_place
 from ..schemas import table
-from .registry import query
+from ..text import render
+from .registry import ORACLE_SQL, query
 
 WEIGHTS = {"click": 1.0, "view": 0.25, "signup": 2.0, "purchase": 3.0, "error": -0.5}
 BREAK_WEIGHT = 5.0
@@ -160,3 +161,12 @@ def high_watermarks(spark, sf_dir):
 @query("SELECT event_id, event_type, (props->>'k')::INT AS k, event_type = 'purchase' AND (props->>'k')::INT >= 90 AS party_break FROM events")
 def json_shred(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", k().alias("k"), ((F.col("event_type") == "purchase") & broken()).alias("party_break"))
+
+
+@query(f"""WITH b AS ({ORACLE_SQL["activity_grid_dense_bands"]}), s AS (SELECT min(day) AS a, max(day) AS z FROM b),
+d AS (SELECT unnest(generate_series(a - extract(dow FROM a)::INT, z + (6 - extract(dow FROM z))::INT, INTERVAL 1 DAY))::DATE AS day FROM s)
+SELECT user_id, string_agg(line, chr(10) ORDER BY dow) AS text FROM (SELECT u.user_id, extract(dow FROM d.day) AS dow, string_agg(CASE WHEN b.band IS NULL THEN ' ' ELSE ['·', '░', '▒', '▓', '█'][b.band + 1] END, '' ORDER BY d.day) AS line
+FROM (SELECT DISTINCT user_id FROM b) u CROSS JOIN d LEFT JOIN b ON b.user_id = u.user_id AND b.day = d.day GROUP BY ALL) GROUP BY user_id""")
+def grid_text(spark, sf_dir):
+    """All members' grids as text, seven lines each."""
+    return render.as_text(activity_grid_dense_bands(spark, sf_dir), "user_id")

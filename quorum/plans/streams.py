@@ -73,4 +73,4 @@ def cleaned_pages(spark, sf_dir):
 @query()
 def version_diffs(spark, sf_dir):
     lines = table(spark, sf_dir, "conversations").withColumn("body", F.regexp_replace("text", r"\. ", ".\n"))
-    return version_changes(lines, "conv_id", "turn", "body").select("conv_id", "from", "to", "added", "removed", "unchanged")
+    return version_changes(lines, "conv_id", "turn", "body", scratch(spark, "changes")).select("conv_id", "from", "to", "added", "removed", "unchanged")

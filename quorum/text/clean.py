@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
+from ..operators import results
+
 # Elements whose content is no text, those that begin a line, entities by name, and lines that are page furniture.
 SILENT = ("script", "style", "head", "title")
 BLOCKS = ("p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "section")
@@ -91,10 +93,25 @@ def packed_in_order(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step)["out"]
 
 
-def version_changes(docs: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, from, to, html, added, removed, unchanged): each key's last version against the one before it; its only one against nothing."""
+def last_two(docs: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, from, to, old, new): the places and texts of each key's last version and of the one before it; its only one has nothing before it."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(text)))  # each task keeps two rows a key before any are dealt
     last = docs.select(key, order, text, place.alias("__place")).filter("__place <= 2")
     version = lambda k: F.max(F.when(F.col("__place") == k, F.struct(order, text)))
     last = last.groupBy(key).agg(version(1).alias("to"), version(2).alias("before"))
-    return last.select(key, F.col("before")[order].alias("from"), F.col("to")[order].alias("to"), diff(F.col("before")[text], F.col("to")[text]).alias("d")).select(key, "from", "to", "d.*")
+    return last.select(key, F.col("before")[order].alias("from"), F.col("to")[order].alias("to"), F.col("before")[text].alias("old"), F.col("to")[text].alias("new"))
+
+
+def version_changes(docs: DataFrame, key: str, order: str, text: str, store: str | None = None, now: Column | None = None) -> DataFrame:
+    """(key, from, to, html, added, removed, unchanged): each key's last version against the one before it; its only one against nothing.
+
+    With a store (a path) a pair of texts is compared once, whatever keys and versions have it, and its result kept by both digests.
+    """
+    pairs = last_two(docs, key, order, text)
+    if store is None:
+        return pairs.select(key, "from", "to", diff(F.col("old"), F.col("new")).alias("d")).select(key, "from", "to", "d.*")
+    digests = ["from_digest", "to_digest"]
+    asked = pairs.withColumns({d: F.sha2(F.coalesce(c, F.lit("")), 256) for d, c in zip(digests, ("old", "new"), strict=True)})
+    compared = lambda rows: rows.select(*digests, diff(F.col("old"), F.col("new")).alias("d")).select(*digests, "d.*")
+    found = results.computed(asked, digests, store, compared, F.current_timestamp() if now is None else now)
+    return found.select(key, "from", "to", "html", "added", "removed", "unchanged")
