@@ -100,8 +100,8 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 def packed(found: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """A stored table of pieces and sequence_id and offset.
 
-    Pieces of the full length are sequences by themselves. The others are dealt round into groups of about the given number,
-    whatever their document, and each group is packed by itself.
+    Pieces of the full length are sequences by themselves. The others are dealt by a hash of their row's number into groups of
+    about the given number, whatever their document, and each group is packed by itself.
     """
     columns = found.columns
     whole = found.filter(F.col("length") == length).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -114,7 +114,7 @@ def packed(found: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
         return pa.table([*[table.column(c) for c in columns], pa.array(ids), pa.array(offsets)], [*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{n} {k}" for n, k in found.dtypes) + ", sequence_id long, offset long"
-    dealt = part.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    dealt = part.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # the numbers themselves begin anew at multiples of 2^33
     return whole.union(dealt.groupBy("g").applyInArrow(pack, schema))
 
 
