@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from importlib.resources import files
 
 import numpy as np
@@ -173,6 +174,8 @@ class Index:
 
 def matches(ix: Index, words: np.ndarray, at: np.ndarray, keys: np.ndarray, band: int, least_percent: int) -> list[tuple]:
     """(template, matched, first, end) of a text's words from its hits: what is best at each place, in order."""
+    if not len(at):
+        return []
     n = ix.starts[keys + 1] - ix.starts[keys]
     i = np.repeat(ix.starts[keys] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     of, diagonal = ix.of[i], np.repeat(at, n) - ix.place[i]
@@ -215,30 +218,63 @@ def matches(ix: Index, words: np.ndarray, at: np.ndarray, keys: np.ndarray, band
 
 
 def chained(t: int, size: int, parts: list[tuple[int, int, int, int]], least_percent: int) -> list[tuple[int, int, int, int]]:
-    """(t, matched, first, end): aligned segments (first, end, number, matched) of a template put together in order while enough of its words match."""
-    out = []
-    while parts:
-        best, back = [0] * len(parts), [-1] * len(parts)
-        for j, (first, _, s, m) in enumerate(parts):
-            best[j] = m
-            for i in range(j - 1, -1, -1):
-                if first - parts[i][0] > 2 * size + SEGMENT:
-                    break
-                both = max(0, parts[i][1] - first)  # words that ends of neighbours may share, which count once
-                if parts[i][2] < s and both <= BAND and first - parts[i][1] <= (s - parts[i][2]) * 4 * SEGMENT and best[i] + m - both > best[j]:
-                    best[j], back[j] = best[i] + m - both, i
-        top = max(range(len(parts)), key=lambda j: best[j])
+    """(t, matched, first, end): aligned segments (first, end, number, matched) of a template put together in order while enough of its words match.
+
+    parts are in order. The chain with the most words is taken out with all parts that it overlaps, again and again. What
+    is best for a part is found anew only where the part before it has gone or has become worse, so many copies in one text
+    cost time in proportion to their number.
+    """
+    best, back, after, gone = [0] * len(parts), [-1] * len(parts), defaultdict(set), [False] * len(parts)
+
+    def solve(j):
+        first, _, s, m = parts[j]
+        most, before = m, -1
+        for i in range(j - 1, -1, -1):
+            if first - parts[i][0] > 2 * size + SEGMENT:
+                break
+            both = max(0, parts[i][1] - first)  # words that ends of neighbours may share, which count once
+            if not gone[i] and parts[i][2] < s and both <= BAND and first - parts[i][1] <= (s - parts[i][2]) * 4 * SEGMENT and best[i] + m - both > most:
+                most, before = best[i] + m - both, i
+        after[back[j]].discard(j)
+        after[before].add(j)
+        best[j], back[j] = most, before
+
+    for j in range(len(parts)):
+        solve(j)
+    out, tops = [], [(-n, j) for j, n in enumerate(best)]
+    heapify(tops)
+    longest = max((p[1] - p[0] for p in parts), default=0)
+    while tops:
+        most, top = heappop(tops)
+        if gone[top] or -most != best[top]:
+            continue
         if 100 * best[top] < least_percent * size:
             break
-        chain, j = [], top
-        while j >= 0:
-            chain.append(j)
-            j = back[j]
-        out.append((t, best[top], parts[chain[-1]][0], parts[top][1]))
+        start = top
+        while back[start] >= 0:
+            start = back[start]
+        first, end = parts[start][0], parts[top][1]
+        out.append((t, best[top], first, end))
         if size <= SEGMENT:  # each part is a match by itself
             out += [(t, p[3], p[0], p[1]) for k, p in enumerate(parts) if k != top and 100 * p[3] >= least_percent * size]
             break
-        parts = [p for k, p in enumerate(parts) if p[1] <= out[-1][2] or p[0] >= out[-1][3]]
+        worse: set[int] = set()
+        for k in range(bisect_left(parts, (first - longest,)), bisect_left(parts, (end,))):
+            if not gone[k] and parts[k][1] > first:
+                gone[k] = True
+                worse |= after[k]
+        left = sorted(worse)  # a sorted list is a heap
+        while left:
+            j = heappop(left)
+            if gone[j]:
+                continue
+            was = best[j]
+            solve(j)
+            if best[j] < was:
+                heappush(tops, (-best[j], j))
+                for k in after[j] - worse:
+                    worse.add(k)
+                    heappush(left, k)
     return out
 
 
