@@ -8,6 +8,7 @@ text is read; all others are joined by a shuffle.
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import documents, most_frequent, stored
 from .tokens import SPECIAL, file_tokenizer, vocabulary
 
-#: Pre-tokens that are broadcast, and characters of the longest of them: 300,000 * 24 characters bound the broadcast.
+#: Pre-tokens that are broadcast, and characters of the longest that are so as text: 300,000 * 24 characters bound the broadcast, longer ones are digests of 16 bytes.
 MOST_FREQUENT, MOST_CHARS = 300_000, 24
 #: Distinct pre-tokens that a task holds at once.
 HELD = 400_000
@@ -73,8 +74,11 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str |
     nor tokens; repeated rows and ids are rows of their own; extra columns aren't read.
     """
     known = pre_token_pieces(docs, name, folder, text)
-    top = most_frequent(known.filter(F.length("pre") <= MOST_CHARS), "n", most_kept).select("pre", "pieces").toPandas()
-    frequent = docs.sparkSession.sparkContext.broadcast(dict(zip(top["pre"], top["pieces"].tolist(), strict=True)))
+    short = F.length("pre") <= MOST_CHARS
+    key = F.when(short, F.encode("pre", "UTF-8")).otherwise(F.unhex(F.substring(F.sha2("pre", 256), 1, 32)))
+    top = most_frequent(known, "n", most_kept).select(short.alias("short"), key.alias("key"), "pieces").toPandas()
+    keys = [bytes(k).decode() if s else bytes(k) for s, k in zip(top["short"], top["key"], strict=True)]
+    frequent = docs.sparkSession.sparkContext.broadcast(dict(zip(keys, top["pieces"].tolist(), strict=True)))
 
     def sums(batches):
         split, pieces = _splitter(name, folder), frequent.value
@@ -85,7 +89,7 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str |
                 found, total = split(t or "")
                 rare = Counter()
                 for x in found:
-                    n = pieces.get(x)
+                    n = pieces.get(x if len(x) <= MOST_CHARS else sha256(x.encode()).digest()[:16])
                     if n is None:
                         rare[x] += 1
                     else:
