@@ -23,6 +23,8 @@ from .components import components
 
 #: Vectors of a block; rows of a block that are compared at once; blocks of a tile, at most, and bytes of it.
 BLOCK, STRIP, TILE, TILE_BYTES = 2048, 256, 4, 32 << 20
+#: Tiles of one row that a strip has, once there are so many tiles for each of them; partitions that strips are dealt to.
+STRIP_TILES, MANY_TILES, PARTITIONS = 16, 512, 20_000
 #: Principal dimensions of the grid order and of the bounding boxes; further ones by which these are found.
 GRID_DIMS, BOX_DIMS, MORE_DIMS = 8, 24, 8
 
@@ -186,36 +188,49 @@ def _gap(lo, hi, lo2, hi2) -> float:
 def block_links(pairs: DataFrame, held: DataFrame, cosine: float, eps: float, axes: np.ndarray, dim: int, size: int, kind: str) -> DataFrame:
     """(rep, links, least): for each pair of near blocks (a, b) and vector that has links in it their number, copies counted, and the least id reached. Stored.
 
-    Pairs are put together to tiles; a task gets the blocks of both sides of a tile once and compares those whose boxes are near.
+    Pairs are put together to tiles, and tiles of one row to strips of up to STRIP_TILES. A strip's rows come sorted: first the
+    blocks of its row, which are held, then those of one tile after the other; those whose boxes are near are compared. A
+    partition has many strips, PARTITIONS of them at the most: rows are sorted on disk, and memory holds two sides of a tile.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(axes)
     side = max(1, min(TILE, TILE_BYTES // (size * dim * 8)))
 
     def compare(batches):
-        at, tile = None, []
+        strip, at, row, tile = None, None, [], []
 
         def told():
-            for k, a in enumerate(tile):
-                for b in tile[k:]:
-                    if (a[0] // side, b[0] // side) == at and _gap(*a[5], *b[5]) <= eps * eps:
+            own = row is tile
+            if own and strip[0] // tiles_of != strip[1]:  # the row's own tile is another strip's
+                return
+            for k, a in enumerate(row):
+                for b in tile[k:] if own else tile:
+                    if _gap(*a[5], *b[5]) <= eps * eps:
                         yield from _compared(a, b, cosine, eps)
 
         for batch in batches:
             for r in range(batch.num_rows):
-                u, v, block, ids, n, x = (c[r].as_py() for c in batch.columns)
-                if (u, v) != at:
-                    yield from told()
-                    at, tile = (u, v), []
+                u, w, t, block, ids, n, x = (c[r].as_py() for c in batch.columns)
+                if ((u, w), t) != (strip, at):
+                    if strip:
+                        yield from told()
+                    tile = []
+                    if (u, w) != strip:
+                        strip, row = (u, w), tile
+                    at = t
                 x = _unit(np.frombuffer(x, kind).reshape(-1, dim).astype(np.float64))
                 p = x @ shared.value[:, :BOX_DIMS]
                 tile.append((block, np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64), x, p, (p.min(axis=0), p.max(axis=0))))
-        yield from told()
+        if strip:
+            yield from told()
 
     tiles = stored(pairs.select(F.floor(F.col("a") / side).alias("u"), F.floor(F.col("b") / side).alias("v")).distinct(), "tiles")
-    wanted = tiles.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("t"))
+    count = tiles.count()
+    tiles_of = max(1, min(STRIP_TILES, count // MANY_TILES))
+    strips = F.floor(F.col("v") / tiles_of).alias("w")
+    wanted = tiles.select("u", strips, F.explode(F.array("u", "v")).alias("t")).distinct()
     blocks_of = held.select(F.floor(F.col("block") / side).alias("t2"), "block", "ids", "counts", "x")
-    both = wanted.join(blocks_of, F.col("t") == F.col("t2")).select("u", "v", "block", "ids", "counts", "x")
-    both = both.repartition(max(1, tiles.count()), "u", "v").sortWithinPartitions("u", "v", "block")
+    both = wanted.join(blocks_of, F.col("t") == F.col("t2")).select("u", "w", "t", "block", "ids", "counts", "x")
+    both = both.repartition(max(1, min(PARTITIONS, -(-count // tiles_of))), "u", "w").sortWithinPartitions("u", "w", "t", "block")
     return stored(both.mapInArrow(compare, "rep long, links long, least long"), "vector-links")
 
 
