@@ -77,8 +77,12 @@ def sources_to_targets(sizes: DataFrame, weights=WEIGHTS, percent: int = PERCENT
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(i, shard, first, n) of quotas (i, q): which n of source i's blocks, from number first, a shard takes."""
-    node = quotas.agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("qs"), F.sum("q").alias("total"))
+    """(i, shard, first, n) of quotas (i, q): which n of source i's blocks, from number first, a shard takes.
+
+    A node of the tree holds only the sources that have blocks left there, so all nodes of a level hold no more than there
+    are blocks to give, whatever the number of sources.
+    """
+    node = quotas.filter("q > 0").agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("qs"), F.sum("q").alias("total"))
     node = node.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "qs", "total", F.col("total").alias("n"))
     slots = lambda s: s * F.floor(F.col("total") / shards) + F.least(s, F.col("total") % shards)  # noqa: E731  of the shards before s
     for level in range((shards - 1).bit_length()):
@@ -92,7 +96,8 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         node = node.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("qs", start, step)["out"]))
         rest = F.zip_with("qs", "left", lambda x, y: F.struct(x["i"].alias("i"), (x["q"] - y["q"]).alias("q")))
-        part = lambda lo, hi, qs, n: F.struct(lo.alias("lo"), hi.alias("hi"), qs.alias("qs"), n.cast("long").alias("n"))
+        some = lambda qs: F.filter(qs, lambda x: x["q"] > 0)
+        part = lambda lo, hi, qs, n: F.struct(lo.alias("lo"), hi.alias("hi"), some(qs).alias("qs"), n.cast("long").alias("n"))
         c = F.col
         halves = F.when(c("left").isNull(), F.array(part(c("lo"), c("hi"), c("qs"), c("n")))).otherwise(F.array(part(c("lo"), c("mid"), c("left"), c("to_left")), part(c("mid"), c("hi"), rest, c("n") - c("to_left"))))
         node = node.select("total", F.explode(halves).alias("h")).select("total", "h.*")
@@ -126,7 +131,7 @@ def last_pass(blocks: DataFrame, spec: DataFrame) -> DataFrame:
     cut = stored(runs.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest"))).select("i", "run", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("left")), "cut-runs")
     inside = blocks.withColumn("run", run).join(sized(cut, 50_000), ["i", "run"]).withColumn("upto", upto("block"))
     inside = inside.filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left"))).select("i", F.col("block").alias("whole"), (F.col("left") - (F.col("upto") - F.col("words"))).alias("room"))
-    out = spec.select("i", "rest", "blocks").join(F.broadcast(inside), "i", "left")  # a row per source
+    out = spec.select("i", "rest", "blocks").join(sized(stored(inside, "cut-blocks"), 50_000), "i", "left")
     some = F.col("rest") > 0
     return out.select("i", F.when(some, F.coalesce("whole", "blocks")).otherwise(0).cast("long").alias("whole"), F.when(some & (F.col("room") > 0), F.col("room")).alias("room"))
 
@@ -165,7 +170,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source: str = "source", te
     cut = cut.join(more, "i", "left").select("i", "until", "also")
 
     # blocks numbered pass by pass, and the shards that take them
-    given = stored(spec.join(F.broadcast(last), "i").join(F.broadcast(cut), "i", "left"), "given")  # a row per source, as all of these
+    given = stored(spec.join(sized(last, 50_000), "i").join(sized(stored(cut, "cuts"), 50_000), "i", "left"), "given")  # a row per source, as all of these
     quotas = given.select("i", (F.col("passes") * F.col("blocks") + F.col("whole") + F.col("room").isNotNull().cast("long")).alias("q"))
     total = (spec.agg(F.sum("target")).first()[0] or 0.0) / shard_words
     taken = shard_quotas(quotas, max(1, round(total)), seed + 3).filter("n > 0").select("i", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("t"))
