@@ -89,7 +89,9 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str |
                 found, total = split(t or "")
                 rare = Counter()
                 for x in found:
-                    n = pieces.get(x if len(x) <= MOST_CHARS else sha256(x.encode()).digest()[:16])
+                    n = pieces.get(x)
+                    if n is None and len(x) > MOST_CHARS:
+                        n = pieces.get(sha256(x.encode()).digest()[:16])
                     if n is None:
                         rare[x] += 1
                     else:
