@@ -20,7 +20,7 @@ def leading_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", civic.leading_int(said).alias("number"))
 
 
-@query(r"""SELECT doc_id, substr(sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"none":null,"note":"café \"x\" \\ / —😀","source":' || coalesce('"' || source || '"', 'null') || '}'), 1, 16) AS digest FROM documents""")
+@query(r"""SELECT doc_id, substr(sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"none":null,"note":"caf\u00e9 \"x\" \\ / \u2014\ud83d\ude00","source":' || coalesce('"' || source || '"', 'null') || '}'), 1, 16) AS digest FROM documents""")
 def canonical_digests(spark, sf_dir):
     """Digests of rows in canonical JSON: fields by name, nulls kept, no blanks, all but ASCII escaped."""
     note = F.lit('café "x" \\ / —😀')
