@@ -433,7 +433,7 @@ def stages_in_order(spark, sf_dir):
 
 @query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY d DESC NULLS LAST, l_partkey, l_linenumber) AS newest_first FROM (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 THEN l_shipdate END AS d FROM lineitem) GROUP BY 1")
 def versions_newest_first(spark, sf_dir):
-    """A bill's versions, the newest first and those without a date last."""
+    """A bill's versions, the newest first and those without a date last; a bill has some dozen versions at the most, so its row is small."""
     dated = F.when(F.col("l_linenumber") % 4 != 0, F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
     each = F.struct(dated.isNull().alias("none"), (-dated).alias("at"), "l_partkey", "l_linenumber")
     per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(each)).alias("v"))

