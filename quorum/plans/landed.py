@@ -355,3 +355,28 @@ def text_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(text("119:hr:", F.floor(k / 2).cast("long")).alias("bill_id"), code.alias("version_code"), code.alias("version_label"), body.alias("body"), F.lit(0).alias("line_count"), F.lit("").alias("sha256"), text("p", k).alias("package"), F.lit("u").alias("source_url"), moment.alias("last_modified"), moment.alias("fetched_at"))
     texttree.write_tree(rows, root)
     return readers.bill_texts(spark, root).select("bill_id", "version_code", "version_label", "line_count", F.sha2("body", 256).alias("sha256"))
+
+
+@query("SELECT '119:hr:' || doc_id AS bill_id, 'ih' AS version_code, 'Introduced (House)' AS version_label, 2::INT AS line_count, sha256(coalesce(lang, 'none') || chr(10) || coalesce(source, 'none') || chr(10)) AS sha256, doc_id % 2 = 0 AS from_html FROM documents WHERE doc_id % 10 < 8")
+def landed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed texts met with their landed bodies, HTML or else XML, without a printed page's furniture; those held already and those without a body aren't read."""
+    k, none = F.col("doc_id"), F.lit("none")
+    docs, root = table(spark, sf_dir, "documents"), scratch(spark, "bodies")
+    package = text("BILLS-119hr", k, "ih")
+    listing = readers.text_listing(spark, put_pages(docs, "listed", k, "files", F.struct(text(package, ".xml").alias("name"), F.lit("10-Jan-2025 20:36").alias("formattedLastModifiedTime"))))
+    body = text("<html><body><pre>", F.coalesce("lang", none), "\n12\nPage 3\n", F.coalesce("source", none), "</pre></body></html>")
+    bodies = docs.filter(k % 10 != 9).select(text(package, F.when(k % 2 == 0, ".htm").otherwise(".xml")).alias("name"), body.alias("body"))
+
+    def write(batches):
+        fs, at = texttree.opened(root)
+        fs.create_dir(at)
+        for rows in batches:
+            for name, content in zip(rows["name"], rows["body"], strict=True):
+                texttree.put_text(fs, f"{at}/{name}", content)
+            yield rows[["name"]]
+
+    bodies.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    held = docs.filter(k % 10 == 8).select(text("119:hr:", k).alias("bill_id"), F.lit("ih").alias("version_code"))
+    frontier = spark.createDataFrame([], "slot string, last_modified timestamp")
+    texts = readers.listed_texts(listing, root, held, frontier)[0]
+    return texts.select("bill_id", "version_code", "version_label", "line_count", "sha256", F.endswith("source_url", F.lit(".htm")).alias("from_html"))
