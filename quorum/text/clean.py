@@ -39,7 +39,8 @@ def unescaped(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
         return F.when(i == 0, x).when(code != "", F.concat(char, F.regexp_replace(x, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x))
 
-    out = F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, "&#"), number), "")).otherwise(text)
+    bound = lambda t: F.when(t.contains("&#"), F.array_join(F.transform(F.split(t, "&#"), number), "")).otherwise(t)
+    out = F.get(F.transform(F.array(text), bound), F.lit(0))  # bound by a lambda, so what makes the text runs once
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return out
@@ -53,8 +54,8 @@ def text_lines(raw: Column, furniture: bool = False) -> Column:
     lines = F.transform(F.split(unescaped(text), "\n"), lambda x: F.btrim(F.regexp_replace(x, SPACES, " ")))
     if furniture:
         lines = F.filter(lines, lambda x: ~x.rlike("^(?:" + "|".join(FURNITURE) + ")$"))
-    filled = F.filter(lines, lambda x, i: (x != "") | (F.coalesce(F.get(lines, i - 1), F.lit("")) != ""))
-    return F.btrim(F.array_join(filled, "\n"), F.lit("\n"))
+    # runs of empty lines are shortened in the joined text: a lambda that looks at the line before would make all lines anew for each
+    return F.btrim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), F.lit("\n"))
 
 
 def unified(a: str | None, b: str | None, context: int = 3) -> dict:
