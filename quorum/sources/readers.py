@@ -6,7 +6,9 @@ event_type, occurred_at, payload, payload_hash) or a table's columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import civic, tables
@@ -14,19 +16,22 @@ from ..operators.eventlog import latest_per_key
 from . import texttree
 
 
-def as_events(df: DataFrame, source: str, source_id: Column, entity_id: Column, event_type: Column | str, occurred_at: Column, payload: list[Column]) -> DataFrame:
+def as_events(df: DataFrame, source: str, source_id: Column, entity_id: Column, event_type: Column | str, occurred_at: Column, payload: list[Column] | Column) -> DataFrame:
     kind = F.lit(event_type) if isinstance(event_type, str) else event_type
-    body = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
+    body = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}) if isinstance(payload, list) else payload
     out = df.select(F.lit(source).alias("source"), source_id.alias("source_id"), entity_id.alias("entity_id"), kind.alias("event_type"), occurred_at.alias("occurred_at"), body.alias("payload"))
     return out.withColumn("payload_hash", F.substring(F.sha2("payload", 256), 1, 16))
 
 
 def with_party_line(votes: DataFrame, call: list[str]) -> DataFrame:
     """votes (party, position, ord, ...) and party_line: whether a Yea or Nay was its party's more frequent one; of equally frequent ones the first counts."""
-    said = votes.filter(F.col("position").isin("Yea", "Nay"))
-    per = said.groupBy(*call, "party", "position").agg(F.count("*").alias("c"), F.min("ord").alias("first"))
-    major = per.groupBy(*call, "party").agg(F.max_by("position", F.struct("c", -F.col("first"))).alias("majority"))
-    return votes.join(major, [*call, "party"], "left").withColumn("party_line", F.when(F.col("position").isin("Yea", "Nay"), F.col("position") == F.col("majority"))).drop("majority")
+    of = Window.partitionBy(*call, "party")
+    said = F.col("position")
+    count, first = (lambda p: F.count_if(said == p).over(of)), (lambda p: F.min(F.when(said == p, F.col("ord"))).over(of))
+    both = votes.withColumns({"__yea": F.struct(count("Yea").alias("c"), (-first("Yea")).alias("first")), "__nay": F.struct(count("Nay").alias("c"), (-first("Nay")).alias("first"))})
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*call, "party")])
+    majority = F.when(F.col("__yea") > F.col("__nay"), "Yea").otherwise("Nay")
+    return both.withColumn("party_line", F.when(said.isin("Yea", "Nay") & known, said == majority)).drop("__yea", "__nay")
 
 
 HOUSE_VOTE = """`vote-metadata` struct<congress:string,session:string,`rollcall-num`:int,`legis-num`:string,`vote-question`:string,`vote-type`:string,`vote-result`:string,`action-date`:string,`action-time`:struct<_VALUE:string,`_time-etz`:string>>,
@@ -37,9 +42,10 @@ def house_votes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row per member of House roll-call documents, as events vote.cast and vote.missed."""
     raw = spark.read.format("xml").option("rowTag", "rollcall-vote").schema(HOUSE_VOTE).load(path)
     m = "`vote-metadata`."
-    each = raw.select(F.col(m + "congress").alias("congress"), F.col(m + "session").alias("session"), F.col(m + "`rollcall-num`").alias("rollcall_num"), F.col(m + "`legis-num`").alias("legis_num"),
+    calls = raw.select(F.col(m + "congress").alias("congress"), F.col(m + "session").alias("session"), F.col(m + "`rollcall-num`").alias("rollcall_num"), F.col(m + "`legis-num`").alias("legis_num"),
                       F.col(m + "`vote-question`").alias("question"), F.col(m + "`vote-type`").alias("vote_type"), F.col(m + "`vote-result`").alias("result"),
-                      civic.eastern_time(F.col(m + "`action-date`"), F.col(m + "`action-time`._time-etz".replace("_time-etz", "`_time-etz`"))).alias("at"), F.posexplode("`vote-data`.`recorded-vote`").alias("ord", "v"))
+                      civic.eastern_time(F.col(m + "`action-date`"), F.col(m + "`action-time`._time-etz".replace("_time-etz", "`_time-etz`"))).alias("at"), F.col("`vote-data`.`recorded-vote`").alias("all"))  # moments are made once a call
+    each = calls.select("*", F.posexplode("all").alias("ord", "v")).drop("all")
     each = each.select("*", F.col("v.legislator.`_name-id`").alias("member"), F.col("v.legislator._party").alias("party"), F.col("v.legislator._state").alias("state"), civic.vote(F.col("v.vote")).alias("position")).drop("v")
     return _votes(with_party_line(each, ["congress", "session", "rollcall_num"]), "congress_rollcalls", "house")
 
@@ -51,8 +57,9 @@ members struct<member:array<struct<lis_member_id:string,last_name:string,state:s
 def senate_votes(spark: SparkSession, path: str | list[str], lis_index: DataFrame) -> DataFrame:
     """A row per senator; members are found by LIS id in lis_index (lis, bioguide, last_name, state), else by name and state; unknown ones are dropped."""
     raw = spark.read.format("xml").option("rowTag", "roll_call_vote").option("mode", "PERMISSIVE").schema(SENATE_VOTE).load(path).filter(F.col("members").isNotNull())
-    each = raw.select("congress", "session", F.col("vote_number").alias("rollcall_num"), F.trim(F.concat_ws(" ", "document.document_type", "document.document_number")).alias("legis_num"), F.col("vote_question_text").alias("question"),
-                      F.lit(None).cast("string").alias("vote_type"), F.col("vote_result").alias("result"), civic.vote_date(F.col("vote_date")).alias("at"), F.posexplode("members.member").alias("ord", "v"))
+    calls = raw.select("congress", "session", F.col("vote_number").alias("rollcall_num"), F.trim(F.concat_ws(" ", "document.document_type", "document.document_number")).alias("legis_num"), F.col("vote_question_text").alias("question"),
+                      F.lit(None).cast("string").alias("vote_type"), F.col("vote_result").alias("result"), civic.vote_date(F.col("vote_date")).alias("at"), F.col("members.member").alias("all"))
+    each = calls.select("*", F.posexplode("all").alias("ord", "v")).drop("all")
     each = each.select("*", "v.lis_member_id", "v.party", "v.state", F.lower("v.last_name").alias("__name"), civic.vote(F.col("v.vote_cast")).alias("position")).drop("v")
     by_id = lis_index.select(F.col("lis").alias("lis_member_id"), F.col("bioguide").alias("__by_id")).dropDuplicates(["lis_member_id"])
     by_name = lis_index.groupBy(F.lower("last_name").alias("__name"), "state").agg(F.max("bioguide").alias("__by_name"))
@@ -85,14 +92,22 @@ def bill_status(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
                        F.col("latestAction.text").alias("latest_action_text"), F.col("policyArea.name").alias("policy_area"), F.coalesce(F.size("cosponsors.item"), F.lit(0)).alias("cosponsor_count"), F.to_json("textVersions.item").alias("text_versions"))
     base = [F.col(c) for c in ("bill_id", "congress", "bill_type", "number")]
     member = lambda c: F.concat(F.lit("bioguide:"), c)
-    own = raw.filter(sponsor.isNotNull())
-    sponsored = as_events(own, "govinfo_billstatus", F.concat_ws(":", F.lit("sponsor"), "bill_id"), member(sponsor), "bill.sponsored", civic.iso_time(F.col("introducedDate")), [*base, F.col("title"), F.col("introducedDate").alias("introduced_date")])
-    co = raw.select("*", F.explode("cosponsors.item").alias("c"))
-    cosponsored = as_events(co, "govinfo_billstatus", F.concat_ws(":", F.lit("cosponsor"), "bill_id", "c.bioguideId"), member(F.col("c.bioguideId")), "bill.cosponsored", civic.iso_time(F.col("c.sponsorshipDate")), [*base, F.col("title"), (F.col("c.isOriginalCosponsor") == "True").alias("is_original")])
-    acts = raw.select("*", F.explode("actions.item").alias("a"))
-    key = F.concat_ws(":", F.lit("action"), "bill_id", "a.actionDate", "a.actionCode", F.substring(F.sha2(F.coalesce("a.text", F.lit("")), 256), 1, 12))
-    action = as_events(acts, "govinfo_billstatus", key, F.concat(F.lit("bill:"), "bill_id"), "bill.action", civic.iso_time(F.col("a.actionDate")), [*base, F.col("a.actionDate").alias("action_date"), F.col("a.actionCode").alias("action_code"), F.col("a.type").alias("action_type"), F.col("a.text").alias("text"), F.col("a.committees.item.name").alias("committees")])
-    return bills, sponsored.unionByName(cosponsored).unionByName(action)
+    kinds = "kind string, c struct<bioguideId:string,sponsorshipDate:string,isOriginalCosponsor:string>, a struct<actionDate:string,actionCode:string,type:string,text:string,committees:struct<item:array<struct<name:string>>>>"
+    none = lambda name: F.lit(None).alias(name)
+    facts = F.concat(*[F.coalesce(x.cast(f"array<struct<{kinds.replace(' string', ':string').replace(' struct', ':struct')}>>"), F.array()) for x in (
+        F.when(sponsor.isNotNull(), F.array(F.struct(F.lit("sponsor").alias("kind"), none("c"), none("a")))),
+        F.transform("cosponsors.item", lambda c: F.struct(F.lit("cosponsor").alias("kind"), c.alias("c"), none("a"))),
+        F.transform("actions.item", lambda a: F.struct(F.lit("action").alias("kind"), none("c"), a.alias("a"))),
+    )])
+    # a bill's facts are told one by one, so its document is read once and not once for each kind
+    each = raw.select("bill_id", "congress", "bill_type", "number", "title", "introducedDate", sponsor.alias("sponsor"), facts.alias("facts")).select("*", F.explode("facts").alias("f")).select("*", "f.kind", "f.c", "f.a").drop("facts", "f")
+    one = lambda s, c, a: F.when(F.col("kind") == "sponsor", s).when(F.col("kind") == "cosponsor", c).otherwise(a)
+    said = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    key = one(F.concat_ws(":", F.lit("sponsor"), "bill_id"), F.concat_ws(":", F.lit("cosponsor"), "bill_id", "c.bioguideId"), F.concat_ws(":", F.lit("action"), "bill_id", "a.actionDate", "a.actionCode", F.substring(F.sha2(F.coalesce("a.text", F.lit("")), 256), 1, 12)))
+    body = one(said(*base, F.col("title"), F.col("introducedDate").alias("introduced_date")), said(*base, F.col("title"), (F.col("c.isOriginalCosponsor") == "True").alias("is_original")),
+               said(*base, F.col("a.actionDate").alias("action_date"), F.col("a.actionCode").alias("action_code"), F.col("a.type").alias("action_type"), F.col("a.text").alias("text"), F.col("a.committees.item.name").alias("committees")))
+    events = as_events(each, "govinfo_billstatus", key, one(member(F.col("sponsor")), member(F.col("c.bioguideId")), F.concat(F.lit("bill:"), "bill_id")), one(F.lit("bill.sponsored"), F.lit("bill.cosponsored"), F.lit("bill.action")), civic.iso_time(one(F.col("introducedDate"), F.col("c.sponsorshipDate"), F.col("a.actionDate"))), body)
+    return bills, events
 
 
 FILING = """filing_uuid string, filing_type string, filing_year int, filing_period string, dt_posted string, income string, expenses string, registrant struct<id:bigint,name:string>, client struct<id:bigint,name:string>,
