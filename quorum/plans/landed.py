@@ -6,6 +6,8 @@ says the same of the tables, without the documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +20,34 @@ from .registry import query
 PAGE = 250
 
 
-def put(docs: DataFrame, label: str, by: str | None = None) -> str:
-    """The folder that docs, a column of texts, were written to; with by one folder for each of its values."""
+def put(docs: DataFrame, label: str, each: bool = False) -> str:
+    """The folder that docs, a column of texts, were written to, packed by gzip; with each a file for every text. It has no folder below, so listing it is one call."""
     path = scratch(docs.sparkSession, label)
-    writer = (docs.repartition(by) if by else docs).write
-    (writer.partitionBy(by) if by else writer).text(path)
+    docs.write.options(compression="gzip", maxRecordsPerFile=1 if each else 0).text(path)
     return path
 
 
+def paged(number: Column) -> Column:
+    return F.floor(number / PAGE).cast("long").alias("page")
+
+
 def put_pages(rows: DataFrame, label: str, number: Column, field: str, record: Column) -> str:
     """The folder of JSON pages {field: [record, ...]}, a file each, of the rows whose numbers lie in one run of 250."""
-    pages = rows.groupBy(F.floor(number / PAGE).cast("long").alias("page")).agg(F.collect_list(record).alias(field))
-    return put(pages.select("page", F.to_json(F.struct(field)).alias("value")), label, "page")
+    pages = rows.groupBy(paged(number)).agg(F.collect_list(record).alias(field))
+    return put(pages.select(F.to_json(F.struct(field)).alias("value")), label, True)
+
 
+def put_xml(rows: DataFrame, label: str, number: str, doc: Callable[[Column], Column], by: str | None = None) -> str:
+    """The folder of XML files, each one element around the documents of the rows whose numbers lie in one run of 250; with by, in a folder for each of its values.
 
-def put_xml(rows: DataFrame, label: str, number: Column, doc: Column, by: str | None = None) -> str:
-    """The folder of XML files, each one element around the documents of the rows whose numbers lie in one run of 250; with by, below a folder for each of its values."""
-    folders = [*([by] if by else []), "page"]
-    pages = rows.withColumn("page", F.floor(number / PAGE).cast("long")).groupBy(*folders).agg(F.concat(F.lit("<all>"), F.array_join(F.collect_list(doc), ""), F.lit("</all>")).alias("value"))
+    What travels to a page's task are the rows; documents, several times as long, are made there.
+    """
+    pages = rows.groupBy(*([by] if by else []), paged(F.col(number))).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).drop("page")
+    docs = pages.withColumn("value", F.concat(F.lit("<all>"), F.array_join(F.transform("rows", doc), ""), F.lit("</all>"))).drop("rows")
+    if by is None:
+        return put(docs, label, True)
     path = scratch(rows.sparkSession, label)
-    pages.repartition(*folders).write.partitionBy(*folders).text(path)
+    docs.repartition(by).write.options(compression="gzip", maxRecordsPerFile=1).partitionBy(by).text(path)
     return path
 
 
@@ -77,19 +87,26 @@ def _calls(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(vote)).alias("v"))
 
 
+def opened(events: DataFrame, fields: str) -> DataFrame:
+    """events with these fields of their payload, read once, as p."""
+    return events.withColumn("p", F.from_json("payload", fields))
+
+
 def _seen(events: DataFrame) -> DataFrame:
-    return events.select("source_id", "event_type", shown(F.col("occurred_at")).alias("moment"), said("position").alias("position"), said("party_line").alias("party_line"), said("legis_num").alias("legis_num"))
+    return opened(events, "position string, party_line string, legis_num string").select("source_id", "event_type", shown(F.col("occurred_at")).alias("moment"), "p.position", "p.party_line", "p.legis_num")
 
 
 @query(f"""WITH v AS ({_VOTES}), m AS ({_MAJOR}), t AS (SELECT DISTINCT k, {_DAY.format("k")}::TIMESTAMP + CASE WHEN k % 13 = 0 THEN INTERVAL 12 HOUR ELSE INTERVAL (k % 12 + 9) HOUR + INTERVAL 30 MINUTE END AS local FROM v)
 SELECT 'house:119:1st:' || k || ':M' || l_suppkey AS source_id, {_CAST}, {_UTC} AS moment, 'H R ' || k AS legis_num FROM v JOIN t USING (k) LEFT JOIN m USING (k, party)""")
 def landed_house_votes(spark, sf_dir):
     """Roll calls of the House as XML: votes by member, spelled one way, with the moment of a clock in Washington (noon where it is missing) and whether they follow their party's majority."""
-    k = F.col("l_orderkey")
-    votes = F.transform("v", lambda x: text('<recorded-vote><legislator name-id="M', x["l_suppkey"], '" party="', x["l_returnflag"], '" state="OH">X</legislator><vote>', picked(VOTES, x["l_partkey"]), "</vote></recorded-vote>"))
-    clock = F.when(k % 13 != 0, text(F.lpad((k % 12 + 9).cast("string"), 2, "0"), ":30")).otherwise("")
-    doc = text("<rollcall-vote><vote-metadata><congress>119</congress><session>1st</session><rollcall-num>", k, "</rollcall-num><legis-num>H R ", k, "</legis-num><action-date>", F.date_format(day_of(k), "dd-MMM-yyyy"), '</action-date><action-time time-etz="', clock, '">x</action-time></vote-metadata><vote-data>', F.array_join(votes, ""), "</vote-data></rollcall-vote>")
-    return _seen(readers.house_votes(spark, put_xml(_calls(spark, sf_dir), "house", k, doc)))
+    def doc(r: Column) -> Column:
+        k = r["l_orderkey"]
+        votes = F.transform(r["v"], lambda x: text('<recorded-vote><legislator name-id="M', x["l_suppkey"], '" party="', x["l_returnflag"], '" state="OH">X</legislator><vote>', picked(VOTES, x["l_partkey"]), "</vote></recorded-vote>"))
+        clock = F.when(k % 13 != 0, text(F.lpad((k % 12 + 9).cast("string"), 2, "0"), ":30")).otherwise("")
+        return text("<rollcall-vote><vote-metadata><congress>119</congress><session>1st</session><rollcall-num>", k, "</rollcall-num><legis-num>H R ", k, "</legis-num><action-date>", F.date_format(day_of(k), "dd-MMM-yyyy"), '</action-date><action-time time-etz="', clock, '">x</action-time></vote-metadata><vote-data>', F.array_join(votes, ""), "</vote-data></rollcall-vote>")
+
+    return _seen(readers.house_votes(spark, put_xml(_calls(spark, sf_dir), "house", "l_orderkey", doc)))
 
 
 @query(f"""WITH i AS (SELECT s_suppkey, 'B' || s_suppkey AS b, 'name' || (s_suppkey % 40) AS name, 'T' || (s_suppkey % 3) AS state FROM supplier WHERE s_suppkey % 10 <> 9), n AS (SELECT name, state, max(b) AS b FROM i GROUP BY ALL),
@@ -99,26 +116,33 @@ SELECT 'senate:119:1:' || k || ':' || member AS source_id, {_CAST}, {_UTC} AS mo
 def landed_senate_votes(spark, sf_dir):
     """Roll calls of the Senate as XML among pages of HTML: dates in three forms; members by their id, else by name and state, others aren't counted."""
     k, s = F.col("l_orderkey"), F.col("s_suppkey")
-    votes = F.transform("v", lambda x: text("<member><lis_member_id>S", x["l_suppkey"], "</lis_member_id><last_name>NAME", x["l_suppkey"] % 40, "</last_name><state>T", x["l_suppkey"] % 3, "</state><party>", x["l_returnflag"], "</party><vote_cast>", picked(VOTES, x["l_partkey"]), "</vote_cast></member>"))
-    at = F.to_timestamp(text(day_of(k), " ", k % 12 + 9, ":30"), "yyyy-MM-dd H:mm")
-    date = F.when(k % 3 == 0, F.date_format(at, "MMMM d, yyyy, hh:mm a")).when(k % 3 == 1, F.date_format(at, "MMMM d, yyyy,  h:mm a")).otherwise(F.date_format(at, "MMMM d, yyyy."))
-    doc = text("<roll_call_vote><congress>119</congress><session>1</session><vote_number>", k, "</vote_number><vote_date>", date, "</vote_date><document><document_type>S.</document_type><document_number>", k, "</document_number></document><members>", F.array_join(votes, ""), "</members></roll_call_vote>")
-    path = put_xml(_calls(spark, sf_dir), "senate", k, doc)
-    _calls(spark, sf_dir).filter(k % 50 == 0).select(F.lit("<html><body>Not found</body></html>").alias("value")).write.text(f"{path}/page=-1")
+
+    def doc(r: Column) -> Column:
+        k = r["l_orderkey"]
+        votes = F.transform(r["v"], lambda x: text("<member><lis_member_id>S", x["l_suppkey"], "</lis_member_id><last_name>NAME", x["l_suppkey"] % 40, "</last_name><state>T", x["l_suppkey"] % 3, "</state><party>", x["l_returnflag"], "</party><vote_cast>", picked(VOTES, x["l_partkey"]), "</vote_cast></member>"))
+        at = F.to_timestamp(text(day_of(k), " ", k % 12 + 9, ":30"), "yyyy-MM-dd H:mm")
+        date = F.when(k % 3 == 0, F.date_format(at, "MMMM d, yyyy, hh:mm a")).when(k % 3 == 1, F.date_format(at, "MMMM d, yyyy,  h:mm a")).otherwise(F.date_format(at, "MMMM d, yyyy."))
+        return text("<roll_call_vote><congress>119</congress><session>1</session><vote_number>", k, "</vote_number><vote_date>", date, "</vote_date><document><document_type>S.</document_type><document_number>", k, "</document_number></document><members>", F.array_join(votes, ""), "</members></roll_call_vote>")
+
+    path = put_xml(_calls(spark, sf_dir), "senate", "l_orderkey", doc)
+    _calls(spark, sf_dir).filter(k % 50 == 0).select(F.lit("<html><body>Not found</body></html>").alias("value")).write.mode("append").option("compression", "gzip").text(path)
     index = table(spark, sf_dir, "supplier").filter(s % 10 != 9).select(F.when(s % 4 != 0, text("S", s)).alias("lis"), text("B", s).alias("bioguide"), text("Name", s % 40).alias("last_name"), text("T", s % 3).alias("state"))
     return _seen(readers.senate_votes(spark, path, index))
 
 
 def _bill_status(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    k = F.col("o_orderkey")
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("co"), F.sort_array(F.collect_set(F.struct("l_linenumber", "l_partkey"))).alias("acts"))
-    rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
-    co = F.transform("co", lambda s: text("<item><bioguideId>M", s, "</bioguideId><sponsorshipDate>", day_of(k + s % 5), "</sponsorshipDate><isOriginalCosponsor>", F.when(s % 2 == 0, "True").otherwise("False"), "</isOriginalCosponsor></item>"))
-    acts = F.transform("acts", lambda a: text("<item><actionDate>", day_of(k + a["l_linenumber"]), "</actionDate><actionCode>H", a["l_linenumber"], "</actionCode><type>Floor</type><text>Read &amp; sent ", a["l_partkey"], "</text>", F.when(a["l_partkey"] % 2 == 0, text("<committees><item><name>C", a["l_partkey"] % 9, "</name></item></committees>")).otherwise(""), "</item>"))
-    some = lambda name, items: F.when(F.size(items) > 0, text(f"<{name}>", F.array_join(items, ""), f"</{name}>")).otherwise("")
-    doc = text("<billStatus><bill><congress>119</congress><type>", F.upper(bill_type(k)), "</type><number>", k, "</number><title>Act &lt;", k, "&gt;</title><introducedDate>", day_of(k), "</introducedDate><latestAction><text>Sent &amp; read</text><actionDate>", day_of(k + 9), "T10:00:00Z</actionDate></latestAction><policyArea><name>", F.col("o_orderpriority"), "</name></policyArea>",
-               F.when(k % 7 != 0, text("<sponsors><item><bioguideId>C", F.col("o_custkey"), "</bioguideId></item><item><bioguideId>X</bioguideId></item></sponsors>")).otherwise(""), some("cosponsors", co), some("actions", acts), "</bill></billStatus>")
-    return readers.bill_status(spark, put_xml(rows, "status", k, doc))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(lines, "o_orderkey", "left")
+
+    def doc(r: Column) -> Column:
+        k = r["o_orderkey"]
+        co = F.transform(r["co"], lambda s: text("<item><bioguideId>M", s, "</bioguideId><sponsorshipDate>", day_of(k + s % 5), "</sponsorshipDate><isOriginalCosponsor>", F.when(s % 2 == 0, "True").otherwise("False"), "</isOriginalCosponsor></item>"))
+        acts = F.transform(r["acts"], lambda a: text("<item><actionDate>", day_of(k + a["l_linenumber"]), "</actionDate><actionCode>H", a["l_linenumber"], "</actionCode><type>Floor</type><text>Read &amp; sent ", a["l_partkey"], "</text>", F.when(a["l_partkey"] % 2 == 0, text("<committees><item><name>C", a["l_partkey"] % 9, "</name></item></committees>")).otherwise(""), "</item>"))
+        some = lambda name, items: F.when(F.size(items) > 0, text(f"<{name}>", F.array_join(items, ""), f"</{name}>")).otherwise("")
+        return text("<billStatus><bill><congress>119</congress><type>", F.upper(bill_type(k)), "</type><number>", k, "</number><title>Act &lt;", k, "&gt;</title><introducedDate>", day_of(k), "</introducedDate><latestAction><text>Sent &amp; read</text><actionDate>", day_of(k + 9), "T10:00:00Z</actionDate></latestAction><policyArea><name>", r["o_orderpriority"], "</name></policyArea>",
+                   F.when(k % 7 != 0, text("<sponsors><item><bioguideId>C", r["o_custkey"], "</bioguideId></item><item><bioguideId>X</bioguideId></item></sponsors>")).otherwise(""), some("cosponsors", co), some("actions", acts), "</bill></billStatus>")
+
+    return readers.bill_status(spark, put_xml(rows, "status", "o_orderkey", doc))
 
 
 _BILLS = f"(SELECT *, '119:' || {_TYPE.format('o_orderkey')} || ':' || o_orderkey AS bill_id FROM orders)"
@@ -135,8 +159,8 @@ UNION ALL SELECT 'cosponsor:' || bill_id || ':M' || l_suppkey, 'bioguide:M' || l
 UNION ALL SELECT 'action:' || bill_id || ':' || d || ':H' || l_linenumber || ':' || substr(sha256(t), 1, 12), 'bill:' || bill_id, 'bill.action', d, t, NULL, c FROM (SELECT *, strftime({_DAY.format('(o_orderkey + l_linenumber)')}, '%Y-%m-%d') AS d, 'Read & sent ' || l_partkey AS t, CASE WHEN l_partkey % 2 = 0 THEN 'C' || (l_partkey % 9) END AS c FROM {_BILLS} JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) ON l_orderkey = o_orderkey)""")
 def landed_bill_events(spark, sf_dir):
     """Bill statuses as XML: an event for the first sponsor, each cosponsor and each action."""
-    events = _bill_status(spark, sf_dir)[1]
-    return events.select("source_id", "entity_id", "event_type", F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), F.coalesce(said("text"), said("title")).alias("text"), said("is_original").alias("original"), said("committees[0]").alias("committee"))
+    events = opened(_bill_status(spark, sf_dir)[1], "text string, title string, is_original string, committees array<string>")
+    return events.select("source_id", "entity_id", "event_type", F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), F.coalesce("p.text", "p.title").alias("text"), F.col("p.is_original").alias("original"), F.get("p.committees", F.lit(0)).alias("committee"))
 
 
 @query(f"SELECT bill_id, 'C' || o_custkey AS sponsor_bioguide, {_DAY.format('o_orderkey')} AS introduced_date, CASE WHEN o_orderkey % 3 = 0 THEN 'later' ELSE 'first' END AS latest_action_text, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 9 END::INT AS cosponsor_count FROM {_BILLS}")
@@ -198,13 +222,15 @@ m AS (SELECT *, u AS member, false AS second FROM g UNION ALL SELECT *, u + 1, t
 SELECT 'G' || id || ':M' || member AS source_id, 'bioguide:M' || member AS entity_id, strftime(d, '%Y-%m-%d') || ' 12:00:00' AS moment, chamber, 'T & ' || id AS title, CASE WHEN id % 3 = 0 THEN '2' ELSE '1' END AS speakers, CASE WHEN t = 'purchase' THEN '119hr' || id END AS ref FROM m""")
 def landed_speeches(spark, sf_dir):
     """Granules of the Record by day as XML: an event for each member named, with the bills referred to; digests and granules without members are none."""
-    i, kind = F.col("event_id"), F.col("event_type")
-    member = lambda u: text('<congMember bioGuideId="M', u, '" congress="119" role="SPEAKING" party="D" state="OH"/>')
-    members = F.when(kind == "signup", "").when(i % 3 == 0, F.concat(member(F.col("user_id")), member(F.col("user_id") + 1))).otherwise(member(F.col("user_id")))
-    refs = F.when(kind == "purchase", text('<isReferringTo type="usc" ID="42"/><isReferringTo type="bill" ID="119hr', i, '"/>')).otherwise("")
-    chamber = F.when(kind == "error", "DAILYDIGEST").when(i % 2 == 0, "HOUSE").otherwise("SENATE")
-    doc = text('<relatedItem type="constituent"><titleInfo><title> T &amp; ', i, ' </title></titleInfo><identifier type="preferred citation">171 Cong. Rec. ', i, "</identifier><part><extent><start>H1</start><end>H2</end></extent></part><extension><granuleClass>", chamber, "</granuleClass><accessId>G", i, "</accessId>", members, refs, "</extension></relatedItem>")
-    path = put_xml(table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "speeches", i, doc, "day")
+    def doc(r: Column) -> Column:
+        i, kind = r["event_id"], r["event_type"]
+        member = lambda u: text('<congMember bioGuideId="M', u, '" congress="119" role="SPEAKING" party="D" state="OH"/>')
+        members = F.when(kind == "signup", "").when(i % 3 == 0, F.concat(member(r["user_id"]), member(r["user_id"] + 1))).otherwise(member(r["user_id"]))
+        refs = F.when(kind == "purchase", text('<isReferringTo type="usc" ID="42"/><isReferringTo type="bill" ID="119hr', i, '"/>')).otherwise("")
+        chamber = F.when(kind == "error", "DAILYDIGEST").when(i % 2 == 0, "HOUSE").otherwise("SENATE")
+        return text('<relatedItem type="constituent"><titleInfo><title> T &amp; ', i, ' </title></titleInfo><identifier type="preferred citation">171 Cong. Rec. ', i, "</identifier><part><extent><start>H1</start><end>H2</end></extent></part><extension><granuleClass>", chamber, "</granuleClass><accessId>G", i, "</accessId>", members, refs, "</extension></relatedItem>")
+
+    path = put_xml(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), "speeches", "event_id", doc, "day")
     events = readers.floor_speeches(spark, path)
     return events.select("source_id", "entity_id", shown(F.col("occurred_at")).alias("moment"), said("chamber").alias("chamber"), said("title").alias("title"), said("speaker_count").alias("speakers"), said("bill_refs[0].ref").alias("ref"))
 
@@ -275,7 +301,7 @@ def landed_assignments(spark, sf_dir):
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(F.floor(k / PAGE).cast("long").alias("page"), text("HS", k % 5).alias("code"), F.struct(F.when(k % 17 != 0, text("B", k)).alias("bioguide"), F.col("c_mktsegment").alias("party"), (k % 9).alias("rank"), F.lit("Member").alias("title")).alias("m"))
     per = rows.groupBy("page", "code").agg(F.collect_list("m").alias("ms")).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("code", "ms"))).alias("all"))
-    path = put(per.select("page", F.to_json("all").alias("value")), "assignments", "page")
+    path = put(per.select(F.to_json("all").alias("value")), "assignments", True)
     return readers.committee_members(spark, path).select("bioguide_id", "committee_code", "party", "rank_in_party")
 
 
@@ -303,7 +329,7 @@ def landed_ratings(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").groupBy(page.alias("page")).agg(F.array_join(F.collect_list(text("<tr><td>", place, "</td><td>x</td><td>", rating, "</td></tr>")), "").alias("rows"))
     head = lambda kind: f'<table class="wikitable sortable"><tr><th>{kind}</th><th>Member</th><th>2025 PVI</th></tr>'
     html = text("<table><tr><td>Utah</td></tr></table>", head("State"), "<tr><td>Ohio</td><td>x</td><td>R+", F.col("page") + 1, "</td></tr></table>", head("District"), F.col("rows"), "</table>", head("District"), "<tr><td>Guam 9</td><td>x</td><td>D+9</td></tr></table>", '<table class="wikitable"><tr><th>State</th></tr><tr><td>Utah</td></tr></table>')
-    path = put(rows.select("page", html.alias("value")), "ratings", "page")
+    path = put(rows.select(html.alias("value")), "ratings", True)
     return ratings.district_ratings(spark, path, 119).select("state", "district", "pvi", "score")
 
 
