@@ -92,7 +92,8 @@ FROM (SELECT *, l_linenumber % 4 AS p FROM lineitem) JOIN customer ON c_custkey
 def bill_rollcalls(spark, sf_dir):
     """Each roll call on a bill, by party and in all: roll calls meet their bills by the type and number that their labels tell, voters the members; a call is told by chamber and number."""
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"))
-    said = votes(spark, sf_dir).withColumn("b", civic.bill_of_label(F.col("label"))).select("*", "b.bill_type", F.col("b.number").cast("long").alias("number"))
+    # exploded, so a label is read once a vote: conditions on what it tells aren't moved before it
+    said = votes(spark, sf_dir).select("*", F.explode(F.array(civic.bill_of_label(F.col("label")))).alias("b")).select("*", "b.bill_type", F.col("b.number").cast("long").alias("number")).drop("b", "label")
     met = said.join(bills(spark, sf_dir).select("bill_id", "bill_type", "number"), ["bill_type", "number"]).join(known, "member")
     at, call = F.col("position"), ["bill_id", "chamber", "rollcall"]
     per = met.groupBy(*call, "party").agg(F.count_if(at == "Yea").alias("yea"), F.count_if(at == "Nay").alias("nay"), F.count_if(at == "Not Voting").alias("missed"))
