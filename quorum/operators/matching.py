@@ -22,7 +22,8 @@ def scored(mentions: DataFrame, bills: DataFrame, stop_words: tuple[str, ...] =
     """
     words = lambda c: tokens(without_references(F.col(c)), stop_words)
     known = bills.select("bill_id", words("title").alias("__title"), F.col("policy_area").alias("__area"))
-    met = mentions.filter(F.col("bill_id").isNotNull()).withColumn("__mention", words("mention_text")).join(known, "bill_id", "left")
+    # bills are held and mentions pass by, unsorted, whatever a bill has of them; words are made below the join, where conditions on the score don't make them again
+    met = mentions.filter(F.col("bill_id").isNotNull()).withColumn("__mention", words("mention_text")).join(known.hint("shuffle_hash"), "bill_id", "left")
     title = F.coalesce("__title", F.array().cast("array<string>"))
     score = match_score(title, F.col("__mention"), tables.issue_fit(F.col("issue_codes"), F.col("__area")))
     out = met.withColumns({"score": score, "has_mention": F.size("__mention") > 0}).drop("__title", "__area", "__mention")
@@ -58,5 +59,6 @@ def misfits(scores: DataFrame, order: list[str], bills: int = 10, examples: int
     wrong = scores.filter("band = 'false_positive'")
     top = wrong.groupBy("bill_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bill_id").limit(bills)
     place = F.row_number().over(Window.partitionBy("bill_id").orderBy(*order))
-    first = wrong.join(F.broadcast(top), "bill_id").withColumn("example", place).filter(F.col("example") <= examples)  # as many rows as bills are asked for
+    theirs = scores.join(F.broadcast(top.select("bill_id")), "bill_id", "left_semi")  # which Spark moves before the scores: only these bills' mentions are scored again
+    first = theirs.filter("band = 'false_positive'").join(F.broadcast(top), "bill_id").withColumn("example", place).filter(F.col("example") <= examples)  # as many rows as bills are asked for
     return first.select("bill_id", "n", F.coalesce("client_name", F.lit("?")).alias("client_name"), F.substring(F.coalesce("mention_text", F.lit("")), 1, most_chars).alias("snippet"), "example")

@@ -22,11 +22,12 @@ def mentions(spark, sf_dir) -> DataFrame:
     """Of five mentions two tell of the bill that they name, two of another one, one of nothing; some name bills that there aren't."""
     line = table(spark, sf_dir, "lineitem")
     about, kind = F.col("l_orderkey") % 1100, F.col("l_linenumber") % 5
-    doc = F.when(kind < 2, about).when(kind < 4, F.col("l_partkey") % 1000)
+    doc = F.when(kind < 2, about).when(kind < 4, F.col("l_partkey") % 1000).otherwise(-1 - F.col("l_orderkey"))  # those without one are dealt by other keys than one null
     said = line.select(bill_id(about).alias("bill_id"), F.col("l_suppkey").cast("string").alias("client_id"), F.concat(F.lit("client "), "l_suppkey").alias("client_name"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), F.year("l_shipdate").alias("filing_year"),
-                       picked(PERIODS, F.quarter("l_shipdate") - 1).alias("filing_period"), F.array(picked(CODES, F.col("l_linenumber")), picked(CODES, F.col("l_partkey"))).alias("issue_codes"), doc.alias("doc_id"), (F.col("l_linenumber") % 4 * 10 + 1).cast("int").alias("__from"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return said.join(texts, "doc_id", "left").withColumn("mention_text", F.coalesce(F.substring("text", F.col("__from"), F.lit(90)), F.lit(""))).drop("doc_id", "text", "__from")
+                       picked(PERIODS, F.quarter("l_shipdate") - 1).alias("filing_period"), F.array(picked(CODES, F.col("l_linenumber")), picked(CODES, F.col("l_partkey"))).alias("issue_codes"), doc.alias("doc_id"), (F.col("l_linenumber") % 4 * 10 + 1).cast("int").alias("__from"), (kind < 4).alias("__told"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 130).alias("text"))  # a mention ends before
+    told = F.when(F.col("__told"), F.substring("text", F.col("__from"), F.lit(90)))
+    return said.join(texts.hint("shuffle_hash"), "doc_id", "left").withColumn("mention_text", F.coalesce(told, F.lit(""))).drop("doc_id", "text", "__from", "__told")
 
 
 _WORDS = "list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace({}, '(?i)\\b(h\\.?\\s*r|s|h\\.?\\s*j\\.?\\s*res|s\\.?\\s*j\\.?\\s*res|h\\.?\\s*con\\.?\\s*res|s\\.?\\s*con\\.?\\s*res|h\\.?\\s*res|s\\.?\\s*res)\\.?\\s*\\d+\\b', ' ', 'g'), '[A-Za-z][A-Za-z''-]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND NOT list_contains(stop, w)))"
