@@ -98,8 +98,8 @@ def append_events(batch: DataFrame, path: str) -> int:
         log = log.filter(F.col("source").isin([r.source for r in batch.select("source").distinct().collect()]))
     added = new_rows(batch, log).withColumn("event_date", F.to_date("occurred_at")).persist()
     n = added.count()
-    if n:
-        added.write.mode("append").partitionBy("event_date", "source").parquet(path)
+    if n:  # rows of a partition meet in one task, or some if they are many, so there isn't a file for each task and day
+        added.hint("rebalance", "event_date", "source").write.mode("append").partitionBy("event_date", "source").parquet(path)
     added.unpersist()
     return n
 
