@@ -292,12 +292,14 @@ def published(spark: SparkSession, root: str) -> int:
                     at = f"{base}/{STAGED}/{a}"
                     yield pd.DataFrame([(a, f"{c}/{t}/{n}") for c in folders(fs, at) for t in folders(fs, f"{at}/{c}") for n in folders(fs, f"{at}/{c}/{t}")], columns=["attempt", "bill"])
 
-        def place(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"n": [_placed(*opened(root), rows["bill"].iloc[0], sorted(rows["attempt"]))]})
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fs, base = opened(root)
+            for rows in batches:
+                yield pd.DataFrame({"n": [_placed(fs, base, b, sorted(a)) for b, a in zip(rows["bill"], rows["attempts"], strict=True)]})
 
         if attempts:
             each = spark.createDataFrame([(a,) for a in attempts], "attempt string").repartition(len(attempts)).mapInPandas(bills, "attempt string, bill string")
-            total += each.groupBy("bill").applyInPandas(place, "n long").agg(F.sum("n")).first()[0] or 0
+            total += each.groupBy("bill").agg(F.collect_list("attempt").alias("attempts")).mapInPandas(place, "n long").agg(F.sum("n")).first()[0] or 0
         fs.delete_file(info.path)
         run = info.base_name.removesuffix(".json").split("-")[-1]
         if fs.get_file_info(f"{base}/{STAGED}/{run}").type == pafs.FileType.Directory:
